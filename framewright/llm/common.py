@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATC
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        lengths = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         cut = np.cumsum(lengths) // most
         edges = np.flatnonzero(np.diff(cut, prepend=-1))
         for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
@@ -134,7 +135,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         if rest:
             m = len(words) - 2 * size + 1
             block = block[:m] * power + block[size : size + m]
-            power = power * power
+            power = np.uint64(int(power) ** 2 % 2**64)
             size *= 2
     return mix64(acc[: len(words) - n + 1])
 
