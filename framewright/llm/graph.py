@@ -1,0 +1,29 @@
+"""Connected components over links between ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every node that has a link (a, b); label is its component's smallest node.
+
+    Labels pass along links and then jump to their label's label, until none falls; a
+    checkpoint cuts the lineage of each round. Joins are on nodes with one row a node on one
+    side, so a node with very many links is a hot key that adaptive execution splits.
+    """
+    both = checkpoint(links.select("a", "b").unionAll(links.select("b", "a")).where("a <> b").distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    total = None
+    while True:
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return labels
+        total = now
+        seen = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        step = labels.join(seen, "node").select("node", F.least("label", "m").alias("label"))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = checkpoint(step.join(up, "label").select("node", "top").withColumnRenamed("top", "label"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, sharding
+from . import lines, mixing, near, packing, quality, sharding, substrings
 
-MODULES = (mixing, sharding, lines)
+MODULES = (mixing, near, packing, quality, substrings, sharding, lines)
 
 
 def queries() -> dict:
