@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, near, packing, quality, sharding, substrings
+from . import classifier, lines, mixing, near, packing, quality, sharding, substrings, topk, urls
 
-MODULES = (mixing, near, packing, quality, substrings, sharding, lines)
+MODULES = (mixing, near, packing, quality, classifier, substrings, urls, sharding, topk, lines)
 
 
 def queries() -> dict:
