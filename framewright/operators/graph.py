@@ -34,8 +34,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def clusters(rows: DataFrame, id_column: str, links: DataFrame) -> DataFrame:
     """rows with cluster (smallest member) and cluster_size; rows without links are alone."""
-    found = components(links)
-    out = rows.join(found, rows[id_column] == found["node"], "left").withColumn("cluster", F.coalesce("label", id_column)).select(*rows.columns, "cluster")
+    found = components(links).select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    out = rows.join(found, rows[id_column] == found["__node"], "left").withColumn("cluster", F.coalesce("__label", id_column)).select(*rows.columns, "cluster")
     sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return out.join(sizes, "cluster").select(*rows.columns, "cluster", "cluster_size")
 

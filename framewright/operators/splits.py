@@ -53,8 +53,8 @@ def super_groups(rows: DataFrame, id_column: str, keys: Sequence[str]) -> DataFr
         first = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(id_column).alias("b"))
         e = rows.where(F.col(k).isNotNull()).select(F.col(id_column).alias("a"), k).join(first, k).select("a", "b")
         links = e if links is None else links.unionAll(e)
-    found = components(links.where("a <> b"))
-    return rows.join(found, rows[id_column] == found["node"], "left").withColumn("super_group", F.coalesce("label", id_column)).select(*rows.columns, "super_group")
+    found = components(links.where("a <> b")).select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return rows.join(found, rows[id_column] == found["__node"], "left").withColumn("super_group", F.coalesce("__label", id_column)).select(*rows.columns, "super_group")
 
 
 def leakage(rows: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:

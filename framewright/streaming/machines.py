@@ -22,7 +22,7 @@ def fold_stream(rows: DataFrame, key: str, order: Sequence[str], values: Sequenc
         machine = make()
         if state.exists:
             machine.state = pickle.loads(state.get[0])
-        b = pd.concat(list(frames)).sort_values(list(order))
+        b = pd.concat([f for f in frames if len(f)]).sort_values(list(order))
         out = [machine(*args) for args in zip(*[b[v].tolist() for v in values], strict=True)]
         state.update((pickle.dumps(machine.state),))
         yield b[[key, *keep]].assign(**{name: out})
