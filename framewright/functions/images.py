@@ -106,13 +106,27 @@ def foreground_contrast(a: np.ndarray, mask: np.ndarray) -> float | None:
 
 def difference_hash(a: np.ndarray) -> int:
     """64 bits: whether each of 8 x 8 cells is darker than its right neighbour, highest bit first."""
-    rows, cols = np.linspace(0, a.shape[0], 9).astype(int), np.linspace(0, a.shape[1], 10).astype(int)
-    cells = np.array([[a[r0 : max(r0 + 1, r1), c0 : max(c0 + 1, c1)].mean() for c0, c1 in zip(cols, cols[1:], strict=False)] for r0, r1 in zip(rows, rows[1:], strict=False)])
-    bits = (cells[:, 1:] > cells[:, :-1]).ravel()
+    c = cells(a, 8, 9)
+    return signed((c[:, 1:] > c[:, :-1]).ravel())
+
+
+def cells(a: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Means of an image's rows x columns cells."""
+    r, c = np.linspace(0, a.shape[0], rows + 1).astype(int), np.linspace(0, a.shape[1], columns + 1).astype(int)
+    return np.array([[a[y0 : max(y0 + 1, y1), x0 : max(x0 + 1, x1)].mean() for x0, x1 in zip(c, c[1:], strict=False)] for y0, y1 in zip(r, r[1:], strict=False)])
+
+
+def signed(bits: np.ndarray) -> int:
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - 2**64 if value >= 2**63 else value
 
 
+def average_hash(a: np.ndarray) -> int:
+    """64 bits: whether each of 8 x 8 cells is at least as bright as their mean, first cell lowest."""
+    c = cells(a, 8, 8)
+    return signed((c >= c.mean()).ravel()[::-1])
+
+
 def stretched(t: np.ndarray, low: float = 2.0, high: float = 98.0) -> np.ndarray:
     """Percentile stretch to 8 bits."""
     a, b = np.percentile(t, [low, high])

@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -255,6 +256,74 @@ class MotionGate:
         return left > 0
 
 
+class Background:
+    """Mean of the first frames, then a slow drift; returns the heat over it, 0 to 255, or None
+    while it warms up. Frames are arrays."""
+
+    def __init__(self, warm_up: int = 40, rate: float = 0.005, floor: float = 3.0) -> None:
+        self.warm_up, self.rate, self.floor, self.state = warm_up, rate, floor, (0, None)
+
+    def __call__(self, frame):
+        f = np.asarray(frame, np.float64)
+        n, cold = self.state
+        if n < self.warm_up:
+            cold = f if cold is None else cold + (f - cold) / (n + 1)
+        else:
+            cold = (1 - self.rate) * cold + self.rate * f
+        self.state = (n + 1, cold)
+        if n + 1 < self.warm_up:
+            return None
+        heat = np.maximum(f - cold - self.floor, 0)
+        top = heat.max()
+        return (np.clip(heat * (255 / top), 0, 255) if top >= 1 else heat * 0).tolist()
+
+
+class FrameFilter:
+    """A per-pixel machine (Ema or Kalman) over array frames; the output is clipped, its state not."""
+
+    def __init__(self, machine: Ema | Kalman, low: float = 0.0, high: float = 255.0) -> None:
+        self.machine, self.low, self.high = machine, low, high
+
+    @property
+    def state(self):
+        return self.machine.state
+
+    @state.setter
+    def state(self, value) -> None:
+        self.machine.state = value
+
+    def __call__(self, frame):
+        return np.clip(self.machine(np.asarray(frame, np.float64)), self.low, self.high).tolist()
+
+
+class ThermalNormaliser:
+    """Stretches frames to 0..255 between smoothed percentiles of the valid pixels; the median tells the
+    unit, and with it the valid range. Frames are arrays."""
+
+    # Ranges in raw counts, kelvin and degrees Celsius.
+    RAW, KELVIN, CELSIUS = (20000.0, 45000.0), (200.0, 450.0), (-80.0, 180.0)
+
+    def __init__(self, low: float = 2.0, high: float = 98.0, least: int = 200, alpha: float = 0.25) -> None:
+        self.low, self.high, self.least, self.alpha, self.state = low, high, least, alpha, None
+
+    def __call__(self, frame):
+        x = np.asarray(frame, np.float64)
+        fine = x[np.isfinite(x)]
+        if len(fine):
+            median = np.median(fine)
+            a, b = self.RAW if median > 1000 else self.KELVIN if median >= self.KELVIN[0] else self.CELSIUS
+            valid = fine[(fine != 0) & (fine != 65535) & (fine >= a) & (fine <= b)]
+            if len(valid) >= self.least:
+                lo, hi = np.percentile(valid, [self.low, self.high])
+                if hi > lo:
+                    k = self.alpha
+                    self.state = (lo, hi) if self.state is None else ((1 - k) * self.state[0] + k * lo, (1 - k) * self.state[1] + k * hi)
+        if self.state is None or self.state[1] <= self.state[0]:
+            return (x * 0).tolist()
+        lo, hi = self.state
+        return np.floor(np.clip((np.nan_to_num(x) - lo) * 255 / (hi - lo), 0, 255)).tolist()
+
+
 class HashChain:
     """HMAC-SHA256 of each record with the signature of the record before."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays, images, labels, rules
-from framewright.operators import learning, ordered, validation
+from framewright.operators import evaluation, learning, ordered, validation
 from framewright.sources import readers, writers
 from framewright.streaming import machines
 
@@ -161,6 +161,84 @@ def failure_cases(spark, sf):
     return validation.failure_cases(t, ["l_orderkey", "l_linenumber"])
 
 
+@query(f"""
+WITH t AS (SELECT *, CASE flag WHEN 'A' THEN 'glare' WHEN 'N' THEN 'fog' ELSE 'nir_night' END AS rf FROM ({HEURISTIC})), u AS (SELECT *, conf < 0.45 AND hc < 0.55 AS unknown FROM t)
+SELECT l_orderkey, l_linenumber, CASE WHEN unknown THEN 'unknown_or_out_of_scope' WHEN hc >= 0.75 AND hc > conf + 0.05 THEN label ELSE rf END AS suggested, round(CASE WHEN unknown THEN greatest(conf, hc) WHEN hc >= 0.75 AND hc > conf + 0.05 THEN hc ELSE conf END, 9) AS confidence, label = rf AS agreement FROM u""")
+def label_suggestions(spark, sf):
+    rf = F.when(F.col("flag") == "A", "glare").when(F.col("flag") == "N", "fog").otherwise("nir_night")
+    s = evaluation.suggestion(rf, F.col("conf"), F.col("h.label"), F.col("h.confidence"))
+    out = frames(spark, sf).withColumn("s", s)
+    return rounded(out.select("l_orderkey", "l_linenumber", F.col("s.label").alias("suggested"), "s.confidence", "s.agreement"), "confidence", digits=9)
+
+
+@query(f"""
+WITH t AS (SELECT {CLASSES}[l_partkey % 9 + 1] AS c1, {CLASSES}[l_suppkey % 9 + 1] AS c2, l_quantity / 50 AS p1, l_discount * 5 AS p2 FROM lineitem), x AS (SELECT unnest([0.1, 0.2, 0.4])::DOUBLE AS tau2),
+k AS (SELECT *, c1 IN ('night_clear', 'normal_night', 'nir_night') AS n1, c2 IN ('night_clear', 'normal_night', 'nir_night') AS n2 FROM t, x),
+h AS (SELECT *, p1 >= 0.62 AND c1 <> c2 AND p2 >= tau2 AND NOT (n1 AND (n2 OR c2 = 'normal_day')) AND NOT (c1 = 'normal_day' AND n2) AND ((c1 IN ('fog', 'rain') AND n2) OR c2 IN ('fog', 'rain', 'glare')) AS hint FROM k)
+SELECT tau2, count(*) AS n_rows, count_if(p1 >= 0.62)::BIGINT AS n_active, count_if(hint)::BIGINT AS n_hint, round(count_if(hint) / count_if(p1 >= 0.62), 9) AS hint_rate FROM h GROUP BY 1""")
+def secondary_threshold_sweep(spark, sf):
+    t = table(spark, sf, "lineitem").select(env_class(F.col("l_partkey")).alias("c1"), env_class(F.col("l_suppkey")).alias("c2"), (F.col("l_quantity") / 50).alias("p1"), (F.col("l_discount") * 5).alias("p2"))
+    return rounded(evaluation.hint_sweep(t, "c1", "p1", "c2", "p2", 0.62, [0.1, 0.2, 0.4]), "hint_rate", digits=9)
+
+
+@query("""
+SELECT CASE WHEN s > 0 AND t > 0 AND l > 0 THEN 'strict quantitative support' WHEN q > 0 AND t > 0 AND (l > 0 OR c > 0) THEN 'weak/qualitative support' ELSE 'not enough evidence' END AS verdict FROM (
+  SELECT count_if(l_linenumber = 1) AS s, count_if(l_linenumber = 2) AS q, count_if(l_tax > 0.05) AS t, median(l_quantity - 26.5) AS l, median(l_discount - 0.01) AS c FROM lineitem)""")
+def evidence_verdict(spark, sf):
+    n = F.col("l_linenumber")
+    t = table(spark, sf, "lineitem").select(F.when(n == 1, "strict_quantitative").when(n == 2, "qualitative_pair").otherwise("reject").alias("pair_status"), F.when(F.col("l_tax") > 0.05, "sufficient").otherwise("none").alias("target_roi_status"), (F.col("l_quantity") - 26.5).alias("delta_luma"), (F.col("l_discount") - 0.01).alias("delta_chroma"))
+    return evaluation.evidence_verdict(t)
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS id, ['open sky with clouds', 'store aisle', 'canopy ahead', 'plain road'][o_orderkey % 4 + 1] AS cues, CASE WHEN o_orderkey % 11 = 0 THEN 'Close-up' ELSE '' END AS notes, ['normal_day', 'glare', 'backlight'][o_orderkey % 3 + 1] AS t1, 'backlight' AS t2, o_orderkey % 13 = 0 AS ex, CASE WHEN o_orderkey % 5 < 4 THEN ['backlight', 'glare'][o_orderkey % 2 + 1] END AS m FROM orders),
+a AS (SELECT *, CASE WHEN ex THEN 'none' WHEN cues = 'store aisle' OR notes <> '' THEN 'exclude' WHEN t1 = 'normal_day' AND m = 'backlight' AND cues LIKE '%sky%' THEN 'swap' WHEN t1 = 'glare' AND m = 'backlight' AND cues LIKE '%sky%' THEN 'to_backlight' WHEN t1 = 'backlight' AND m = 'glare' AND cues LIKE '%canopy%' THEN 'to_glare' ELSE 'none' END AS action FROM t)
+SELECT id AS frame_id, CASE action WHEN 'swap' THEN 'backlight' WHEN 'to_backlight' THEN 'backlight' WHEN 'to_glare' THEN 'glare' ELSE t1 END AS top1, CASE action WHEN 'swap' THEN 'normal_day' WHEN 'to_backlight' THEN 'glare' WHEN 'to_glare' THEN 'backlight' ELSE t2 END AS top2, ex OR action = 'exclude' AS excluded, action FROM a""")
+def relabelled_frames(spark, sf):
+    k = F.col("o_orderkey")
+    pick = lambda names, m: F.element_at(F.array(*[F.lit(x) for x in names]), (k % m + 1).cast("int"))
+    o = table(spark, sf, "orders")
+    t = o.select(k.alias("frame_id"), pick(("open sky with clouds", "store aisle", "canopy ahead", "plain road"), 4).alias("cues"), F.when(k % 11 == 0, "Close-up").otherwise("").alias("notes"), pick(("normal_day", "glare", "backlight"), 3).alias("top1"), F.lit("backlight").alias("top2"), (k % 13 == 0).alias("excluded"))
+    return evaluation.relabelled(t, o.where(k % 5 < 4).select(k.alias("frame_id"), pick(("backlight", "glare"), 2).alias("model_top1")))
+
+
+@query("""
+WITH t AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'fog' WHEN o_orderkey % 9 = 0 THEN 'cloud' ELSE '' END AS m, CASE WHEN o_orderkey % 3 = 0 THEN 'rain' END AS s, o_orderkey % 2 = 0 AS a, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice / 550000 END AS c FROM orders),
+k AS (SELECT *, coalesce(nullif(m, ''), CASE WHEN a THEN s END) AS label FROM t)
+SELECT count(*) AS n_rows, count(label) AS n_confirmed, count_if(m <> '')::BIGINT AS n_manual, count_if(m = '' AND label IS NOT NULL)::BIGINT AS n_accepted, count_if(label = 'cloud')::BIGINT AS n_invalid, count_if(label IS NOT NULL AND c < 0.5)::BIGINT AS n_unsure, 'invalid' AS status FROM k""")
+def label_file_report(spark, sf):
+    k = F.col("o_orderkey")
+    t = table(spark, sf, "orders").select(F.when(k % 4 == 0, "fog").when(k % 9 == 0, "cloud").otherwise("").alias("manual_label"), F.when(k % 3 == 0, "rain").alias("suggested_label"), F.when(k % 2 == 0, "yes").otherwise("no").alias("accepted"), F.when(k % 6 == 0, "n/a").otherwise((F.col("o_totalprice") / 550000).cast("string")).alias("label_confidence"))
+    return evaluation.label_file_status(t)
+
+
+@query("""SELECT source, count(*) AS n, CASE WHEN source = 'src1' THEN 'verified' WHEN source IN ('src2', 'src3') THEN 'inferred_low_confidence' ELSE 'unresolved' END AS status FROM documents GROUP BY 1""")
+def source_recoverability(spark, sf):
+    dim = spark.createDataFrame([("src1", True, True), ("src2", True, False), ("src3", True, False), ("src4", False, True)], "source string, present boolean, deterministic boolean")
+    return evaluation.recoverability(table(spark, sf, "documents"), dim)
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 4 = 0 OR event_id % 6 = 0 THEN 'Tier 3' WHEN event_type = 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'Tier 1' ELSE 'Tier 3' END WHEN event_type = 'view' THEN 'Tier 3' WHEN event_type = 'error' THEN 'Tier 2' ELSE 'Tier 3' END AS tier FROM events""")
+def metric_tiers(spark, sf):
+    kind = F.col("event_type")
+    metric = F.when(kind == "click", "nir_detail_retention").when(kind == "view", "qabf_edge_proxy").when(kind == "error", "entropy").otherwise("other")
+    source = F.when(F.col("event_id") % 2 == 0, "paired_captured_fusion").otherwise("rendered")
+    tier = evaluation.metric_tier(metric, F.when(F.col("user_id") % 4 == 0, "near_paired").otherwise("frame_strict"), source, F.when(F.col("event_id") % 6 == 0, "proxy").otherwise("real_paired"), ["entropy"])
+    return table(spark, sf, "events").select("event_id", tier.alias("tier"))
+
+
+@query()
+def thermal_sequence(spark, sf):
+    """Per-pixel filters over frames in order: noise filter, background heat and normalised frames."""
+    t = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("seq"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double") * 50 + 25).alias("px"))
+    out = ordered.fold(t, ["seq"], ["frame"], ["px"], lambda: ordered.FrameFilter(ordered.Ema(0.65)), "denoised", "array<double>")
+    out = ordered.fold(out, ["seq"], ["frame"], ["px"], lambda: ordered.FrameFilter(ordered.Kalman()), "kalman", "array<double>")
+    out = ordered.fold(out, ["seq"], ["frame"], ["px"], lambda: ordered.Background(warm_up=5), "heat", "array<double>")
+    out = ordered.fold(out, ["seq"], ["frame"], ["px"], lambda: ordered.ThermalNormaliser(least=10), "grey", "array<double>")
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    return out.select("seq", "frame", *[mean(c).alias(c) for c in ("denoised", "kalman", "heat", "grey")])
+
+
 # ---- scalars and arrays ----
 
 
