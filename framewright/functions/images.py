@@ -127,6 +127,18 @@ def average_hash(a: np.ndarray) -> int:
     return signed((c >= c.mean()).ravel()[::-1])
 
 
+def saturation(colour: np.ndarray) -> float:
+    """Mean saturation, 0 to 255, of an image with three channels."""
+    top, low = colour.max(-1).astype(float), colour.min(-1).astype(float)
+    return float(np.where(top > 0, np.round(255 * (top - low) / np.maximum(top, 1)), 0).mean())
+
+
+def edge_ratio(a: np.ndarray, b: np.ndarray, fused: np.ndarray) -> float:
+    """Sharpness of a fused image as a share of its sharper source, 0 to 1."""
+    v = [float(convolved(x, LAPLACE).var()) for x in (a, b, fused)]
+    return float(np.clip(v[2] / max(v[0], v[1], EPS), 0, 1))
+
+
 def stretched(t: np.ndarray, low: float = 2.0, high: float = 98.0) -> np.ndarray:
     """Percentile stretch to 8 bits."""
     a, b = np.percentile(t, [low, high])

@@ -68,6 +68,50 @@ def predict_top2(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) ->
     return predict(model, rows).select(*keep, "top1_label", "top1_proba", "top2_label", "top2_proba", "posterior_entropy", "accepted")
 
 
+def compare(train_rows: DataFrame, test_rows: DataFrame, feature_sets: dict[str, Sequence[str]], label: str, names: Sequence[str], seeds: Sequence[int] = (42,)) -> DataFrame:
+    """One row for each classifier, feature set and seed with its overall scores on the test rows.
+
+    The loop is over models, not over data: each fit and each evaluation is a job of its own."""
+    from functools import reduce
+
+    from .statistics import overall_scores
+
+    out = []
+    for features_name, features in feature_sets.items():
+        for seed in seeds:
+            for name in names:
+                model = train(train_rows.dropna(subset=list(features)), features, label, classifiers(seed)[name])
+                got = predict_classes(model, test_rows.dropna(subset=list(features)))
+                scores = overall_scores(got, label, "predicted")
+                out.append(scores.select(F.lit(name).alias("classifier"), F.lit(features_name).alias("features"), F.lit(seed).alias("seed"), "*"))
+    return reduce(DataFrame.unionAll, out)
+
+
+def predict_classes(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with the predicted label; for classifiers with and without probabilities."""
+    names = F.array(*[F.lit(x) for x in [*model.stages[0].labels, "unknown"]])
+    out = model.stages[2].transform(model.stages[1].transform(rows))
+    return out.select(*rows.columns, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
+
+
+def tree_variance(model: PipelineModel, rows: DataFrame, id_column: str) -> DataFrame:
+    """(id, variance): mean over classes of the variance of the trees' probabilities, for forests of
+    moderate size; each tree is one column of the same scan."""
+    forest = model.stages[2]
+    out = model.stages[1].transform(rows)
+    for i, tree in enumerate(forest.trees):
+        t = tree.copy()
+        t = t.setFeaturesCol("x").setPredictionCol(f"p{i}").setProbabilityCol(f"q{i}").setRawPredictionCol(f"r{i}")
+        out = t.transform(out).drop(f"p{i}", f"r{i}")
+    n, k = len(forest.trees), forest.numClasses
+    q = [vector_to_array(f"q{i}") for i in range(n)]
+    per = []
+    for c in range(k):
+        m = sum((x[c] for x in q), F.lit(0.0)) / n
+        per.append(sum((F.pow(x[c] - m, 2) for x in q), F.lit(0.0)) / n)
+    return out.select(id_column, (sum(per, F.lit(0.0)) / k).alias("variance"))
+
+
 def nearest_classes(train_rows: DataFrame, test_rows: DataFrame, id_column: str, vector: str, label: str, k: int = 5) -> DataFrame:
     """(id, predicted, votes): majority of the k training rows with the largest inner product, ties
     to the smaller label. Test rows are a stated query set; they are dealt out in blocks, each of

@@ -111,20 +111,58 @@ class Ema:
 
 
 class Kalman:
-    """Scalar Kalman filter. predict_first adds the process noise before the update, as the parameter
-    sweep does, instead of after it."""
+    """Scalar Kalman filter; the first value seeds it. predict_first adds the process noise before the
+    update, as the parameter sweep does, instead of after it; innovation returns the distance of each
+    value from what was expected (0 for the first) instead of the estimate."""
 
-    def __init__(self, q: float = 0.5, r: float = 4.0, p0: float = 100.0, predict_first: bool = False) -> None:
-        self.q, self.r, self.p0, self.first, self.state = q, r, p0, predict_first, None
+    def __init__(self, q: float = 0.5, r: float = 4.0, p0: float = 100.0, predict_first: bool = False, innovation: bool = False) -> None:
+        self.q, self.r, self.p0, self.first, self.innovation, self.state = q, r, p0, predict_first, innovation, None
 
     def __call__(self, z: float):
-        x, p = self.state or (z, self.p0)
+        if self.state is None:
+            self.state = (z, self.p0)
+            return abs(z - z) if self.innovation else z
+        x, p = self.state
         if self.first:
             p = p + self.q
-        k = p / (p + self.r)
-        x, p = x + k * (z - x), (1 - k) * p
+        k, d = p / (p + self.r), z - x
+        x, p = x + k * d, (1 - k) * p
         self.state = (x, p if self.first else p + self.q)
-        return x
+        return abs(d) if self.innovation else x
+
+
+class Bank:
+    """Several machines over the same values; returns the list of their outputs."""
+
+    def __init__(self, machines: Sequence) -> None:
+        self.machines = list(machines)
+
+    @property
+    def state(self):
+        return [m.state for m in self.machines]
+
+    @state.setter
+    def state(self, value) -> None:
+        for m, s in zip(self.machines, value, strict=True):
+            m.state = s
+
+    def __call__(self, *args):
+        return [m(*args) for m in self.machines]
+
+
+class RainMedian:
+    """Median of the last n values; once three successive changes were small, values pass as they are."""
+
+    def __init__(self, n: int = 3, still: float = 0.5) -> None:
+        self.n, self.still, self.state = max(2, n), still, ((), 0)
+
+    def __call__(self, x):
+        held, quiet = self.state
+        if held:
+            quiet = quiet + 1 if abs(float(np.mean(x)) - float(np.mean(held[-1]))) < self.still else 0
+        held = (*held, x)[-self.n :]
+        self.state = (held, quiet)
+        return x if quiet >= 3 or len(held) < self.n else np.median(np.stack(held), axis=0).tolist()
 
 
 class Hysteresis:
@@ -243,16 +281,21 @@ class Hold:
 
 
 class MotionGate:
-    """Active from the second value in succession over the limit; then for `hold` rows more."""
+    """Active for `hold` rows from the second score in succession over the limit; a missing score
+    only lets that time run out."""
 
-    def __init__(self, limit: float, strikes: int = 2, hold: int = 12) -> None:
+    def __init__(self, limit: float = 8.5, strikes: int = 2, hold: int = 12) -> None:
         self.limit, self.strikes, self.hold, self.state = limit, strikes, hold, (0, 0)
 
-    def __call__(self, score: float):
+    def __call__(self, score: float | None):
         strike, left = self.state
-        strike = strike + 1 if score >= self.limit else 0
-        left = self.hold if strike >= self.strikes else max(0, left - 1)
-        self.state = (strike, left)
+        if score is None or score != score:
+            self.state = (strike, max(0, left - 1))
+            return left > 1
+        strike = strike + 1 if score > self.limit else 0
+        if strike >= self.strikes:
+            strike, left = 0, self.hold
+        self.state = (strike, max(0, left - 1))
         return left > 0
 
 
@@ -279,7 +322,8 @@ class Background:
 
 
 class FrameFilter:
-    """A per-pixel machine (Ema or Kalman) over array frames; the output is clipped, its state not."""
+    """A per-pixel machine (Ema or Kalman) over array frames; the output is clipped to whole grey levels,
+    its state is not."""
 
     def __init__(self, machine: Ema | Kalman, low: float = 0.0, high: float = 255.0) -> None:
         self.machine, self.low, self.high = machine, low, high
@@ -293,7 +337,7 @@ class FrameFilter:
         self.machine.state = value
 
     def __call__(self, frame):
-        return np.clip(self.machine(np.asarray(frame, np.float64)), self.low, self.high).tolist()
+        return np.floor(np.clip(self.machine(np.asarray(frame, np.float64)), self.low, self.high)).tolist()
 
 
 class ThermalNormaliser:
@@ -373,6 +417,32 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     return dealt.mapInPandas(run, schema)
 
 
+def swept(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, options: Sequence[str], make: Callable[[], list]) -> DataFrame:
+    """(keys, order, option, out): the outputs of one machine for each option, in one pass over the rows."""
+    out = fold(rows.select(*keys, *order, value), keys, order, [value], lambda: Bank(make()), "__out", "array<double>")
+    names = F.array(*[F.lit(o) for o in options])
+    return out.select(*keys, *order, value, F.posexplode("__out").alias("__i", "out")).withColumn("option", F.element_at(names, F.col("__i") + 1)).drop("__i")
+
+
+def kalman_sweep(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, grid: Sequence[tuple[float, float]], warm_up: int = 5, p0: float = 100.0) -> DataFrame:
+    """Per key and (q, r): root mean square, median and deviation of the innovations after warm-up."""
+    options = [f"q={q:g} r={r:g}" for q, r in grid]
+    out = swept(rows, keys, order, value, options, lambda: [Kalman(q, r, p0, predict_first=True, innovation=True) for q, r in grid])
+    place = F.row_number().over(Window.partitionBy(*keys, "option").orderBy(*order))
+    late = out.withColumn("__n", place).where(F.col("__n") > warm_up)
+    return late.groupBy(*keys, "option").agg(F.sqrt(F.avg(F.col("out") * F.col("out"))).alias("rms"), F.percentile("out", 0.5).alias("median"), F.stddev_pop("out").alias("std"))
+
+
+def noise_sweep(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alphas: Sequence[float]) -> DataFrame:
+    """Per key and weight of the past: mean absolute difference of successive values before and after
+    smoothing, and its reduction in per cent."""
+    out = swept(rows, keys, order, value, [f"{a:g}" for a in alphas], lambda: [Ema(1 - a) for a in alphas])
+    w = Window.partitionBy(*keys, "option").orderBy(*order)
+    d = out.withColumns({"__a": F.abs(F.col(value) - F.lag(value).over(w)), "__b": F.abs(F.col("out") - F.lag("out").over(w))})
+    got = d.groupBy(*keys, "option").agg(F.avg("__a").alias("raw_noise"), F.avg("__b").alias("smooth_noise"))
+    return got.withColumn("reduction_pct", 100 * (1 - F.col("smooth_noise") / (F.col("raw_noise") + 1e-9)))
+
+
 def verify_chain(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, signature: str, key: bytes) -> DataFrame:
     """rows with valid: whether the signature follows from the text and the signature before."""
     prev = F.lag(signature).over(_order(keys, order))

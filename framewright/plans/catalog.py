@@ -533,13 +533,33 @@ def ema_by_user(spark, sf):
 
 
 @query(f"""
-WITH RECURSIVE e AS MATERIALIZED ({E}), r AS (SELECT user_id, rn, value AS x, (1 - 100 / (100 + 4.0::DOUBLE)) * 100 + 0.5::DOUBLE AS p FROM e WHERE rn = 1 UNION ALL
+WITH RECURSIVE e AS MATERIALIZED ({E}), r AS (SELECT user_id, rn, value AS x, 100.0::DOUBLE AS p FROM e WHERE rn = 1 UNION ALL
   SELECT e.user_id, e.rn, r.x + r.p / (r.p + 4) * (e.value - r.x), (1 - r.p / (r.p + 4)) * r.p + 0.5::DOUBLE FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
 SELECT user_id, round(arg_max(x, rn), 6) AS kalman FROM r GROUP BY 1""")
 def kalman_by_user(spark, sf):
     return rounded(ordered.fold(by_user(spark, sf, "value"), ["user_id"], ORDER, ["value"], ordered.Kalman, "kalman", "double", last=True), "kalman")
 
 
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED ({E}), g AS (SELECT unnest([0.1, 0.5, 2.0])::DOUBLE AS q, unnest([4.0, 4.0, 1.0])::DOUBLE AS o),
+r AS (SELECT user_id, rn, q, o, value AS x, 100.0::DOUBLE AS p, 0.0::DOUBLE AS d FROM e, g WHERE rn = 1 UNION ALL
+  SELECT e.user_id, e.rn, q, o, x + (p + q) / (p + q + o) * (value - x), (1 - (p + q) / (p + q + o)) * (p + q), abs(value - x) FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, format('q={{:g}} r={{:g}}', q, o) AS option, round(sqrt(avg(d * d)), 6) AS rms, round(median(d), 6) AS median, round(stddev_pop(d), 6) AS std FROM r WHERE rn > 5 GROUP BY ALL""")
+def kalman_sweep(spark, sf):
+    out = ordered.kalman_sweep(by_user(spark, sf, "value"), ["user_id"], ORDER, "value", [(0.1, 4.0), (0.5, 4.0), (2.0, 1.0)])
+    return rounded(out, "rms", "median", "std")
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED ({E}), g AS (SELECT unnest([0.35, 0.65, 0.9])::DOUBLE AS a),
+r AS (SELECT user_id, rn, a, value, value AS y FROM e, g WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, a, e.value, (1 - a) * e.value + (1 - (1 - a)) * y FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1),
+d AS (SELECT user_id, a, abs(value - lag(value) OVER w) AS x, abs(y - lag(y) OVER w) AS z FROM r WINDOW w AS (PARTITION BY user_id, a ORDER BY rn))
+SELECT user_id, format('{{:g}}', a) AS option, round(avg(x), 6) AS raw_noise, round(avg(z), 6) AS smooth_noise, round(100 * (1 - avg(z) / (avg(x) + 1e-9)), 6) AS reduction_pct FROM d GROUP BY ALL""")
+def noise_filter_sweep(spark, sf):
+    out = ordered.noise_sweep(by_user(spark, sf, "value"), ["user_id"], ORDER, "value", [0.35, 0.65, 0.9])
+    return rounded(out, "raw_noise", "smooth_noise", "reduction_pct")
+
+
 @query(f"""
 WITH RECURSIVE e AS MATERIALIZED ({E}), r AS (SELECT user_id, rn, event_id, event_type AS stable, event_type AS pending, 1 AS c FROM e WHERE rn = 1 UNION ALL
   SELECT e.user_id, e.rn, e.event_id, CASE WHEN (CASE WHEN e.event_type = r.pending THEN r.c + 1 ELSE 1 END) >= 3 THEN e.event_type ELSE r.stable END, e.event_type, CASE WHEN e.event_type = r.pending THEN r.c + 1 ELSE 1 END

@@ -129,6 +129,16 @@ def class_folders(spark: SparkSession, directory: str) -> DataFrame:
     return listing(spark, directory, IMAGES).withColumn("label", F.element_at(F.split("path", "/"), -2))
 
 
+def annotated(spark: SparkSession, annotations: str, images: DataFrame) -> DataFrame:
+    """Images (path) with label weather|period from an annotation file, by file name; annotations
+    without an image, and images without one, are left out."""
+    one = "array<struct<filename:string,weather:string,period:string>>"
+    text = spark.read.option("wholetext", True).text(annotations)
+    found = F.coalesce(F.from_json("value", f"annotations {one}")["annotations"], F.from_json("value", one))
+    rows = text.select(F.explode(found).alias("a")).select(F.element_at(F.split(F.replace("a.filename", F.lit("\\"), F.lit("/")), "/"), -1).alias("name"), F.concat_ws("|", F.coalesce("a.weather", F.lit("")), F.coalesce("a.period", F.lit(""))).alias("label"))
+    return images.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(rows, "name").select("path", "label")
+
+
 def prefix_labels(files: DataFrame) -> DataFrame:
     """label is the letters that the file name starts with; files without are left out."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -119,7 +119,9 @@ def test_machines():
     assert ordered.Kalman(predict_first=True)(5.0) == 5.0
     assert drive(ordered.Hysteresis(3), list("abbba")) == ["a", "a", "a", "b", "b"]
     assert drive(ordered.Hold(2), ["x", "", "", "", "y"]) == ["x", "x", "x", "", "y"]
-    assert drive(ordered.MotionGate(1.0, 2, 3), [2, 0, 2, 2, 0, 0, 0, 0]) == [False, False, False, True, True, True, False, False]
+    assert drive(ordered.MotionGate(1.0, 2, 3), [2, 0, 2, 2, 0, 0, 0, 0, 2, 2]) == [False, False, False, True, True, True, False, False, False, True]
+    assert drive(ordered.MotionGate(1.0, 1, 3), [2, None, None, None]) == [True, True, False, False]
+    assert drive(ordered.RainMedian(3), [1.0, 9.0, 2.0, 3.0]) == [1.0, 9.0, 2.0, 3.0] and drive(ordered.RainMedian(3), [5.0, 5.1, 5.2, 5.3, 9.0])[-2:] == [5.3, 5.3]
     p = ordered.Posterior(["a", "b"], 0.5)
     assert p('{"a": 1.0, "b": 0.0}') == '{"a": 1.0, "b": 0.0}' and p('{"a": 0.0, "b": 1.0}') == '{"a": 0.5, "b": 0.5}'
     assert drive(ordered.OneEuro(), [(1.0, 0.0), (1.0, 0.1)]) == [1.0, 1.0]
@@ -182,3 +184,16 @@ def test_forest_learns_and_predicts(spark):
     model = learning.train(df, ["x1", "x2"], "label", learning.classifiers()["tree"])
     got = learning.predict_top2(model, df, ["id", "label"]).collect()
     assert sum(g["top1_label"] == g["label"] for g in got) > 270 and all(g["top1_proba"] >= g["top2_proba"] for g in got)
+
+
+def test_models_are_compared(spark):
+    r = np.random.default_rng(1)
+    rows = [(int(i), float(x), float(y), "a" if x > 0 else "b") for i, (x, y) in enumerate(r.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "id int, x1 double, x2 double, label string")
+    got = {(g["classifier"], g["features"]): g["accuracy"] for g in learning.compare(df, df, {"both": ["x1", "x2"], "second": ["x2"]}, "label", ["tree", "logistic"]).collect()}
+    assert len(got) == 4 and got["tree", "both"] > 0.95 > got["logistic", "second"]
+    from pyspark.ml.classification import RandomForestClassifier
+
+    model = learning.train(df, ["x1", "x2"], "label", RandomForestClassifier(numTrees=4, maxDepth=3, labelCol="y", featuresCol="x", seed=1))
+    v = [x["variance"] for x in learning.tree_variance(model, df, "id").collect()]
+    assert len(v) == 200 and max(v) > 0 and min(v) >= 0

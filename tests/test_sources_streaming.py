@@ -90,6 +90,16 @@ def test_small_readers(spark, tmp_path):
     assert spark.range(1).select(writers.redacted(F.lit('{"p": "/home/x/y"}'))).first()[0] == '{"p": "<HOME>/y"}'
 
 
+def test_annotations(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"x")
+    (tmp_path / "b.png").write_bytes(b"x")
+    items = [{"filename": "train\\a.png", "weather": "Rainy", "period": "Night"}, {"filename": "c.png", "weather": "x"}]
+    for body in ({"annotations": items}, items):
+        (tmp_path / "train.json").write_text(json.dumps(body))
+        got = readers.annotated(spark, f"{tmp_path}/train.json", readers.listing(spark, str(tmp_path), readers.IMAGES)).collect()
+        assert [(r["path"].rsplit("/", 1)[1], r["label"]) for r in got] == [("a.png", "Rainy|Night")]
+
+
 def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
     rows = [(k, i, float((i * 5 + k) % 9)) for i in range(60) for k in range(3)]
     for n in range(3):
