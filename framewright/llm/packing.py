@@ -20,7 +20,7 @@ CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
 #: Islands, epochs between migrations, solutions of an island, children of an epoch.
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 4, 3, 6, 24
 #: Known words of a worker at most; then it forgets them and starts anew.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 
 Bins = Counter  # of patterns: how many bins hold just these lengths, in falling order
 
@@ -198,16 +198,25 @@ def pack_lengths(spark: SparkSession, counts: dict[int, int], capacity: int = CA
 # ---- tokens and places ----
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for
+    themselves, the others for the letters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
 class Tokens(dict):
     """Ids of each text between ASCII white space, as bytes of little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, and its normaliser works on each
     such piece alone; so a text's ids are those of its pieces one after the other. Nor does it join
-    letters or digits with the marks in MARKS after them, and it lower-cases; so a piece's
-    marks at the end are looked up by themselves, which leaves fewer pieces to remember.
+    letters or digits with the marks in MARKS after them; so a piece's marks at the end are looked
+    up by themselves. A piece of letters below PLAIN, which normalising only lower-cases, goes to
+    the tokenizer's model at once; all other pieces go through the whole tokenizer.
     """
 
-    MARKS = b".,!?;:|%&$*#"
+    MARKS, PLAIN = b".,!?;:|%&$*#", chr(0x250)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -217,6 +226,7 @@ class Tokens(dict):
 
             path = public_tokenizers.path(path)
         self.of, self.before = Tokenizer.from_file(path), {}
+        self.model, self.letters = self.of.model, byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > KNOWN_WORDS:
@@ -224,13 +234,17 @@ class Tokens(dict):
             self.clear()
         ids = self.before.get(word)
         if ids is None:
+            text = word.decode("utf-8", "replace")
             stem = word.rstrip(self.MARKS)
-            if stem and stem != word and stem[-1:].isalnum() and b"<|" not in word and b"'" not in word:
+            if text.isalpha() and max(text) < self.PLAIN and "\u0130" not in text:
+                text = text.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            elif stem and stem != word and stem[-1:].isalnum() and b"<|" not in word and b"'" not in word:
                 ids = self[stem] + self[word[len(stem) :]]
-            elif word.isalpha() and not word.islower():
-                ids = self[word.lower()]
             else:
-                ids = np.array(self.of.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                ids = np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 

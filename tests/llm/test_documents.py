@@ -283,6 +283,15 @@ def test_tokens_of_odd_texts(text):
     assert np.frombuffer(t(text.encode()), "<u4").tolist() == whole
 
 
+def test_tokens_of_all_plain_letters():
+    import numpy as np
+
+    t = packing.Tokens("word_bpe_49k.json")
+    for c in map(chr, range(33, 0x260)):
+        for text in (c, f"a{c}B", f"{c}{c}th."):
+            assert np.frombuffer(t(text.encode()), "<u4").tolist() == t.of.encode(text, add_special_tokens=False).ids, text
+
+
 def test_genetic_packing_keeps_all_and_gains(spark):
     import random
 
