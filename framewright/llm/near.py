@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.graph import components
+
 from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, ids_of, mix64, text_slices
-from .graph import components
 
 #: Words of a shingle; Jaccard similarity of a link in per cent; bands and their coordinates.
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 5
@@ -197,13 +198,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
 
     A text with fewer words than a shingle has one shingle, the whole sequence. Null and empty
     texts have an empty set, link with nothing and are kept. A null doc_id counts as the largest
-    id in here. Rows that share a doc_id get the smallest component of any of them. Columns other
-    than doc_id and text are ignored. Hashes of 64 bits stand for shingles.
+    id in here. Rows that share a doc_id are taken as equal; of different texts under one id, one set
+    (the least) is compared with others. Columns other than doc_id and text are ignored. Hashes of 64 bits stand for shingles.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = checkpoint(_sketches(own, words, bands, rows))
     classes = sketch.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
-    # a doc_id that stands for several classes is linked by itself; see the docstring
     spread = classes.select("c1", "c2", "rep", F.posexplode("keys").alias("band", "key"))
     spread = spread.select("rep", "band", F.col("key").alias("bucket"))
     order = [F.xxhash64(F.lit(s), F.col("rep")) for s in (1, 2)]
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     wanted = members.select("rep").distinct()
     keyed = classes.select("rep", "keys").join(wanted, "rep")
     texts = keyed.join(own.withColumn("__id", F.coalesce("doc_id", F.lit(int(NULL_ID)))), F.col("rep") == F.col("__id")).select("rep", "keys", "text")
-    sets = checkpoint(_sets(texts, words).dropDuplicates(["rep"]))
+    sets = checkpoint(_sets(texts, words).groupBy("rep").agg(F.min_by("keys", "grams").alias("keys"), F.min("grams").alias("grams")))
     pairs = members.select(F.explode(F.array("hub", "hub0", "hub1")).alias("h"), "rep").where("h <> rep")
     pairs = pairs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
     grams = sets.select("rep", "grams")

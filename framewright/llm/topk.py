@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import checkpoint
+from .common import checkpoint, partitions
 
 K, SCALE, EVERY = 20, 64, 20
-#: Vectors of a candidate block (a node of the search) and of a query block; groups of lists.
-NODE, QUERIES_AT_ONCE, GROUPS = 4096, 1024, 32
+#: Vectors of a candidate block (a node of the search) and of a query block.
+NODE, QUERIES_AT_ONCE = 4096, 1024
+#: Query blocks and nodes of one cell of the grid of meetings; below all scores.
+Q_CELL, N_CELL, LOW = 4, 4, np.iinfo(np.int64).min
 
 
 def blocks(vectors: DataFrame, most: int) -> DataFrame:
@@ -61,56 +63,96 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q.astype(np.int64) @ c.astype(np.int64).T).astype(np.int64)
 
 
-def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{side}_ids"], np.int64)
-    return ids, np.frombuffer(row[f"{side}_values"], np.float64).reshape(len(ids), -1)
+class _Queries:
+    """The query blocks of a task; meets one node's block at a time."""
 
+    def __init__(self) -> None:
+        self.blocks: list[tuple] = []
 
-def _masked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, vector ids, scores, and which pairs count (all but a query with its own row)."""
-    q, qv = _unpack(row, "q")
-    c, cv = _unpack(row, "c")
-    return q, c, _scores(qv, cv), q[:, None] != c[None, :]
+    def add(self, part: int, ids: bytes, values: bytes, cutoffs: bytes | None) -> None:
+        q = np.frombuffer(ids, np.int64)
+        cut = np.full(len(q), LOW) if cutoffs is None else np.frombuffer(cutoffs, np.int64)
+        self.blocks.append((part, q, np.frombuffer(values, np.float64).reshape(len(q), -1), cut))
+
+    def meet(self, ids: bytes, values: bytes) -> Iterator[tuple]:
+        """(part, query ids, cutoffs, vector ids, scores); a query's own row has the lowest score."""
+        c = np.frombuffer(ids, np.int64)
+        v = np.frombuffer(values, np.float64).reshape(len(c), -1)
+        for part, q, w, cut in self.blocks:
+            yield part, q, cut, c, np.where(q[:, None] != c[None, :], _scores(w, v), LOW).astype(np.int64)
+
+
+def _each_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """All meetings of a task's rows, which come sorted: for each cell of the grid the query blocks
+    (kind 0), then the nodes. Of the nodes one at a time is held."""
+    now, held = None, _Queries()
+    for b in batches:
+        for i in range(b.num_rows):
+            r = {n: b.column(n)[i] for n in b.schema.names}
+            cell = tuple(r[n].as_py() for n in ("dim", "gq", "gn"))
+            if cell != now:
+                now, held = cell, _Queries()
+            if r["kind"].as_py() == 0:
+                held.add(r["part"].as_py(), r["ids"].as_py(), r["values"].as_py(), r["cutoffs"].as_py())
+                continue
+            for m in held.meet(r["ids"].as_py(), r["values"].as_py()):
+                yield r["part"].as_py(), *m
 
 
 def _local_lists(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                q, c, s, ok = _masked(row)
-                low = np.iinfo(np.int64).min
-                s = np.where(ok, s, low).astype(np.int64)
-                top = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else s
-                flat = top.ravel()
-                counts = (top > low).sum(1)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row["q_part"])), pa.array(q), pa.array(np.full(len(q), row["c_part"])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[flat > low]))], names=["q_part", "query_id", "c_part", "scores"])
+        for node, part, q, _, _, s in _each_meeting(batches):
+            top = -np.partition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else s
+            real = top > LOW
+            offsets = np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), part)), pa.array(q), pa.array(np.full(len(q), node)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(top[real]))], names=["part", "query_id", "node", "scores"])
 
     return run
 
 
 def _entries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                q, c, s, ok = _masked(row)
-                limits = {r["query_id"]: r["cutoff"] for r in row["limits"] or []}
-                cut = np.array([limits.get(x, np.iinfo(np.int64).min) for x in q.tolist()])
-                ok &= s >= cut[:, None]
-                at, to = np.nonzero(ok)
-                score, ids = s[at, to].astype(np.int64), c[to]
-                # of a query's entries in one node only the first k can be in its result
-                order = np.lexsort((ids, -score, at))
-                at, score, ids = at[order], score[order], ids[order]
-                first = np.searchsorted(at, at)
-                keep = np.arange(len(at)) - first < k
-                yield pa.RecordBatch.from_arrays([pa.array(q[at[keep]]), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+        for _, _, q, cut, c, s in _each_meeting(batches):
+            at, to = np.nonzero((s >= cut[:, None]) & (s > LOW))
+            score, ids = s[at, to], c[to]
+            # of a query's entries in one node only the first k can be in its result
+            order = np.lexsort((ids, -score, at))
+            at, score, ids = at[order], score[order], ids[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            yield pa.RecordBatch.from_arrays([pa.array(q[at[keep]]), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _with_cutoffs(asked: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """asked with the cutoffs of its queries in their order, as bytes; LOW where there is none."""
+    per = cutoffs.groupBy("part").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("limits"))
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for ids, limits in zip(b.column("ids").to_pylist(), b.column("limits").to_pylist(), strict=True):
+                known = {r["query_id"]: r["cutoff"] for r in limits or []}
+                out.append(np.array([known.get(i, LOW) for i in np.frombuffer(ids, np.int64).tolist()], np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["dim", "part", "ids", "values", "cutoffs"])
+
+    both = asked.join(per, "part", "left").select("dim", "part", "ids", "values", "limits")
+    return both.mapInArrow(attach, "dim int, part long, ids binary, values binary, cutoffs binary")
+
+
+def _grid(asked: DataFrame, nodes: DataFrame, n_asked: int, n_nodes: int) -> DataFrame:
+    """Query blocks and nodes dealt out on a grid: each cell has about Q_CELL query blocks, which a task
+    holds, and N_CELL nodes, which stream past them. Every query block meets every node of its
+    dimension in just one cell, so no task grows with the data."""
+    gq, gn = max(1, -(-n_asked // Q_CELL)), max(1, -(-n_nodes // N_CELL))
+    own = lambda g: F.pmod(F.xxhash64("part"), F.lit(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    left = asked.select("dim", own(gq).alias("gq"), "part", "ids", "values", "cutoffs").select("dim", "gq", every(gn).alias("gn"), F.lit(0).alias("kind"), "part", "ids", "values", "cutoffs")
+    right = nodes.select("dim", own(gn).alias("gn"), "part", "ids", "values").select("dim", every(gq).alias("gq"), "gn", F.lit(1).alias("kind"), "part", "ids", "values", F.lit(None).cast("binary").alias("cutoffs"))
+    tasks = max(1, min(gq * gn, 4 * partitions(asked.sparkSession)))
+    return left.unionAll(right).repartition(tasks, "dim", "gq", "gn").sortWithinPartitions("dim", "gq", "gn", "kind")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products.
 
@@ -118,8 +160,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     queries once a phase. (1) Nodes send the k best scores of each query, without ids; their k-th
     best over all nodes is a cutoff that no member of the result is below. (2) With the cutoffs
     of its queries, each node sends the entries that reach them, the first k at most. (3) What
-    arrived is ordered by score and id and cut at k. Lists are merged in two steps, so none gets
-    longer than the number of nodes over GROUPS.
+    arrived is ordered by score and id and cut at k. Lists are merged in two steps, so that what is
+    gathered in one place grows with the square root of the number of nodes.
 
     Components become floor(64 * x) of x as double. Vectors that are null, empty or hold null or
     non-finite components take no part, nor do null ids. Only vectors of equal dimension meet. Rows
@@ -127,26 +169,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     candidate, ordered as equals. Other columns are ignored; an empty table, or one without
     queries, gives an empty result. Sums beyond 2**63 wrap around.
     """
-    spark = vectors.sparkSession
     own = vectors.select("vec_id", "embedding", is_query.alias("q"))
     ask = own.where("q")
     n = ask.count()
-    asked = checkpoint(blocks(ask.repartition(max(1, -(-n // QUERIES_AT_ONCE))), QUERIES_AT_ONCE)).select("dim", *[F.col(c).alias(f"q_{c}") for c in ("part", "ids", "values")])
-    nodes = checkpoint(blocks(own, NODE)).select("dim", *[F.col(c).alias(f"c_{c}") for c in ("part", "ids", "values")])
-    meetings = asked.count() * max(1, nodes.count())
-    tasks = max(1, min(meetings, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # each query block meets each node: the stated query set against all rows, in blocks
-    meet = asked.join(nodes, "dim").repartition(tasks, "q_part", "c_part")
-    lists = meet.mapInArrow(_local_lists(k), "q_part long, query_id long, c_part long, scores array<long>")
+    asked = checkpoint(blocks(ask.repartition(max(1, -(-n // QUERIES_AT_ONCE))), QUERIES_AT_ONCE).withColumn("cutoffs", F.lit(None).cast("binary")))
+    nodes = checkpoint(blocks(own, NODE))
+    n_asked, n_nodes = asked.count(), nodes.count()
+    lists = _grid(asked, nodes, n_asked, n_nodes).mapInArrow(_local_lists(k), "part long, query_id long, node long, scores array<long>")
 
     def best(column: str) -> Column:
         return F.slice(F.sort_array(F.flatten(F.collect_list(column)), asc=False), 1, k)
 
-    merged = lists.groupBy("q_part", "query_id", F.pmod("c_part", F.lit(GROUPS)).alias("g")).agg(best("scores").alias("scores")).groupBy("q_part", "query_id").agg(best("scores").alias("scores"))
-    cutoffs = merged.where(F.size("scores") >= k).select("q_part", "query_id", F.element_at("scores", k).alias("cutoff"))
-    limits = checkpoint(cutoffs.groupBy("q_part").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("limits")))
-    again = asked.join(limits, "q_part", "left").join(nodes, "dim").repartition(tasks, "q_part", "c_part")
-    entries = again.mapInArrow(_entries(k), "query_id long, vec_id long, score long")
+    groups = max(1, int(np.sqrt(n_nodes)))
+    merged = lists.groupBy("part", "query_id", F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g")).agg(best("scores").alias("scores")).groupBy("part", "query_id").agg(best("scores").alias("scores"))
+    cutoffs = merged.where(F.size("scores") >= k).select("part", "query_id", F.element_at("scores", k).alias("cutoff"))
+    limited = checkpoint(_with_cutoffs(asked, cutoffs))
+    entries = _grid(limited, nodes, n_asked, n_nodes).mapInArrow(_entries(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
