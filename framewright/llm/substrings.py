@@ -128,7 +128,12 @@ class FingerprintIndex:
                 hit = np.ones(len(w.of), bool)
                 for p in _filter_places(w.anchors, FILTER_BITS):
                     hit &= (table[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(w.hashes[hit].view(np.int64)), pa.array(ids_of(b.column(0))[w.of[hit]])], names=["window", "doc_id"])
+                of, h = w.of[hit], w.hashes[hit]
+                order = np.lexsort((h, of))  # a window that a text repeats is sent once
+                of, h = of[order], h[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids_of(b.column(0))[of[new]])], names=["window", "doc_id"])
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "window long, doc_id long")
         first = rows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
