@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
 Parquet to the cluster's shared folder and reads them again for the next one. All stages
-but the last return the columns of documents.
+but the last return the columns of documents, in their order; further columns pass through.
+
+Nulls and odd texts are handled as the operators say: null and empty texts fail the quality rules; a
+document without an id counts as the last one for lines and stays in near dedup; a null source is
+a source of its own. Repeated rows stay repeated until near dedup, which drops or keeps all rows of
+an id. Empty tables give empty results.
 """
 
 from __future__ import annotations

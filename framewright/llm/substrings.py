@@ -101,13 +101,17 @@ class FingerprintIndex:
         for r in self.runs[1:]:
             every = every.unionAll(self.spark.table(r))
         new = self._write(every.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last")))
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE {r}")
+        self.close()
         self.runs = [new]
 
     def close(self) -> None:
+        """Drops all runs with their files."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for r in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{r.rsplit('_', 1)[-1]}")
+            path.getFileSystem(conf).delete(path, True)
+        self.runs = []
 
     def repeated(self, docs: DataFrame, anchors: DataFrame) -> DataFrame:
         """(doc_id, drop): the windows of each document that a smaller document has as well.

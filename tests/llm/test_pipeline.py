@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 
 from . import data
 from .test_documents import plain_lines, plain_near
@@ -29,3 +30,21 @@ def test_stages(spark, tmp_path):
     assert max(Counter(i for i, _, _ in kept["mix"]).values()) <= 2
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["piece"]) for r in whole).keys() == Counter((r["doc_id"], r["piece"]) for r in corpus_pipeline.pack(spark, state, "").collect()).keys()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, data.empty(spark), "").count() == 0
+    text = "some words that are long enough for the rules to keep them " + " ".join(f"z{i}" for i in range(80))
+    row = (7, text, "en", "src0", 1, 7, "clash", 1)
+    docs = data.frame(spark, n=8, more=[row, row, (None, *row[1:]), (None,) * 8])
+    out = stage(spark, docs, "")
+    got = out.collect()
+    if name != "pack":
+        assert out.columns == docs.columns
+    if name == "near":
+        assert sum(r["doc_id"] is None for r in got) == 2 and sum(r["doc_id"] == 7 for r in got) == 2
+    if name == "quality":
+        assert sum(r["text"] == text for r in got) == 3 and all(r["text"] for r in got)
+    assert got
