@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
 #: Islands, epochs between migrations, solutions of an island, children of an epoch.
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 4, 3, 6, 24
 #: Known words of a worker at most; then it forgets them and starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 700_000
 
 Bins = Counter  # of patterns: how many bins hold just these lengths, in falling order
 
@@ -210,10 +211,11 @@ class Tokens(dict):
     """Ids of each text between ASCII white space, as bytes of little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, and its normaliser works on each
-    such piece alone; so a text's ids are those of its pieces one after the other. Nor does it join
-    letters or digits with the marks in MARKS after them; so a piece's marks at the end are looked
-    up by themselves. A piece of letters below PLAIN, which normalising only lower-cases, goes to
-    the tokenizer's model at once; all other pieces go through the whole tokenizer.
+    such piece alone; so a text's ids are those of its pieces one after the other. It lower-cases,
+    and it never joins an ASCII letter or digit with a mark of MARKS after it; so texts are
+    lower-cased (but for letters before non-ASCII bytes, which may be accents) and cut there first, which
+    leaves far fewer different pieces. Texts that may name a special token are left as they are. A
+    piece of letters below PLAIN goes to the tokenizer's model at once, others through all of it.
     """
 
     MARKS, PLAIN = b".,!?;:|%&$*#", chr(0x250)
@@ -227,6 +229,9 @@ class Tokens(dict):
             path = public_tokenizers.path(path)
         self.of, self.before = Tokenizer.from_file(path), {}
         self.model, self.letters = self.of.model, byte_letters()
+        every = [bytes([b]) for b in range(256)]
+        self.lower = np.frombuffer(b"".join(every).lower(), np.uint8)
+        self.alnum, self.mark = (np.array([f(b) for b in every]) for f in (bytes.isalnum, lambda b: b in self.MARKS))
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > KNOWN_WORDS:
@@ -234,22 +239,41 @@ class Tokens(dict):
             self.clear()
         ids = self.before.get(word)
         if ids is None:
-            text = word.decode("utf-8", "replace")
-            stem = word.rstrip(self.MARKS)
-            if text.isalpha() and max(text) < self.PLAIN and "\u0130" not in text:
-                text = text.lower()
-                if not text.isascii():
-                    text = text.encode().decode("latin-1").translate(self.letters)
-                ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-            elif stem and stem != word and stem[-1:].isalnum() and b"<|" not in word and b"'" not in word:
-                ids = self[stem] + self[word[len(stem) :]]
+            if word.isalpha():  # ASCII letters alone
+                small = word.lower()
+                ids = self._plain(word.decode()) if small == word else self[small]
             else:
-                ids = np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self._other(word)
         self[word] = ids
         return ids
 
+    def _plain(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _other(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < self.PLAIN and "\u0130" not in text:
+            small = text.lower()
+            if small != text:
+                return self[small.encode()]
+            return self._plain(word.decode("latin-1").translate(self.letters))
+        ids = self.of.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:
+            return text.split()
+        a = np.frombuffer(text + b" ", np.uint8)
+        a, after = a[:-1], a[1:]
+        a = np.where(after < 128, self.lower[a], a)
+        cut = self.alnum[a] & self.mark[after]
+        out = np.full(len(a) + np.count_nonzero(cut), 32, np.uint8)
+        out[np.arange(len(a)) + np.cumsum(cut) - cut] = a
+        return out.tobytes().split()
+
     def __call__(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:

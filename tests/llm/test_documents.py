@@ -5,11 +5,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from framewright.llm import classifier, lines, mixing, near, packing, quality, sharding, substrings
 
 from . import data
 
+TOKENS = packing.Tokens("word_bpe_49k.json")
 WORDS = lambda t: (t or "").encode().split()
 
 
@@ -283,6 +286,15 @@ def test_tokens_of_odd_texts(text):
     assert np.frombuffer(t(text.encode()), "<u4").tolist() == whole
 
 
+@given(st.text("aBcDéÉßñ ẖH\u0331\u030c\u0301.,!?'sTd<|>12½…中\n\t\u00a0#Σσİ", max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_tokens_of_any_text(text):
+    import numpy as np
+
+    t = TOKENS
+    assert np.frombuffer(t(text.encode()), "<u4").tolist() == t.of.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_of_all_plain_letters():
     import numpy as np
 
