@@ -51,8 +51,9 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
     """Adds the 0-based rank of each row in its group, with no group in one task.
 
     Rows are range-partitioned by (group, order), ranked inside each partition, and shifted by
-    the group's rows in earlier partitions. What is counted is one row per partition and group.
-    Columns that start with two underscores must not be in df. Equal rows are ranked in any order.
+    the group's rows in earlier partitions. What is counted is one row per partition and group. Range
+    partitioning reads df twice, once for its bounds; write a costly one first. Columns that start
+    with two underscores must not be in df. Equal rows are ranked in any order.
     """
     cut = checkpoint(df.repartitionByRange(*group, *order).withColumn("__pid", F.spark_partition_id()))
     per = cut.groupBy("__pid", *group).agg(F.count(F.lit(1)).alias("__n"))
@@ -91,8 +92,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATC
 class WordHash(dict):
     """64-bit hash of each distinct word, computed once; emptied when large."""
 
+    MOST = 200_000
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > self.MOST:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
