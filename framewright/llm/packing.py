@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from .common import bytes_of, checkpoint, ranked, rows_of, text_slices
 CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
 #: Islands, epochs between migrations, solutions of an island, children of an epoch.
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 4, 3, 6, 24
-#: Known words of a worker at most; then it forgets them and starts anew.
-KNOWN_WORDS = 700_000
+#: Known words of a worker; beyond that, those that it has not met again since are forgotten.
+KNOWN_WORDS = 450_000
 
 Bins = Counter  # of patterns: how many bins hold just these lengths, in falling order
 
@@ -234,7 +235,7 @@ class Tokens(dict):
         self.alnum, self.mark = (np.array([f(b) for b in every]) for f in (bytes.isalnum, lambda b: b in self.MARKS))
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > KNOWN_WORDS:
+        if len(self) >= KNOWN_WORDS:
             self.before = dict(self)
             self.clear()
         ids = self.before.get(word)
@@ -276,13 +277,19 @@ class Tokens(dict):
         return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
 
 
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """A worker's tokens: tasks that follow each other in it share what it knows."""
+    return Tokens(path)
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the tokens of each row of docs with the
     end token, cut into pieces of `capacity`; ids are bytes of little-endian 32-bit numbers."""
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for b in text_slices(batches, "text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(bytes_of(b.column(1))):
@@ -328,8 +335,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = T
     A null or empty text is the end token alone. Null ids and repeated rows are packed like
     others, each row by itself. Other columns are ignored; an empty table gives an empty result.
     """
-    pieces = ranked(token_pieces(docs, capacity, tokenizer, keep_ids), ["length"], ["doc_id", "piece"])
-    pieces = checkpoint(pieces)
+    # written first: range partitioning reads its input twice, and would cut the texts twice
+    pieces = checkpoint(token_pieces(docs, capacity, tokenizer, keep_ids))
+    pieces = checkpoint(ranked(pieces, ["length"], ["doc_id", "piece"]))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = counts.pop(capacity, 0)
     bins = pack_lengths(docs.sparkSession, counts, capacity, **islands)
