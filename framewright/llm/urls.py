@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import bytes_of, mix64
+from .common import bytes_of, checkpoint, mix64, text_slices
 
 #: (verdict, host, path): fixed values of the query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Longest context; buckets of each order's counts; strength of the shorter context's estimate.
-ORDER, BUCKETS, STRENGTH = 5, 2**15, 2.0
+#: Longest context; strength of the shorter context's estimate.
+ORDER, STRENGTH = 5, 2.0
 #: Range and number of bins of the length-normalised difference, for calibration.
 SPAN, BINS = 4.0, 800
 _SYMBOLS = 256
-_SLICE = 5000
+#: Bytes of the urls that are counted or scored at once.
+_BLOCK = 250_000
 
 
 class Rules:
@@ -39,21 +41,29 @@ class Rules:
         return (best[0], best[1]) if best[1] else (None, None)
 
 
-def contexts(urls: list[bytes], order: int = ORDER, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character of each url, with an end mark: its url; per order from 0 up the bucket of
-    its context; and that of context and character."""
+def contexts(urls: list[bytes], order: int = ORDER, buckets: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of each url, with an end mark: its url; per order from 0 up the key of its
+    context; and that of context and character.
+
+    A key holds the order, the kind and the characters themselves, so no two share one. With
+    buckets, keys are hashed into so many per order and kind.
+    """
+    if order > 6:
+        raise ValueError("a key holds 7 characters")
     pad = b"\x02" * order
-    flat = np.frombuffer(b"".join(pad + u + b"\x03" for u in urls), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(pad + u + b"\x03" for u in urls), np.uint8).astype(np.int64)
     sizes = np.array([len(u) + 1 for u in urls], np.int64)
     of = np.repeat(np.arange(len(urls)), sizes)
     at = np.arange(len(of)) + (of + 1) * order
     ctx, both = np.empty((order + 1, len(at)), np.int64), np.empty((order + 1, len(at)), np.int64)
-    h = np.zeros(len(at), np.uint64)
+    last = np.zeros(len(at), np.int64)
     for k in range(order + 1):
         if k:
-            h = mix64(h + flat[at - k] + np.uint64(k << 8))
-        ctx[k] = (h % np.uint64(buckets)).astype(np.int64)
-        both[k] = (mix64(h * np.uint64(31) + flat[at] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+            last += flat[at - k] << 8 * (k - 1)
+        ctx[k] = last + (2 * k << 56)
+        both[k] = (last << 8) + flat[at] + (2 * k + 1 << 56)
+    if buckets:
+        ctx, both = ((mix64(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) for x in (ctx, both))
     return of, ctx, both
 
 
@@ -64,71 +74,119 @@ def _cells(side: np.ndarray, ctx: np.ndarray, both: np.ndarray, order: int, buck
     return np.concatenate([(base * buckets + ctx).ravel(), ((base + 1) * buckets + both).ravel()])
 
 
+def _difference(urls: list[bytes], of: np.ndarray, ctx: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Mean log-likelihood difference per character, accepted less rejected, from the counts (class,
+    order, character) of contexts and of contexts with characters; empty urls: 0."""
+    logs = []
+    for side in (0, 1):
+        p = np.full(len(of), 1 / _SYMBOLS)
+        for n, m in zip(ctx[side], both[side], strict=True):
+            p = (m + STRENGTH * p) / (n + STRENGTH)
+        logs.append(np.bincount(of, np.log(np.minimum(p, 1.0)), len(urls)))
+    sizes = np.array([len(u) for u in urls])
+    return np.where(sizes > 0, (logs[1] - logs[0]) / (sizes + 1), 0.0)
+
+
 class LanguageModels:
-    """Interpolated Markov models of order 0 to ORDER for rejected (0) and accepted (1) urls."""
+    """Interpolated Markov models of order 0 to ORDER for rejected (0) and accepted (1) urls, whose
+    counts stand in one table of hashed keys; for few urls, in memory."""
 
-    def __init__(self, table: np.ndarray, order: int = ORDER, buckets: int = BUCKETS) -> None:
+    def __init__(self, table: np.ndarray, order: int, buckets: int) -> None:
         self.table, self.order, self.buckets = table.reshape(2, order + 1, 2, buckets), order, buckets
-        self.threshold = 0.0
 
     def difference(self, urls: list[bytes]) -> np.ndarray:
-        """Mean log-likelihood difference per character, accepted less rejected; empty urls: 0."""
         if not urls:
             return np.empty(0)
         of, ctx, both = contexts(urls, self.order, self.buckets)
-        logs = []
-        for side in (0, 1):
-            p = np.full(len(of), 1 / _SYMBOLS)
-            for k in range(self.order + 1):
-                p = (self.table[side, k, 1][both[k]] + STRENGTH * p) / (self.table[side, k, 0][ctx[k]] + STRENGTH)
-            logs.append(np.bincount(of, np.log(np.minimum(p, 1.0)), len(urls)))
-        sizes = np.array([len(u) for u in urls])
-        return np.where(sizes > 0, (logs[1] - logs[0]) / (sizes + 1), 0.0)
+        k = np.arange(self.order + 1)[:, None]
+        return _difference(urls, of, self.table[:, k, 0, ctx], self.table[:, k, 1, both])
+
+
+class CountedModels:
+    """The same models over a distributed table (key, rejected, accepted) of exact keys."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER) -> None:
+        self.counts, self.order, self.threshold = counts, order, 0.0
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Adds the column difference to rows with a string column url.
+
+        Rows are dealt into blocks of bounded size. A block asks once for each key in its urls, so a
+        key that all urls have is asked for as often as there are blocks; what the table has of the
+        keys comes back to the block.
+        """
+        order, names = self.order, rows.columns
+        place = names.index("url")
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = TaskContext.get().partitionId() << 32
+            for block, b in enumerate(text_slices(batches, "url", _BLOCK), first):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, block))], names=[*names, "__block"])
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                urls, blocks = bytes_of(b.column(0)), b.column(1).to_numpy()
+                for block in np.unique(blocks):
+                    _, ctx, both = contexts([urls[i] for i in np.flatnonzero(blocks == block)], order)
+                    keys = np.unique(np.concatenate([ctx.ravel(), both.ravel()]))
+                    for at in range(0, len(keys), 100_000):
+                        k = keys[at : at + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], names=["__block", "key"])
+
+        def answer(block: pa.Table, found: pa.Table) -> pa.Table:
+            urls = bytes_of(block.column(place))
+            of, ctx, both = contexts(urls, order)
+            keys = found["key"].to_numpy()
+            sort = np.argsort(keys)
+            keys = np.append(keys[sort], np.iinfo(np.int64).max)
+            n = np.stack([np.append(found[c].to_numpy()[sort], 0) for c in ("rejected", "accepted")])
+
+            def look(x: np.ndarray) -> np.ndarray:
+                i = np.searchsorted(keys, x)
+                return np.where(keys[i] == x, n[:, i], 0)
+
+            return block.select(names).append_column("difference", pa.array(_difference(urls, of, look(ctx), look(both)), pa.float64()))
+
+        dealt = checkpoint(rows.mapInArrow(deal, StructType([*rows.schema, StructField("__block", LongType())])))
+        asked = dealt.select("url", "__block").mapInArrow(ask, "__block long, key long")
+        found = asked.join(self.counts, "key").select("__block", "key", "rejected", "accepted")
+        return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(answer, StructType([*rows.schema, StructField("difference", DoubleType())]))
+
+    def difference(self, urls: list[bytes]) -> np.ndarray:
+        """The differences of a few urls, through score()."""
+        rows = [(i, u.decode()) for i, u in enumerate(urls)]
+        got = self.score(self.counts.sparkSession.createDataFrame(rows, "i long, url string")).orderBy("i").toArrow()
+        return got["difference"].to_numpy()
 
 
-def train(labelled: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> LanguageModels:
+def train(labelled: DataFrame, order: int = ORDER) -> CountedModels:
     """Models from rows (url, accepted). Four fifths of the urls, by CRC-32, are counted, the
     others set the threshold of the difference with the best balanced accuracy.
 
-    Counts are hashed into tables of a fixed size and summed where rows are read, so neither a very
-    common host nor many urls make the result larger.
+    Counts are kept by the characters of each context in a distributed table, which grows with the
+    number of different contexts. They are summed where rows are read before they are dealt, so
+    a very common host does not make a task larger.
     """
-    cells = 4 * (order + 1) * buckets
+    held = F.crc32(F.col("url").cast("binary")) % 5 == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, _SLICE):
-                part = b.slice(at, _SLICE)
-                urls, side = bytes_of(part.column(0)), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                keep = np.array([zlib.crc32(u) % 5 != 0 for u in urls])
-                urls, side = [u for u, k in zip(urls, keep, strict=True) if k], side[keep]
-                if urls:
-                    of, ctx, both = contexts(urls, order, buckets)
-                    total += np.bincount(_cells(side[of], ctx, both, order, buckets), minlength=cells)
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 100_000):
-            k = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["cell", "n"])
-
-    got = labelled.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(cells)
-    table[got["cell"].to_numpy()] = got["n"].to_numpy()
-    models = LanguageModels(table, order, buckets)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, _SLICE):
-                part = b.slice(at, _SLICE)
-                urls = bytes_of(part.column(0))
-                keep = np.flatnonzero([zlib.crc32(u) % 5 == 0 for u in urls])
-                d = models.difference([urls[i] for i in keep])
-                at_bin = np.clip(((d + SPAN) / (2 * SPAN) * BINS).astype(np.int32), 0, BINS - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(at_bin, pa.int32()), part.column(1).take(pa.array(keep, pa.int64()))], names=["bin", "accepted"])
-
-    held = labelled.mapInArrow(measure, "bin int, accepted boolean").groupBy("bin", "accepted").count().collect()
+        for b in text_slices(batches, "url", _BLOCK):
+            of, ctx, both = contexts(bytes_of(b.column(0)), order)
+            side = b.column(1).to_numpy(zero_copy_only=False)[of]
+            keys, at = np.unique(np.concatenate([ctx.ravel(), both.ravel()]), return_inverse=True)
+            accepted = np.bincount(at, np.tile(side, 2 * (order + 1)), len(keys)).astype(np.int64)
+            rejected = np.bincount(at, minlength=len(keys)) - accepted
+            for i in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (keys, rejected, accepted)], names=["key", "rejected", "accepted"])
+
+    rows = labelled.select("url", "accepted")
+    counts = rows.where(~held).mapInArrow(count, "key long, rejected long, accepted long").groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted"))
+    models = CountedModels(checkpoint(counts), order)
+
+    at_bin = F.floor((F.col("difference") + SPAN) / (2 * SPAN) * BINS)
+    at_bin = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at_bin)).cast("int")
     counts = np.zeros((2, BINS))
-    for r in held:
+    for r in models.score(rows.where(held)).groupBy(at_bin.alias("bin"), "accepted").count().collect():
         counts[int(r["accepted"]), r["bin"]] = r["count"]
     if counts.sum(1).all():
         below = np.concatenate([np.zeros((2, 1)), np.cumsum(counts, 1)], axis=1) / counts.sum(1, keepdims=True)
@@ -171,18 +229,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     kind = pages.schema["page_id"].dataType.simpleString()
     named = split_url(pages.select("page_id", name), name).select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"))
     ruled = named.mapInArrow(apply, f"page_id {kind}, host string, path string, rule string, verdict string")
-    models = train(ruled.where("verdict is not null").select(F.concat("host", "path").alias("url"), (F.col("verdict") == "allow").alias("accepted")))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                b = batch.slice(at, _SLICE)
-                host, path = bytes_of(b.column(1)), bytes_of(b.column(2))
-                d = models.difference([h + p for h, p in zip(host, path, strict=True)])
-                verdict = [v or ("allow" if x >= models.threshold or not h + p else "block") for v, x, h, p in zip(b.column(4).to_pylist(), d, host, path, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdict, pa.string()), pa.array(d)], names=["page_id", "host", "path", "rule", "verdict", "difference"])
-
-    return ruled.mapInArrow(finish, f"page_id {kind}, host string, path string, rule string, verdict string, difference double")
+    ruled = ruled.withColumn("url", F.concat("host", "path"))
+    models = train(ruled.where("verdict is not null").select("url", (F.col("verdict") == "allow").alias("accepted")))
+    told = F.when((F.col("difference") >= models.threshold) | (F.col("url") == ""), "allow").otherwise("block")
+    return models.score(ruled).select("page_id", "host", "path", "rule", F.coalesce("verdict", told).alias("verdict"), "difference")
 
 
 def op7_urls(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,32 @@ def test_difference_against_plain():
         assert d == pytest.approx(logs / (len(t) - order))
 
 
+def test_trained_models_against_plain_counts(spark):
+    """More contexts than any fixed table had places; counts and differences are those of plain dicts."""
+    r = random.Random(5)
+    taught = [("".join(r.choice("abcdefghijklmnop./") for _ in range(30)), bool(i % 2)) for i in range(4000)]
+    models = urls.train(spark.createDataFrame(taught, "url string, accepted boolean").repartition(3))
+    c, b = Counter(), Counter()
+    for u, side in taught:
+        if zlib.crc32(u.encode()) % 5:
+            t = b"\x02" * 5 + u.encode() + b"\x03"
+            for i in range(5, len(t)):
+                for k in range(6):
+                    c[side, t[i - k : i]] += 1
+                    b[side, t[i - k : i], t[i]] += 1
+    assert len({x[1:] for x in c} | {x[1:] for x in b}) > 2**17
+    assert models.counts.count() == len({x[1:] for x in c}) + len({x[1:] for x in b})
+    for u, d in zip([u for u, _ in taught[:20]], models.difference([u.encode() for u, _ in taught[:20]]), strict=True):
+        t, logs = b"\x02" * 5 + u.encode() + b"\x03", [0.0, 0.0]
+        for i in range(5, len(t)):
+            for side in (False, True):
+                p = 1 / 256
+                for k in range(6):
+                    p = (b[side, t[i - k : i], t[i]] + urls.STRENGTH * p) / (c[side, t[i - k : i]] + urls.STRENGTH)
+                logs[side] += math.log(p)
+        assert d == pytest.approx((logs[1] - logs[0]) / (len(t) - 5))
+
+
 def test_urls_empty_and_null(spark):
     kind = "page_id long, url string"
     assert urls.judge_urls(spark.createDataFrame([], kind)).count() == 0
