@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD, ranked
+from .common import WORD, checkpoint, ranked
 
 #: Weights of the sources in code-point order, repeating; the share of all words; copies at most.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def copies_of(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of docs.
+def copies_of(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0, more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of docs, and its columns `more`.
 
     Each document of a source expects target / source_size copies. Documents stand in order of
     size, then id, so that neighbours are alike; their expected copies are summed up, one random
@@ -60,8 +60,8 @@ def copies_of(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     of its own, last in order. A source without words has target 0 and no copies. Repeated rows
     are separate documents. An empty table gives an empty result. Other columns are ignored.
     """
-    sizes = docs.select("doc_id", "source", words(docs["text"]).alias("size"))
-    at = ranked(sizes, ["source"], ["size", "doc_id"])
+    sizes = docs.select("doc_id", "source", words(docs["text"]).alias("size"), *more)
+    at = ranked(sizes, ["source"], ["size", "doc_id", *more])
     per = source_targets(at, weights, share, most)
     per = per.select(F.col("source").alias("__s"), "source_size", "target")
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
@@ -69,21 +69,31 @@ def copies_of(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor((F.col("rank") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
     joined = at.join(per, at["source"].eqNullSafe(per["__s"])).withColumns({"rate": rate, "offset": offset})
-    return joined.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.least(crossed, F.lit(most)).cast("int").alias("copies"))
+    return joined.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.least(crossed, F.lit(most)).cast("int").alias("copies"), *more)
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """64-bit hash of all columns; nulls count."""
+    each = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*each, *[c.isNull() for c in each])
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns unchanged.
 
-    Rows that share a doc_id must be equal rows; each then comes as often as the mix takes one of
-    them. Nulls and empty tables: see copies_of().
+    A row is known by a hash of all its columns, so rows without an id or with one id and
+    different texts get their own copies. Equal rows can't be told apart: one of them gives the
+    copies of all. Nulls and empty tables: see copies_of().
     """
-    took = copies_of(docs, weights, share, most, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__held"))
-    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__size"), "__all", "__held")
-    named = docs.withColumn("__words", words(docs["text"]))
-    on = named["doc_id"].eqNullSafe(took["__id"]) & named["source"].eqNullSafe(took["__s"]) & (named["__words"] == took["__size"])
-    each = F.greatest(F.lit(1), F.ceil(F.col("__all") / F.col("__held"))).cast("int")
-    out = named.join(took, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), each)))
+    known = docs.withColumns({"__words": words(docs["text"]), "__row": _row_hash(docs)})
+    took = copies_of(known, weights, share, most, seed, ["__row"]).groupBy("doc_id", "source", "size", "__row").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__held"))
+    took = checkpoint(took.where("__all > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__size"), F.col("__row").alias("__hash"), "__all", "__held"))
+    on = known["doc_id"].eqNullSafe(took["__id"]) & known["source"].eqNullSafe(took["__s"]) & (known["__words"] == took["__size"]) & (known["__row"] == took["__hash"])
+    out = known.join(took.where("__held = 1"), on)
+    repeated = took.where("__held > 1")
+    if not repeated.isEmpty():
+        out = out.unionAll(known.join(repeated, on).dropDuplicates(["__id", "__s", "__size", "__hash"]))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__all").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

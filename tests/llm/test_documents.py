@@ -419,6 +419,20 @@ def test_repeated_rows_mix(spark):
     assert 0 <= out <= 4
 
 
+@pytest.mark.parametrize("share", [0.3, 1.5])
+def test_mix_of_equal_rows_and_rows_without_id(spark, share):
+    rows = [(5, "one two three", "big")] * 400 + [(None, f"one two t{i}", "big") for i in range(400)] + [(5, f"one two u{i}", "big") for i in range(50)]
+    docs = spark.createDataFrame([*rows, (1, "four words are here", "a"), (2, None, "b")], "doc_id long, text string, source string").repartition(3)
+    target = {r["source"]: r["target"] for r in mixing.copies_of(docs, share=share).collect()}
+    got = mixing.mix_sources(docs, share=share).collect()
+    taken = sum(len(WORDS(r["text"])) for r in got if r["source"] == "big")
+    assert abs(taken - target["big"]) <= 3
+    low, high = int(target["big"] / 2550), int(target["big"] / 2550) + 1
+    times = Counter((r["doc_id"], r["text"]) for r in got)
+    for key, n in Counter(r[:2] for r in rows).items():
+        assert (times[key] in (low, high)) if n == 1 else abs(times[key] - n * target["big"] / 2550) <= 2
+
+
 def test_classifier_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert classifier.score_documents(data.empty(spark), labels).count() == 0
