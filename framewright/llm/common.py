@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from framewright.operators.storage import checkpoint, remove  # noqa: F401  for the operators
+from framewright.operators.storage import new_path as shared  # noqa: F401
+
 #: A word is a run of anything but ASCII space and 0x09-0x0D, which is what bytes.split() yields.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest doc_id stands for a null one, so that null ids sort last.
@@ -22,14 +24,6 @@ BATCH_WORDS = 400_000
 BATCH_BYTES = 3_000_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,14 +84,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATC
 
 
 class WordHash(dict):
-    """64-bit hash of each distinct word, computed once; emptied when large."""
+    """64-bit hash of each distinct word, computed once; emptied when large. Words over LONGEST bytes
+    are hashed each time, so that what is kept is bounded in bytes too."""
 
-    MOST = 200_000
+    MOST, LONGEST = 200_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -141,13 +138,3 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
             power = np.uint64(int(power) ** 2 % 2**64)
             size *= 2
     return mix64(acc[: len(words) - n + 1])
-
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder of checkpoints."""
-    import uuid
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

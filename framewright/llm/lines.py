@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from .common import NULL_ID, bytes_of, checkpoint, ids_of, mix64, partitions, te
 
 #: Code points that a key has at least; keys of one index shard; bits per key and level.
 LEAST, SHARD_KEYS, GAMMA = 10, 200_000, 2.0
-_TWO32 = 2**32
+#: Rows that a key has at least to be looked up where it is read.
+COMMON = 20_000
 
 
 def line_key(line: bytes, least: int = LEAST) -> bytes | None:
@@ -28,41 +30,41 @@ def line_key(line: bytes, least: int = LEAST) -> bytes | None:
 
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: levels of bits, each key at the first level
-    where no other remaining key shares its place; its number is the count of bits before it."""
+    where no other remaining key shares its place; its number is the count of bits before it. A place
+    costs its bit and, for each 64 of them, the count so far: 2 bits in all."""
 
     def __init__(self, keys: np.ndarray, gamma: float = GAMMA) -> None:
         self.n, self.levels, rest = len(keys), [], keys.astype(np.uint64)
         while len(rest):
-            size = max(64, int(gamma * len(rest)))
+            size = 64 * max(1, int(gamma * len(rest)) // 64)
             at = self._place(rest, len(self.levels), size)
             alone = np.bincount(at, minlength=size) == 1
-            self.levels.append(np.packbits(alone))
+            self.levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
             rest = rest[~alone[at]]
-        self._ranks()
+        self._count()
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
         return ((mix64(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
-    def _ranks(self) -> None:
-        self._bits = [np.unpackbits(x).astype(bool) for x in self.levels]
-        counts = [int(b.sum()) for b in self._bits]
-        self._rank = [np.cumsum(b, dtype=np.int64) - 1 + sum(counts[:i]) for i, b in enumerate(self._bits)]
-        self._sizes, left = [], self.n
-        for c in counts:
-            self._sizes.append(max(64, int(GAMMA * left)))
-            left -= c
+    def _count(self) -> None:
+        self._before, total = [], 0
+        for words in self.levels:
+            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            self._before.append(np.concatenate([[0], ones[:-1]]) + total)
+            total += int(ones[-1])
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Each key's number, for keys of the set all different; -1 or any number for others."""
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for level, size in enumerate(self._sizes):
+        for level, words in enumerate(self.levels):
             if not len(open_):
                 break
-            at = self._place(keys[open_].astype(np.uint64), level, size)
-            hit = self._bits[level][at]
-            out[open_[hit]] = self._rank[level][at[hit]]
+            at = self._place(keys[open_].astype(np.uint64), level, 64 * len(words))
+            word, bit = words[at >> 6], np.uint64(1) << (at & 63).astype(np.uint64)
+            hit = (word & bit) != 0
+            out[open_[hit]] = self._before[level][at[hit] >> 6] + np.bitwise_count(word[hit] & (bit[hit] - np.uint64(1)))
             open_ = open_[~hit]
         return out
 
@@ -76,149 +78,164 @@ class PerfectHash:
         self.n, k = (int(x) for x in np.frombuffer(data, np.int64, 2))
         sizes, at, self.levels = np.frombuffer(data, np.int64, k, 16), 16 + 8 * k, []
         for s in sizes:
-            self.levels.append(np.frombuffer(data, np.uint8, s, at))
-            at += int(s)
-        self._ranks()
+            self.levels.append(np.frombuffer(data, np.uint64, s, at))
+            at += 8 * int(s)
+        self._count()
         return self
 
 
+def _digests(texts: list[bytes | None], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, texts' numbers): the 128-bit hashes of the distinct keys of each text."""
+    digests, counts = [], []
+    for text in texts:
+        keys = {k for line in text.split(b"\n") if (k := line_key(line, least))} if text else ()
+        digests += [xxhash.xxh3_128_digest(k) for k in keys]
+        counts.append(len(keys))
+    h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+    return np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), np.repeat(np.arange(len(texts)), counts)
+
+
 def _hash_lines(docs: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, doc_id): a 128-bit hash of each distinct key of each document."""
+    """(h1, h2, doc_id) of each distinct key of each row of docs (doc_id, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
-            ids, digests, counts = ids_of(b.column(0)), [], []
-            for text in bytes_of(b.column(1)):
-                keys = {k for line in text.split(b"\n") if (k := line_key(line, least))} if text else ()
-                digests += [xxhash.xxh3_128_digest(k) for k in keys]
-                counts.append(len(keys))
-            h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(np.repeat(ids, counts))], names=["h1", "h2", "doc_id"])
+            h1, h2, of = _digests(bytes_of(b.column(1)), least)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids_of(b.column(0))[of])], names=["h1", "h2", "doc_id"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(hashed, "h1 long, h2 long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(hashed, "h1 long, h2 long, doc_id long")
 
 
-def _index(shared: DataFrame, shards: int) -> DataFrame:
-    """(shard, n_rows, payload): per shard the perfect hash, fingerprints, counts and first documents."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(shard: int, parts: list) -> pa.RecordBatch:
-            h1, h2, n, first = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = PerfectHash(h1.view(np.uint64)) if len(np.unique(h1)) == len(h1) else None
-            if order is None:  # two keys with equal first halves: the later ones go to a side list
-                _, one = np.unique(h1, return_index=True)
-                side = np.setdiff1d(np.arange(len(h1)), one)
-                order = PerfectHash(h1[one].view(np.uint64))
-            else:
-                one, side = np.arange(len(h1)), np.empty(0, np.int64)
-            at = order(h1[one].view(np.uint64))
-            table = np.empty((3, len(one)), np.int64)
-            table[:, at] = [h2[one], n[one], first[one]]
-            extra = np.stack([h1[side], h2[side], n[side], first[side]]) if len(side) else np.empty((4, 0), np.int64)
-            mph = order.dump()
-            body = np.array([len(mph), len(one), len(side)], np.int64).tobytes() + mph + table.tobytes() + extra.tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([body], pa.binary())], names=["shard", "n_rows", "payload"])
+def packed(h1: np.ndarray, h2: np.ndarray, n: np.ndarray, first: np.ndarray) -> bytes:
+    """Keys as a perfect hash with arrays of fingerprints, counts and first documents."""
+    _, one = np.unique(h1, return_index=True)
+    side = np.setdiff1d(np.arange(len(h1)), one)  # keys with the first half of another: a side list
+    order = PerfectHash(h1[one].view(np.uint64))
+    table = np.empty((3, len(one)), np.int64)
+    table[:, order(h1[one].view(np.uint64))] = [h2[one], n[one], first[one]]
+    extra = np.stack([x[side] for x in (h1, h2, n, first)])
+    mph = order.dump()
+    return np.array([len(mph), len(one), len(side)], np.int64).tobytes() + mph + table.tobytes() + extra.tobytes()
 
-        now, parts = None, []
-        for b in batches:
-            shard = b.column(0).to_numpy(zero_copy_only=False)
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
-            for s in np.unique(shard):
-                if s != now and parts:
-                    yield packed(now, parts)
-                    parts = []
-                now = int(s)
-                m = shard == s
-                parts.append([c[m] for c in cols])
-        if parts:
-            yield packed(now, parts)
 
-    by = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
-    rows = shared.select(by.alias("shard"), "h1", "h2", "n", "first").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(build, "shard int, n_rows long, payload binary")
+class Shard:
+    """What packed() wrote. Arrays stay in its bytes."""
 
-
-class _Shard:
     def __init__(self, body: bytes) -> None:
         size, n, side = (int(x) for x in np.frombuffer(body, np.int64, 3))
         self.order = PerfectHash.load(body[24 : 24 + size])
         self.h2, self.count, self.first = np.frombuffer(body, np.int64, 3 * n, 24 + size).reshape(3, n)
         e = np.frombuffer(body, np.int64, 4 * side, 24 + size + 24 * n).reshape(4, side)
-        self.side = {(int(a), int(b)): int(f) for a, b, _, f in e.T}
+        self.side = {(int(a), int(b)): (int(c), int(f)) for a, b, c, f in e.T}
 
-    def first_of(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Smallest document of each key, or NULL_ID for keys that are not in the index."""
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and smallest document of each key; 0 and NULL_ID of keys that are not held."""
         at = self.order(h1.view(np.uint64))
-        out = np.where((at >= 0) & (self.h2[at] == h2), self.first[at], NULL_ID)
+        held = at >= 0
+        held[held] = self.h2[at[held]] == h2[held]
+        count, first = np.zeros(len(h1), np.int64), np.full(len(h1), NULL_ID)
+        count[held], first[held] = self.count[at[held]], self.first[at[held]]
         if self.side:
             for i, k in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
-                out[i] = self.side.get(k, out[i])
-        return out
+                count[i], first[i] = self.side.get(k, (count[i], first[i]))
+        return count, first
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(doc_id, drop): per document the first hash halves of the keys that a smaller document has.
+def _index(keys: DataFrame, shards: int) -> DataFrame:
+    """(shard, payload) of keys (h1, h2, n, first): each shard as packed() writes it."""
 
-    Keys are hashed to 128 bits (taken as equal if these are) and pre-aggregated where they are
-    read, so a very common line costs a row per task. Keys of two documents or more go to an index
-    in shards of about `shard_keys`: a minimal perfect hash of the first 64 bits leads to arrays of
-    the other 64 bits as fingerprint, of counts, and of first documents. Each document's hashes
-    then probe the shard that they belong to; lines are never joined. A shard with very common
-    lines has several copies of its arrays, and probes are dealt out among them by document.
-    """
-    spark = docs.sparkSession
-    hashes = _hash_lines(docs, least)
-    shared = checkpoint(hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("h1", "h2", "n", "first"))
-    keys, total = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tasks = partitions(spark)
-    shards = max(1, -(-keys // shard_keys))
-    usual = max(1, -(-tasks // shards))
-    index = checkpoint(_index(shared, shards))
-    fair = max(50_000, total // tasks)
-    hot = {s: max(usual, -(-n // fair)) for s, n in index.where(F.col("n_rows") > fair * usual).select("shard", "n_rows").collect()}
-    more = rows_of_copies(hot, usual)
-    parts = index.select("shard", "payload").withColumn("copy", F.explode(F.sequence(F.lit(0), more(F.col("shard")) - 1)))
-    shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
-    probes = hashes.withColumn("shard", shard).withColumn("copy", F.pmod(F.xxhash64("doc_id"), more(F.col("shard"))).cast("int"))
-    null = F.lit(None)
-    both = parts.select("shard", "copy", F.lit(0).alias("kind"), "payload", null.cast("long").alias("h1"), null.cast("long").alias("h2"), null.cast("long").alias("doc_id"))
-    both = both.unionAll(probes.select("shard", "copy", F.lit(1).alias("kind"), null.cast("binary").alias("payload"), "h1", "h2", "doc_id"))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(shard: int, parts: list) -> pa.RecordBatch:
+            body = packed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([body], pa.binary())], names=["shard", "payload"])
+
+        now, parts = None, []
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            cols = [b.column(i).to_numpy() for i in range(1, 5)]
+            edges = np.flatnonzero(np.diff(shard, prepend=-1))
+            for a, z in zip(edges, [*edges[1:], len(shard)], strict=True):
+                if shard[a] != now and parts:
+                    yield out(now, parts)
+                    parts = []
+                now = int(shard[a])
+                parts.append([c[a:z] for c in cols])
+        if parts:
+            yield out(now, parts)
+
+    rows = keys.select(F.pmod("h1", F.lit(shards)).alias("shard"), "h1", "h2", "n", "first").repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(build, "shard long, payload binary")
+
+
+def _probe(documents: int):
+    """Looks up each shard's probes (kind 1) in its arrays (kind 0), which come first; rows of kind 2
+    are known to go and pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, arrays = None, None
         for b in batches:
-            part = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) * _TWO32 + b.column(1).to_numpy(zero_copy_only=False)
-            kind = b.column(2).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.diff(part * 2 + kind, prepend=-1))
-            for a, z in zip(edges, [*edges[1:], len(part)], strict=True):
+            shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(shard, prepend=shard[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0)) if len(shard) else []
+            edges = [0, *edges] if len(shard) else []
+            for a, z in zip(edges, [*edges[1:], len(shard)], strict=True):
                 if kind[a] == 0:
-                    now, arrays = part[a], _Shard(b.column(3)[int(a)].as_py())
-                    continue
-                if now != part[a]:
-                    continue  # a shard without repeated keys has no arrays
-                h1, h2, ids = (b.column(i).slice(int(a), int(z - a)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5, 6))
-                late = arrays.first_of(h1, h2) < ids
-                if late.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[late]), pa.array(h1[late])], names=["doc_id", "h1"])
+                    now, arrays = shard[a], Shard(b.column(2)[int(a)].as_py())
+                elif kind[a] == 2 or now == shard[a]:  # a shard without repeated keys has no arrays
+                    cols = [b.column(i).slice(int(a), int(z - a)) for i in (5, 6, 3, 4)]
+                    if kind[a] == 1:
+                        ids, h1, h2 = (cols[i].to_numpy() for i in (0, 2, 3))
+                        count, first = arrays.find(h1, h2)
+                        late = pa.array(np.flatnonzero((first < ids) & (count >= documents)))
+                        cols = [c.take(late) for c in cols]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "version", "h1", "h2"])
 
-    dealt = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-    return dealt.mapInArrow(probe, "doc_id long, h1 long").groupBy("doc_id").agg(F.collect_set("h1").alias("drop"))
+    return run
 
 
-def rows_of_copies(hot: dict[int, int], usual: int):
-    """Number of copies of a shard's arrays, as a function of columns; hot shards have more."""
+def repeated_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEYS, documents: int = 2) -> DataFrame:
+    """(doc_id, version, drop): per row of docs (doc_id, version, text), the hashes of the keys that
+    a smaller document has.
 
-    def of(shard):
-        if not hot:
-            return F.lit(usual)
-        table = F.create_map(*[F.lit(int(x)) for kv in hot.items() for x in kv])
-        return F.coalesce(F.element_at(table, shard), F.lit(usual))
+    Keys are hashed to 128 bits (taken as equal if these are) and pre-aggregated where they are
+    read, so a very common line costs a row per task. Keys of two documents or more go to an index
+    in shards of `shard_keys` at most: a minimal perfect hash of the first 64 bits leads to arrays of
+    the other 64 bits as fingerprint, of counts, and of first documents. Each document's hashes
+    then probe the shard that they belong to; lines are never joined.
+
+    A key that makes up more than a task's share of all rows would send them all to one shard. There are
+    fewer such keys than tasks, as their shares add up to all rows at most; they form one more
+    shard, which is sent to every worker, and their rows are decided where they are read.
+    """
+    spark, tasks = docs.sparkSession, partitions(docs.sparkSession)
+    found = _hash_lines(docs, least).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    keys = checkpoint(found.where("first < last").select("h1", "h2", "n", "first"))
+    held, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = max(8 * tasks, -(-held // shard_keys))
+    common = F.col("n") > max(COMMON, total // tasks)
+    hot = keys.where(common).toArrow().combine_chunks()
+    body = packed(*(hot[c].to_numpy() for c in ("h1", "h2", "n", "first")))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shard(body)
+        for b in text_slices(batches, "text"):
+            h1, h2, of = _digests(bytes_of(b.column(2)), least)
+            ids, versions = ids_of(b.column(0))[of], b.column(1).to_numpy()[of]
+            count, first = known.find(h1, h2)
+            stay = (count == 0) | ((first < ids) & (count >= documents))
+            shard, kind = np.where(count == 0, h1 % shards, -1 - versions % tasks), np.where(count == 0, 1, 2).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (shard, kind, h1, h2, ids, versions)], names=["shard", "kind", "h1", "h2", "doc_id", "version"])
 
-    return of
+    probes = docs.select("doc_id", "version", "text").mapInArrow(ask, "shard long, kind int, h1 long, h2 long, doc_id long, version long")
+    null = F.lit(None).cast("long")
+    both = _index(keys.where(~common), shards).select("shard", F.lit(0).alias("kind"), "payload", null.alias("h1"), null.alias("h2"), null.alias("doc_id"), null.alias("version"))
+    both = both.unionAll(probes.select("shard", "kind", F.lit(None).cast("binary").alias("payload"), "h1", "h2", "doc_id", "version"))
+    late = both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_probe(documents), "doc_id long, version long, h1 long, h2 long")
+    return late.groupBy("doc_id", "version").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEYS, name: str = "text") -> DataFrame:
-    """docs with the lines gone that a document with a smaller doc_id has too.
+def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = SHARD_KEYS, name: str = "text", documents: int = 2) -> DataFrame:
+    """docs with the lines gone that a document with a smaller doc_id has too, if `documents` rows or
+    more have them.
 
     Texts are split at \\n. A line's key is the line without ASCII white space at both ends, A-Z
     lower-cased; keys under `least` code points stay, and so do all lines of a key in the smallest
@@ -226,24 +243,27 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = S
     column, which gets the kept lines joined by \\n.
 
     A null or empty text is one empty line, and becomes or stays empty. A null doc_id counts as
-    the largest. Rows that share a doc_id are one document: they keep each other's lines. Other
+    the largest. Rows that share a doc_id are one document: they keep each other's lines. Drops
+    are gathered by id and text, so many rows of one id, or without one, don't meet in one place. Other
     columns stay as they are; an empty table gives an empty result.
     """
-    base = docs.withColumn("__id", F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))))
-    drops = repeated_lines(docs.select("doc_id", F.col(name).alias("text")), least, shard_keys).select(F.col("doc_id").alias("__d"), F.col("drop").alias("__drop"))
-    both = base.join(drops, base["__id"] == drops["__d"], "left").drop("__id", "__d")
+    base = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))), "__v": F.xxhash64(F.col(name))})
+    own = base.select(F.col("__id").alias("doc_id"), F.col("__v").alias("version"), F.col(name).alias("text"))
+    drops = repeated_lines(own, least, shard_keys, documents).select(F.col("doc_id").alias("__d"), F.col("version").alias("__w"), F.col("drop").alias("__drop"))
+    both = base.join(drops, (base["__id"] == drops["__d"]) & (base["__v"] == drops["__w"]), "left").drop("__id", "__v", "__d", "__w")
     names = [c for c in both.columns if c != "__drop"]
     at = names.index(name)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, name):
             texts, n_lines, n_dropped, sha = [], [], [], []
-            for text, drop in zip(bytes_of(b.column(at)), b.column(len(names)).to_pylist(), strict=True):
+            drops = b.column(len(names))
+            for i, text in enumerate(bytes_of(b.column(at))):
                 lines = (text or b"").split(b"\n")
                 kept = lines
-                if drop:
-                    gone = set(drop)
-                    kept = [x for x in lines if (k := line_key(x, least)) is None or int.from_bytes(xxhash.xxh3_128_digest(k)[:8], "big", signed=True) not in gone]
+                if drops[i].is_valid:
+                    gone = set(zip(*(x.to_pylist() for x in drops[i].values.flatten()), strict=True))
+                    kept = [x for x in lines if (k := line_key(x, least)) is None or struct.unpack(">qq", xxhash.xxh3_128_digest(k)) not in gone]
                 out = b"\n".join(kept)
                 texts.append(out)
                 n_lines.append(len(lines))

@@ -9,7 +9,6 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,9 @@ from .common import bytes_of, checkpoint, ranked, rows_of, text_slices
 CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
 #: Islands, epochs between migrations, solutions of an island, children of an epoch.
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 4, 3, 6, 24
-#: Known words of a worker; beyond that, those that it has not met again since are forgotten.
-KNOWN_WORDS = 450_000
+#: Bytes of the known words of a task, by a rough count; beyond that, those that it has not met again
+#: since are forgotten. Words over LONGEST bytes are not kept.
+KNOWN_BYTES, LONGEST = 16_000_000, 128
 
 Bins = Counter  # of patterns: how many bins hold just these lengths, in falling order
 
@@ -217,6 +217,8 @@ class Tokens(dict):
     lower-cased (but for letters before non-ASCII bytes, which may be accents) and cut there first, which
     leaves far fewer different pieces. Texts that may name a special token are left as they are. A
     piece of letters below PLAIN goes to the tokenizer's model at once, others through all of it.
+
+    What it knows is kept in two generations of KNOWN_BYTES each and ends with its task.
     """
 
     MARKS, PLAIN = b".,!?;:|%&$*#", chr(0x250)
@@ -228,16 +230,13 @@ class Tokens(dict):
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        self.of, self.before = Tokenizer.from_file(path), {}
+        self.of, self.before, self.held = Tokenizer.from_file(path), {}, 0
         self.model, self.letters = self.of.model, byte_letters()
         every = [bytes([b]) for b in range(256)]
         self.lower = np.frombuffer(b"".join(every).lower(), np.uint8)
         self.alnum, self.mark = (np.array([f(b) for b in every]) for f in (bytes.isalnum, lambda b: b in self.MARKS))
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.before = dict(self)
-            self.clear()
         ids = self.before.get(word)
         if ids is None:
             if word.isalpha():  # ASCII letters alone
@@ -245,7 +244,12 @@ class Tokens(dict):
                 ids = self._plain(word.decode()) if small == word else self[small]
             else:
                 ids = self._other(word)
-        self[word] = ids
+        if len(word) <= LONGEST:
+            if self.held >= KNOWN_BYTES:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[word] = ids
+            self.held += len(word) + len(ids) + 160  # two objects and a place in the table
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -277,19 +281,13 @@ class Tokens(dict):
         return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
 
 
-@lru_cache(maxsize=1)
-def tokens_of(path: str) -> Tokens:
-    """A worker's tokens: tasks that follow each other in it share what it knows."""
-    return Tokens(path)
-
-
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the tokens of each row of docs with the
     end token, cut into pieces of `capacity`; ids are bytes of little-endian 32-bit numbers."""
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(tokenizer)
+        tokens = Tokens(tokenizer)
         for b in text_slices(batches, "text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(bytes_of(b.column(1))):

@@ -99,22 +99,28 @@ def test_perfect_hash_round_trip():
 
 def test_lines_with_equal_first_hash_halves():
     import numpy as np
-    import pyarrow as pa
 
-    class Frame:
-        def select(self, *a):
-            return self
+    shard = lines.Shard(lines.packed(np.array([5, 5, 9]), np.array([1, 2, 3]), np.array([2, 4, 2]), np.array([10, 20, 30])))
+    count, first = shard.find(np.array([5, 5, 9, 9, 7]), np.array([1, 2, 3, 4, 1]))
+    assert first.tolist() == [10, 20, 30, 2**63 - 1, 2**63 - 1] and count.tolist() == [2, 4, 2, 0, 0]
+    none = np.empty(0, np.int64)
+    assert lines.Shard(lines.packed(none, none, none, none)).find(np.array([5]), np.array([1]))[0].tolist() == [0]
 
-        repartition = sortWithinPartitions = select
 
-        def mapInArrow(self, f, schema):
-            return f
+def test_common_lines_are_decided_where_they_are_read(spark, docs, plain, monkeypatch):
+    monkeypatch.setattr(lines, "COMMON", 3)
+    got = {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["__sha"]) for r in lines.drop_repeated_lines(docs).collect()}
+    assert got == plain_lines(plain)
+
 
-    build = lines._index(type("D", (), {"select": lambda self, *a: Frame()})(), 1)
-    b = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(3, np.int32), np.array([5, 5, 9]), np.array([1, 2, 3]), np.array([2, 2, 2]), np.array([10, 20, 30]))], names=list("abcde"))
-    shard = lines._Shard(next(build(iter([b])))["payload"][0].as_py())
-    got = shard.first_of(np.array([5, 5, 9, 9, 7]), np.array([1, 2, 3, 4, 1]))
-    assert got[:3].tolist() == [10, 20, 30] and (got[3:] == 2**63 - 1).all()
+def test_lines_of_least_documents_and_shared_ids(spark):
+    a, b, c = "a line of three rows", "a line of two rows only", "one more line, of one id"
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{c}"), (2, f"{c}\n{c}"), (3, f"{b}\n{a}"), (None, c), (None, f"{a}\nnone"), (None, f"{a}\nnone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for documents, gone in ((2, [0, 0, 1, 1, 1, 1, 2]), (3, [0, 0, 1, 1, 1, 1, 1])):
+        got = lines.drop_repeated_lines(df, documents=documents).collect()
+        assert sorted(r["__n_dropped"] for r in got) == sorted(gone), documents
+        assert all(r["text"] == "" for r in got if r["doc_id"] is None and r["__n_lines"] == 1)
 
 
 # ---- near duplicates ----
@@ -304,6 +310,16 @@ def test_tokens_of_all_plain_letters():
             assert np.frombuffer(t(text.encode()), "<u4").tolist() == t.of.encode(text, add_special_tokens=False).ids, text
 
 
+def test_known_tokens_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 20_000)
+    t = packing.Tokens("word_bpe_49k.json")
+    for i in range(2000):
+        t(b"w%d" % i)
+        t(b"x" * 5000 + b"%d" % i)
+    assert max(map(len, [*t, *t.before])) <= packing.LONGEST
+    assert all(sum(len(k) + len(v) + 160 for k, v in d.items()) <= 20_400 for d in (t, t.before))
+
+
 def test_genetic_packing_keeps_all_and_gains(spark):
     import random
 
