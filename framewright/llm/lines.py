@@ -17,7 +17,7 @@ from .common import NULL_ID, bytes_of, checkpoint, ids_of, mix64, partitions, te
 #: Code points that a key has at least; keys of one index shard; bits per key and level.
 LEAST, SHARD_KEYS, GAMMA = 10, 200_000, 2.0
 #: Rows that a key has at least to be looked up where it is read.
-COMMON = 20_000
+COMMON = 1_000
 
 
 def line_key(line: bytes, least: int = LEAST) -> bytes | None:
