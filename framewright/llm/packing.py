@@ -22,7 +22,7 @@ CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 4, 3, 6, 24
 #: Bytes of the known words of a task, by a rough count; beyond that, those that it has not met again
 #: since are forgotten. Words over LONGEST bytes are not kept.
-KNOWN_BYTES, LONGEST = 16_000_000, 128
+KNOWN_BYTES, LONGEST = 32_000_000, 128
 
 Bins = Counter  # of patterns: how many bins hold just these lengths, in falling order
 
