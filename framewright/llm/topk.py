@@ -13,10 +13,10 @@ from pyspark.sql import Window
 from .common import checkpoint, partitions
 
 K, SCALE, EVERY = 20, 64, 20
-#: Vectors of a candidate block (a node of the search) and of a query block.
+#: Vectors of a candidate block and of a query block.
 NODE, QUERIES_AT_ONCE = 4096, 1024
-#: Query blocks and nodes of one cell of the grid of meetings; below all scores.
-Q_CELL, N_CELL, LOW = 4, 4, np.iinfo(np.int64).min
+#: Bytes of the queries that a node of the search holds; below all scores.
+HELD, LOW = 32_000_000, np.iinfo(np.int64).min
 
 
 def blocks(vectors: DataFrame, most: int) -> DataFrame:
@@ -56,137 +56,146 @@ def blocks(vectors: DataFrame, most: int) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "dim int, part long, ids binary, values binary")
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products, exact: in doubles while all sums stay under 2**53, else in 64-bit integers."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2**53:
-        return q @ c.T
-    return (q.astype(np.int64) @ c.astype(np.int64).T).astype(np.int64)
+def _scores(q: np.ndarray, c: np.ndarray, own: list[tuple[int, slice]]) -> np.ndarray:
+    """Inner products as 64-bit integers, LOW at the places in `own`. Exact: in doubles while all sums
+    stay under 2**53, then in 64-bit integers, then in Python's; scores that no long can hold
+    raise an OverflowError."""
+    out = _products(q, c, own)
+    for i, to in own:
+        out[i, to] = LOW
+    return out
+
+
+def _products(q: np.ndarray, c: np.ndarray, own: list[tuple[int, slice]]) -> np.ndarray:
+    most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
+    if most < 2**53:
+        return (q @ c.T).astype(np.int64)
+    if most < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    if not np.isfinite(q).all() or not np.isfinite(c).all():
+        raise OverflowError(f"a component times {SCALE} is beyond the doubles")
+    whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], object)
+    out = whole(q) @ whole(c).T
+    for i, to in own:
+        out[i, to] = 0
+    if any(not LOW < x < 2**63 for x in out.ravel()):
+        raise OverflowError("a score is beyond 64 bits")
+    return out.astype(np.int64)
 
 
 class _Queries:
-    """The query blocks of a task; meets one node's block at a time."""
-
-    def __init__(self) -> None:
-        self.blocks: list[tuple] = []
-
-    def add(self, part: int, ids: bytes, values: bytes, cutoffs: bytes | None) -> None:
-        q = np.frombuffer(ids, np.int64)
-        cut = np.full(len(q), LOW) if cutoffs is None else np.frombuffer(cutoffs, np.int64)
-        self.blocks.append((part, q, np.frombuffer(values, np.float64).reshape(len(q), -1), cut))
-
-    def meet(self, ids: bytes, values: bytes) -> Iterator[tuple]:
-        """(part, query ids, cutoffs, vector ids, scores); a query's own row has the lowest score."""
-        c = np.frombuffer(ids, np.int64)
-        v = np.frombuffer(values, np.float64).reshape(len(c), -1)
-        for part, q, w, cut in self.blocks:
-            yield part, q, cut, c, np.where(q[:, None] != c[None, :], _scores(w, v), LOW).astype(np.int64)
-
-
-def _each_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """All meetings of a task's rows, which come sorted: for each cell of the grid the query blocks
-    (kind 0), then the nodes. Of the nodes one at a time is held."""
-    now, held = None, _Queries()
-    for b in batches:
-        for i in range(b.num_rows):
-            r = {n: b.column(n)[i] for n in b.schema.names}
-            cell = tuple(r[n].as_py() for n in ("dim", "gq", "gn"))
-            if cell != now:
-                now, held = cell, _Queries()
-            if r["kind"].as_py() == 0:
-                held.add(r["part"].as_py(), r["ids"].as_py(), r["values"].as_py(), r["cutoffs"].as_py())
-                continue
-            for m in held.meet(r["ids"].as_py(), r["values"].as_py()):
-                yield r["part"].as_py(), *m
+    """A block of queries with the k best entries of each so far."""
+
+    def __init__(self, part: int, ids: bytes, values: bytes, k: int) -> None:
+        self.part, self.ids, self.k = part, np.frombuffer(ids, np.int64), k
+        self.values = np.frombuffer(values, np.float64).reshape(len(self.ids), -1)
+        self.scores, self.found = np.full((len(self.ids), k), LOW), np.zeros((len(self.ids), k), np.int64)
+
+    def meet(self, c: np.ndarray, values: np.ndarray) -> None:
+        """Takes in the candidates `c`, which come by rising id."""
+        k, low = self.k, np.searchsorted(c, self.ids)
+        own = [(i, slice(low[i], np.searchsorted(c, self.ids[i], side="right"))) for i in np.flatnonzero(c[np.minimum(low, len(c) - 1)] == self.ids)]
+        s = _scores(self.values, values, own)
+        take = (s >= self.scores[:, -1:]) & (s > LOW)
+        if np.count_nonzero(take) > 8 * k * len(s) and len(c) > k:  # the first block, or many equal scores
+            last = np.partition(s, -k, axis=1)[:, -k, None]
+            above = s > last
+            equal = s == last
+            take &= above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+        at, to = np.nonzero(take)
+        mine, place = np.nonzero(self.scores > LOW)
+        at, score, ids = np.concatenate([mine, at]), np.concatenate([self.scores[mine, place], s[at, to]]), np.concatenate([self.found[mine, place], c[to]])
+        order = np.lexsort((ids, -score, at))
+        at, score, ids = at[order], score[order], ids[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        at, score, ids, rank = (x[rank < k] for x in (at, score, ids, rank))
+        self.scores[:], self.found[:] = LOW, 0
+        self.scores[at, rank], self.found[at, rank] = score, ids
+
+    def lists(self) -> pa.RecordBatch:
+        real = self.scores > LOW
+        offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32))
+        cols = [pa.ListArray.from_arrays(offsets, pa.array(x[real])) for x in (self.scores, self.found)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(self.ids), self.part)), pa.array(self.ids), *cols], names=["part", "query_id", "scores", "ids"])
 
 
 def _local_lists(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, part, q, _, _, s in _each_meeting(batches):
-            top = -np.partition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else s
-            real = top > LOW
-            offsets = np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), part)), pa.array(q), pa.array(np.full(len(q), node)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(top[real]))], names=["part", "query_id", "node", "scores"])
-
-    return run
+    """Each node's lists: rows come sorted by node, its query blocks (kind 0) before the candidates,
+    which stream past them one block at a time."""
 
-
-def _entries(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, q, cut, c, s in _each_meeting(batches):
-            at, to = np.nonzero((s >= cut[:, None]) & (s > LOW))
-            score, ids = s[at, to], c[to]
-            # of a query's entries in one node only the first k can be in its result
-            order = np.lexsort((ids, -score, at))
-            at, score, ids = at[order], score[order], ids[order]
-            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-            yield pa.RecordBatch.from_arrays([pa.array(q[at[keep]]), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+        now, held = None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {n: b.column(n)[i] for n in b.schema.names}
+                cell = tuple(r[n].as_py() for n in ("dim", "gq", "gn"))
+                if cell != now:
+                    yield from (q.lists() for q in held)
+                    now, held = cell, []
+                if r["kind"].as_py() == 0:
+                    held.append(_Queries(r["part"].as_py(), r["ids"].as_py(), r["values"].as_py(), k))
+                    continue
+                c = np.frombuffer(r["ids"].as_py(), np.int64)
+                order = np.argsort(c, kind="stable")
+                v = np.frombuffer(r["values"].as_py(), np.float64).reshape(len(c), -1)[order]
+                for q in held:
+                    q.meet(c[order], v)
+        yield from (q.lists() for q in held)
 
     return run
 
 
-def _with_cutoffs(asked: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """asked with the cutoffs of its queries in their order, as bytes; LOW where there is none."""
-    per = cutoffs.groupBy("part").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("limits"))
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for ids, limits in zip(b.column("ids").to_pylist(), b.column("limits").to_pylist(), strict=True):
-                known = {r["query_id"]: r["cutoff"] for r in limits or []}
-                out.append(np.array([known.get(i, LOW) for i in np.frombuffer(ids, np.int64).tolist()], np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["dim", "part", "ids", "values", "cutoffs"])
-
-    both = asked.join(per, "part", "left").select("dim", "part", "ids", "values", "limits")
-    return both.mapInArrow(attach, "dim int, part long, ids binary, values binary, cutoffs binary")
-
+def _nodes(asked: DataFrame, blocks_: DataFrame) -> DataFrame:
+    """Query and candidate blocks dealt out on a grid, whose cells are the nodes of the search.
 
-def _grid(asked: DataFrame, nodes: DataFrame, n_asked: int, n_nodes: int) -> DataFrame:
-    """Query blocks and nodes dealt out on a grid: each cell has about Q_CELL query blocks, which a task
-    holds, and N_CELL nodes, which stream past them. Every query block meets every node of its
-    dimension in just one cell, so no task grows with the data."""
-    gq, gn = max(1, -(-n_asked // Q_CELL)), max(1, -(-n_nodes // N_CELL))
+    Every query block meets every candidate block of its dimension in just one cell. A cell holds
+    HELD bytes of queries, and its candidates stream; so a vector is copied once for each HELD
+    bytes of queries, and a query once for each group of candidates, of which there are as many
+    as give every task cells to work on."""
+    tasks = partitions(asked.sparkSession)
+    n_asked, bytes_asked = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("values")), F.lit(1))).first()
+    gq = max(1, -(-n_asked // max(1, HELD // bytes_asked)))
+    gn = max(1, min(blocks_.count(), -(-4 * tasks // gq)))
     own = lambda g: F.pmod(F.xxhash64("part"), F.lit(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    left = asked.select("dim", own(gq).alias("gq"), "part", "ids", "values", "cutoffs").select("dim", "gq", every(gn).alias("gn"), F.lit(0).alias("kind"), "part", "ids", "values", "cutoffs")
-    right = nodes.select("dim", own(gn).alias("gn"), "part", "ids", "values").select("dim", every(gq).alias("gq"), "gn", F.lit(1).alias("kind"), "part", "ids", "values", F.lit(None).cast("binary").alias("cutoffs"))
-    tasks = max(1, min(gq * gn, 4 * partitions(asked.sparkSession)))
-    return left.unionAll(right).repartition(tasks, "dim", "gq", "gn").sortWithinPartitions("dim", "gq", "gn", "kind")
+    left = asked.select("dim", own(gq).alias("gq"), every(gn).alias("gn"), F.lit(0).alias("kind"), "part", "ids", "values")
+    right = blocks_.select("dim", every(gq).alias("gq"), own(gn).alias("gn"), F.lit(1).alias("kind"), "part", "ids", "values")
+    return left.unionAll(right).repartition(max(1, min(gq * gn, 4 * tasks)), "dim", "gq", "gn").sortWithinPartitions("dim", "gq", "gn", "kind")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products.
 
-    Vectors are cut into blocks; each block of candidates is a node that meets each block of
-    queries once a phase. (1) Nodes send the k best scores of each query, without ids; their k-th
-    best over all nodes is a cutoff that no member of the result is below. (2) With the cutoffs
-    of its queries, each node sends the entries that reach them, the first k at most. (3) What
-    arrived is ordered by score and id and cut at k. Lists are merged in two steps, so that what is
-    gathered in one place grows with the square root of the number of nodes.
+    Candidates are cut into blocks and dealt out to nodes; each score is computed once. (1) Each node
+    keeps the k best entries of its queries where they are, in lists by falling score. Of these,
+    the scores alone are gathered; their k-th best over all nodes is a cutoff that no member of
+    the result is below. (2) Against the cutoffs, lists give up the entries that reach them. (3) What
+    arrived is ordered by score and id and cut at k. Scores are gathered in two steps, so that what
+    is in one place grows with the square root of the number of nodes.
 
     Components become floor(64 * x) of x as double. Vectors that are null, empty or hold null or
     non-finite components take no part, nor do null ids. Only vectors of equal dimension meet. Rows
     with a query's own id are not its candidates; ids that occur repeatedly are each a
     candidate, ordered as equals. Other columns are ignored; an empty table, or one without
-    queries, gives an empty result. Sums beyond 2**63 wrap around.
+    queries, gives an empty result. A score beyond 64 bits is an error.
     """
     own = vectors.select("vec_id", "embedding", is_query.alias("q"))
     ask = own.where("q")
     n = ask.count()
-    asked = checkpoint(blocks(ask.repartition(max(1, -(-n // QUERIES_AT_ONCE))), QUERIES_AT_ONCE).withColumn("cutoffs", F.lit(None).cast("binary")))
-    nodes = checkpoint(blocks(own, NODE))
-    n_asked, n_nodes = asked.count(), nodes.count()
-    lists = _grid(asked, nodes, n_asked, n_nodes).mapInArrow(_local_lists(k), "part long, query_id long, node long, scores array<long>")
+    asked = checkpoint(blocks(ask.repartition(max(1, -(-n // QUERIES_AT_ONCE))), QUERIES_AT_ONCE))
+    dealt = _nodes(asked, checkpoint(blocks(own, NODE)))
+    lists = checkpoint(dealt.mapInArrow(_local_lists(k), "part long, query_id long, scores array<long>, ids array<long>"))
 
     def best(column: str) -> Column:
         return F.slice(F.sort_array(F.flatten(F.collect_list(column)), asc=False), 1, k)
 
-    groups = max(1, int(np.sqrt(n_nodes)))
-    merged = lists.groupBy("part", "query_id", F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g")).agg(best("scores").alias("scores")).groupBy("part", "query_id").agg(best("scores").alias("scores"))
-    cutoffs = merged.where(F.size("scores") >= k).select("part", "query_id", F.element_at("scores", k).alias("cutoff"))
-    limited = checkpoint(_with_cutoffs(asked, cutoffs))
-    entries = _grid(limited, nodes, n_asked, n_nodes).mapInArrow(_entries(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    groups = max(1, int(np.sqrt(4 * partitions(vectors.sparkSession))))
+    some = lists.select("part", "query_id", "scores", F.pmod(F.xxhash64(F.col("scores"), F.col("ids")), F.lit(groups)).alias("g"))
+    merged = some.groupBy("part", "query_id", "g").agg(best("scores").alias("scores")).groupBy("part", "query_id").agg(best("scores").alias("scores"))
+    cutoffs = merged.select("part", "query_id", F.when(F.size("scores") >= k, F.element_at("scores", k)).otherwise(F.lit(LOW)).alias("cutoff"))
+    entries = lists.join(cutoffs, ["part", "query_id"]).select("query_id", "cutoff", F.inline(F.arrays_zip("scores", "ids"))).where("scores >= cutoff")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("scores"), "ids"))
+    return entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("ids").alias("vec_id"), F.col("scores").alias("score"))
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:

@@ -116,13 +116,14 @@ def plain_topk(rows, k):
     return out
 
 
-@pytest.mark.parametrize(("node", "block"), [(4096, 1024), (16, 3)])
-def test_topk_against_plain(spark, monkeypatch, node, block):
+@pytest.mark.parametrize(("node", "block", "held"), [(4096, 1024, 32_000_000), (16, 3, 200)])
+def test_topk_against_plain(spark, monkeypatch, node, block, held):
     monkeypatch.setattr(topk, "NODE", node)
+    monkeypatch.setattr(topk, "HELD", held)
     monkeypatch.setattr(topk, "QUERIES_AT_ONCE", block)
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in np.float32(r.normal(0, 0.3, 8))]) for i in range(150)]
-    rows += [(1000 + i, [0.5] * 8) for i in range(60)] + [(500, [1.0, 2.0]), (520, [3.0, -1.0]), (540, [1e7] * 8)]
+    rows += [(1000 + i, [0.5] * 8) for i in range(60)] + [(500, [1.0, 2.0]), (520, [3.0, -1.0]), (540, [1e7] * 8), (560, [2e7, -1.0] * 4), (561, [2e7, 3.0] * 4)]
     rows += [(200, None), (220, [None] * 8), (240, [float("nan")] * 8), (260, [float("inf")] + [0.0] * 7), (280, []), (None, [0.1] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(4)
     got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
@@ -135,3 +136,9 @@ def test_topk_of_floats_and_odd_tables(spark):
     assert topk.top_k(spark.createDataFrame([(1, [0.5])], kind), F.col("vec_id") % 20 == 0).count() == 0
     twice = topk.top_k(spark.createDataFrame([(0, [0.5]), (0, [0.5]), (3, [0.25]), (3, [0.25])], kind), F.col("vec_id") % 20 == 0).collect()
     assert all(r["vec_id"] == 3 and r["score"] == 32 * 16 for r in twice)
+
+
+def test_topk_beyond_64_bits_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e20, 1.0]), (1, [2.0, 1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
