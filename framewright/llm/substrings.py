@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, ids_of, partitions, shared, text_slices
+from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, text_slices
 
 #: Words of a window and of an anchor; batches of a whole corpus; runs that are kept apart.
-WINDOW, ANCHOR, BATCHES, FANOUT = 50, 13, 3, 3
-#: Bits of the filter of shared anchors, which is sent to every worker: 8 MB whatever the input.
+WINDOW, ANCHOR, BATCHES, FANOUT = 50, 13, 4, 2
+#: Bits of a filter that is sent to every worker: 8 MB whatever the input.
 FILTER_BITS = 2**26
 
 
@@ -30,13 +30,14 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """Window hashes of a slice of texts: window w starts at word `at[w]` of text `of[w]`; `anchors`
-    has the least anchor hash in each window. Equal windows have equal anchors."""
+    """Windows of a slice of texts: window i starts at word `at[i]` of text `of[i]`. `anchors` has the
+    least hash of `anchor` successive words in each; equal windows have equal anchors. Successive windows
+    of a text with one anchor are a block."""
 
     def __init__(self, texts: list[bytes | None], known: WordHash, window: int, anchor: int) -> None:
-        self.words = [t.split() if t else [] for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        h = np.fromiter((known[w] for ws in self.words for w in ws), np.uint64, int(sizes.sum()))
+        words = [t.split() if t else [] for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
         ends = np.cumsum(sizes)
         if len(h) < window:
             self.of = self.at = np.empty(0, np.int64)
@@ -49,167 +50,234 @@ class Windows:
         self.of, self.hashes, self.anchors = of[ok], hashes[ok], anchors[ok]
         self.at = ok - (ends - sizes)[self.of]
 
+    def keep(self, hit: np.ndarray) -> None:
+        self.of, self.at, self.hashes, self.anchors = self.of[hit], self.at[hit], self.hashes[hit], self.anchors[hit]
 
-class FingerprintIndex:
-    """Anchors of all documents so far, in sorted runs that never change.
+    def runs(self, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First windows, and numbers, of successive windows of a text that agree in the columns."""
+        new = np.ones(len(self.of), bool)
+        new[1:] = (self.of[1:] != self.of[:-1]) | (self.at[1:] != self.at[:-1] + 1)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        return starts, np.diff(starts, append=len(new))
 
-    append() writes a batch's anchors as a new run, one row (hash, first, last document) each,
-    bucketed and sorted by hash, so that runs are merge-joined bucket by bucket without another
-    shuffle. It returns the anchors that the batch shares with itself or with an earlier run.
-    Beyond `fanout` runs, compact() merges all into one and drops the others.
-    """
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window, number of windows, and hash of each block; the hash is of all its windows."""
+        starts, n = self.runs(self.anchors)
+        sums = np.add.reduceat(self.hashes, starts) if len(starts) else np.empty(0, np.uint64)
+        return starts, n, mix64(sums + n.astype(np.uint64))
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT) -> None:
-        self.spark, self.window, self.anchor, self.fanout = spark, window, anchor, fanout
-        self.root, self.runs, self.made, self.buckets = shared(spark, "fingerprints"), [], 0, partitions(spark)
 
-    def anchors(self, docs: DataFrame) -> DataFrame:
-        window, anchor = self.window, self.anchor
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordHash()
-            for b in text_slices(batches, "text"):
-                w = Windows(bytes_of(b.column(1)), known, window, anchor)
-                new = np.ones(len(w.of), bool)
-                new[1:] = (w.of[1:] != w.of[:-1]) | (w.anchors[1:] != w.anchors[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(w.anchors[new].view(np.int64)), pa.array(ids_of(b.column(0))[w.of[new]])], names=["hash", "doc_id"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "hash long, doc_id long")
+class Filter:
+    """A set of hashes as FILTER_BITS bits, two for each: holds() has no false negatives. What is sent
+    to the workers is 8 MB whatever the input; over about 3e7 hashes it lets most others through."""
 
-    def _write(self, rows: DataFrame) -> str:
+    def __init__(self, hashes: DataFrame, column: str) -> None:
+        h = F.col(column)
+        low, high = (x.bitwiseAND(F.lit(FILTER_BITS - 1)) for x in (h, F.shiftrightunsigned(h, 32)))
+        places = hashes.select(F.explode(F.array(low, high)).alias("place"))
+        bits = places.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+        self.table = np.zeros(FILTER_BITS // 64, np.uint64)
+        self.table[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+        self.empty = not bits.num_rows
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        h, out = h.view(np.uint64), np.ones(len(h), bool)
+        for p in (h & np.uint64(FILTER_BITS - 1), h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)):
+            out &= (self.table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+class SortedRuns:
+    """Rows with a key each, in immutable runs that are bucketed and sorted by key, so that they are
+    merge-joined bucket by bucket without a shuffle. Beyond `fanout` runs, all are merged into one.
+    `merge` says how the values of equal keys become one."""
+
+    def __init__(self, spark: SparkSession, keys: list[str], merge: dict, fanout: int) -> None:
+        self.spark, self.keys, self.merge, self.fanout = spark, keys, merge, fanout
+        self.root, self.names, self.made, self.buckets = shared(spark, "fingerprints"), [], 0, partitions(spark)
+
+    def write(self, rows: DataFrame) -> str:
+        """A run of rows with unique keys, which does not belong to the index yet."""
         self.made += 1
         name = f"run_{self.root.rsplit('-', 1)[-1]}_{self.made}"
-        rows.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.root}/{self.made}").saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/{self.made}").saveAsTable(name)
         return name
 
-    def append(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch; (hash) of its anchors that occur in two documents or more."""
-        run = self._write(self.anchors(docs).groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-        now = self.spark.table(run)
-        found = now.where("first < last").select("hash")
-        for old in self.runs:
-            past = self.spark.table(old).withColumnsRenamed({"first": "f", "last": "l"})
-            found = found.unionAll(now.join(past.hint("merge"), "hash").where(F.least("first", "f") < F.greatest("last", "l")).select("hash"))
-        found = checkpoint(found.distinct())
-        self.runs.append(run)
-        if len(self.runs) > self.fanout:
-            self.compact()
-        return found
-
-    def compact(self) -> None:
-        every = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            every = every.unionAll(self.spark.table(r))
-        new = self._write(every.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last")))
-        self.close()
-        self.runs = [new]
+    def look(self, name: str) -> DataFrame:
+        """The rows of a new run, merge-joined with all others: old_<value> is null for new keys."""
+        out = self.spark.table(name)
+        for i, old in enumerate(self.names):
+            past = self.spark.table(old).select(*self.keys, *[F.col(v).alias(f"{v}_{i}") for v in self.merge])
+            out = out.join(past.hint("merge"), self.keys, "left")
+        of = {F.min: F.least, F.max: F.greatest}
+        null = F.lit(None).cast("long")
+        old = {f"old_{v}": of[f](null, null, *[F.col(f"{v}_{i}") for i in range(len(self.names))]) for v, f in self.merge.items()}
+        return out.select(*self.spark.table(name).columns, *[c.alias(k) for k, c in old.items()])
+
+    def add(self, name: str) -> None:
+        self.names.append(name)
+        if len(self.names) > self.fanout:
+            every = self.spark.table(self.names[0]).select(*self.keys, *self.merge)
+            for r in self.names[1:]:
+                every = every.unionAll(self.spark.table(r).select(*self.keys, *self.merge))
+            new = self.write(every.groupBy(*self.keys).agg(*[f(v).alias(v) for v, f in self.merge.items()]))
+            self.close()
+            self.names = [new]
 
     def close(self) -> None:
-        """Drops all runs with their files."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for r in self.runs:
+        for r in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{r.rsplit('_', 1)[-1]}")
-            path.getFileSystem(conf).delete(path, True)
-        self.runs = []
+            remove(self.spark, f"{self.root}/{r.rsplit('_', 1)[-1]}")
+        self.names = []
 
-    def repeated(self, docs: DataFrame, anchors: DataFrame) -> DataFrame:
-        """(doc_id, drop): the windows of each document that a smaller document has as well.
 
-        All windows with one of the given anchors, and few others, are gathered by their hash,
-        with partial aggregation, and their smallest document is found.
-        """
-        places = anchors.select(F.explode(F.array(*_sql_places())).alias("place"))
-        bits = places.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-        table = np.zeros(FILTER_BITS // 64, np.uint64)
-        table[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+class FingerprintIndex:
+    """What the documents so far hold, for finding their windows in later batches.
+
+    Its first runs have a row for each anchor: the least and largest hash of the blocks that it was
+    seen in, and its smallest document. While both are equal, all windows with this anchor, in whatever
+    document, are those of one block, and one row stands for all. An anchor in different blocks
+    is open: the second runs have all its windows, each with its smallest document.
+
+    append() merge-joins a batch with both and returns the places to drop. Of earlier texts it
+    reads again those documents whose anchors become open with this batch, one for each such anchor.
+    Equality is that of an anchor's 64 bits together with 64 bits of the block or window.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT) -> None:
+        self.window, self.anchor, self.corpus = window, anchor, []
+        self.anchors = SortedRuns(spark, ["hash"], {"lo": F.min, "hi": F.max, "first": F.min}, fanout)
+        self.windows = SortedRuns(spark, ["hash", "window"], {"first": F.min}, fanout)
+
+    def _blocks(self, docs: DataFrame) -> DataFrame:
         window, anchor = self.window, self.anchor
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = WordHash()
             for b in text_slices(batches, "text"):
-                w = Windows(bytes_of(b.column(1)), known, window, anchor)
-                hit = np.ones(len(w.of), bool)
-                for p in _filter_places(w.anchors, FILTER_BITS):
-                    hit &= (table[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                of, h = w.of[hit], w.hashes[hit]
-                order = np.lexsort((h, of))  # a window that a text repeats is sent once
-                of, h = of[order], h[order]
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids_of(b.column(0))[of[new]])], names=["window", "doc_id"])
+                w = Windows(bytes_of(b.column(2)), known, window, anchor)
+                starts, n, block = w.blocks()
+                of = w.of[starts]
+                cols = [w.anchors[starts], block, ids_of(b.column(0))[of], b.column(1).to_numpy()[of], w.at[starts], n]
+                yield pa.RecordBatch.from_arrays([_long(x) for x in cols], names=["hash", "block", "doc_id", "version", "at", "n"])
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "window long, doc_id long")
-        first = rows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-        return rows.join(first, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("drop"))
+        return docs.select("doc_id", "version", "text").mapInArrow(find, "hash long, block long, doc_id long, version long, at long, n long")
 
+    def _open_windows(self, docs: DataFrame, key: str, wanted: Filter, anchors: Filter) -> DataFrame:
+        """The windows with one of the anchors, and few others, in documents whose `key` is wanted."""
+        window, anchor = self.window, self.anchor
 
-def _sql_places():
-    """The two places of an anchor in the filter: parts of its hash, which is mixed already."""
-    low = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    high = F.shiftrightunsigned(F.col("hash"), 32).bitwiseAND(F.lit(FILTER_BITS - 1))
-    return low, high
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WordHash()
+            for b in batches:
+                b = b.filter(pa.array(wanted.holds(b.column(3).to_numpy())))
+                for part in text_slices(iter([b]), "text"):
+                    w = Windows(bytes_of(part.column(2)), known, window, anchor)
+                    w.keep(anchors.holds(w.anchors))
+                    starts, n = w.runs(w.anchors, w.hashes)
+                    of = w.of[starts]
+                    cols = [w.anchors[starts], w.hashes[starts], ids_of(part.column(0))[of], part.column(1).to_numpy()[of], w.at[starts], n]
+                    yield pa.RecordBatch.from_arrays([_long(x) for x in cols], names=["hash", "window", "doc_id", "version", "at", "n"])
+
+        own = docs.select("doc_id", "version", "text", F.xxhash64("doc_id").alias("__id") if key == "doc_id" else F.col(key).alias("__id"))
+        return own.mapInArrow(find, "hash long, window long, doc_id long, version long, at long, n long")
 
+    def append(self, docs: DataFrame) -> DataFrame:
+        """Adds a batch (doc_id, version, text), without null ids; (doc_id, version, at, n): the n windows
+        from word `at` on of a text that a smaller document of this or an earlier batch has as well."""
+        raw = checkpoint(self._blocks(docs))
+        run = self.anchors.write(raw.groupBy("hash").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+        lo, hi = F.least("lo", "old_lo"), F.greatest("hi", "old_hi")
+        met = self.anchors.look(run).where("first < last or lo < hi or old_first is not null")
+        met = checkpoint(met.select("hash", F.least("first", "old_first").alias("first"), (lo < hi).alias("open"), ((lo < hi) & (F.col("old_lo") == F.col("old_hi"))).alias("opened"), "old_first"))
+        self.anchors.add(run)
+        hits = raw.join(met.select("hash", "first", "open"), "hash").where("open or first < doc_id")
+        hits = checkpoint(hits.select("doc_id", "version", "at", "n", "open"))
+        whole = hits.where("not open").drop("open")
+        history, self.corpus = self.corpus, [*self.corpus, docs]
+        anchors = Filter(met.where("open"), "hash")
+        if anchors.empty:
+            return whole
+        rows = checkpoint(self._open_windows(docs, "version", Filter(hits.where("open").select("version").distinct(), "version"), anchors))
+        seen = rows.select("hash", "window", "doc_id")
+        opened = met.where("opened")
+        wanted = Filter(opened.select(F.xxhash64("old_first").alias("id")).distinct(), "id")
+        if not wanted.empty:
+            anchors = Filter(opened, "hash")
+            for past in history:
+                seen = seen.unionAll(self._open_windows(past, "doc_id", wanted, anchors).select("hash", "window", "doc_id"))
+        run = self.windows.write(seen.groupBy("hash", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+        firsts = self.windows.look(run).where("first < last or old_first is not null").select("hash", "window", F.least("first", "old_first").alias("first"))
+        single = checkpoint(rows.join(firsts, ["hash", "window"]).where("first < doc_id").select("doc_id", "version", "at", "n"))
+        self.windows.add(run)
+        return whole.unionAll(single)
 
-def _filter_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+    def close(self) -> None:
+        """Drops all runs with their files."""
+        self.anchors.close()
+        self.windows.close()
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """docs in n parts of about equal counts, by rising doc_id; null ids come last."""
-    cuts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.01)} if n > 1 else set())
+    """docs in n parts of about equal counts, by rising doc_id."""
+    cuts = sorted({min(int(x), int(NULL_ID) - 1) for x in docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.01)} if n > 1 else set())
     if not cuts:
         return [docs]
     i = F.col("doc_id")
     out = [docs.where(i <= cuts[0])]
     out += [docs.where((i > a) & (i <= b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [*out, docs.where((i > cuts[-1]) | i.isNull())]
+    return [*out, docs.where(i > cuts[-1])]
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, fanout: int = FANOUT, name: str = "text") -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, fanout: int = FANOUT, name: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
     """docs with the words gone that a window covers whose words also start in a document with a
     smaller doc_id; adds __n_words, __n_removed, __sha (of the kept words), and sets `name` to
     the kept words joined by one space.
 
-    A window is `window` successive words, unchanged. Of each window, the anchor with the least hash is
-    looked up: an anchor is `anchor` words, and equal windows have the same one, so windows
-    whose anchor no two documents share need not be compared. That leaves a few per cent of the
-    hashes. They go to a log-structured index, batch by batch in order of doc_id; anchors
-    that a batch shares with it lead to the windows, which are verified by hashes of their
-    whole word sequence (64 bits). Shared anchors reach the workers as a filter of 8 MB; what it
-    lets through beyond them costs time, and changes no result.
+    A window is `window` successive words, unchanged; its anchor is the least hash of `anchor` words in
+    it. Documents go to a log-structured index (FingerprintIndex) in batches by rising doc_id;
+    each batch is merge-joined with the sorted runs of those before, which yields its places to drop.
+    With an `index` that holds earlier documents already, docs are what is new: they are held against
+    the earlier ones without hashing these again, and join the index, which stays open.
 
     Null and empty texts have no words. A null doc_id counts as the largest. Rows that share a
-    doc_id are one document. Texts shorter than a window stay. Other columns stay as they are;
-    an empty table gives an empty result.
+    doc_id are one document; places are gathered by id and text, so many rows of one id, or
+    without one, don't meet in one place. Texts shorter than a window stay. Other columns stay as
+    they are; an empty table gives an empty result.
     """
-    own = docs.select("doc_id", F.col(name).alias("text"))
-    index = FingerprintIndex(docs.sparkSession, window, anchor, fanout)
-    found = None
+    base = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))), "__v": F.xxhash64(F.col(name))})
+    own = base.select(F.col("__id").alias("doc_id"), F.col("__v").alias("version"), F.col(name).alias("text"))
+    found, into = None, index or FingerprintIndex(docs.sparkSession, window, anchor, fanout)
+    window = into.window
     for part in batches_of(own, batches):
-        got = index.append(part)
+        got = into.append(part)
         found = got if found is None else found.unionAll(got)
-    drops = index.repeated(own, found.distinct()).select(F.col("doc_id").alias("__d"), F.col("drop").alias("__drop"))
-    index.close()
-    base = docs.withColumn("__id", F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))))
-    both = base.join(drops, base["__id"] == drops["__d"], "left").drop("__id", "__d")
+    if index is None:
+        into.close()
+    drops = found.groupBy(F.col("doc_id").alias("__d"), F.col("version").alias("__w")).agg(F.collect_set(F.struct("at", "n")).alias("__drop"))
+    both = base.join(drops, (base["__id"] == drops["__d"]) & (base["__v"] == drops["__w"]), "left").drop("__id", "__v", "__d", "__w")
     names = [c for c in both.columns if c != "__drop"]
     at = names.index(name)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for b in text_slices(batches, name):
             texts, n_words, n_removed, sha = [], [], [], []
-            for text, drop in zip(bytes_of(b.column(at)), b.column(len(names)), strict=True):
+            drops = b.column(len(names))
+            for i, text in enumerate(bytes_of(b.column(at))):
                 words = text.split() if text else []
                 kept = words
-                if drop.is_valid:
-                    h = gram_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window)
-                    first = np.flatnonzero(np.isin(h, drop.values.to_numpy().view(np.uint64)))
+                if drops[i].is_valid:
+                    first, n = (x.to_numpy() for x in drops[i].values.flatten())
                     edge = np.zeros(len(words) + 1, np.int64)
-                    edge[first] += 1
-                    np.add.at(edge, first + window, -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, first + n - 1 + window, -1)
+                    kept = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out = b" ".join(kept)
                 texts.append(out)
                 n_words.append(len(words))

@@ -194,22 +194,45 @@ def plain_substrings(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3, 6])
+@pytest.mark.parametrize("batches", [1, substrings.BATCHES, 6])
 def test_substrings_against_plain(spark, docs, plain, batches):
-    got = {r["doc_id"]: (r["__n_words"], r["__n_removed"], r["__sha"]) for r in substrings.drop_repeated_windows(docs, batches=batches, fanout=2).collect()}
+    got = {r["doc_id"]: (r["__n_words"], r["__n_removed"], r["__sha"]) for r in substrings.drop_repeated_windows(docs, batches=batches).collect()}
     assert got == plain_substrings(plain)
     assert sum(x[1] for x in got.values()) > 500
 
 
-def test_index_grows_batch_by_batch(spark, docs):
-    own = docs.select("doc_id", "text")
+def test_index_compacts_and_takes_later_documents(spark, docs, plain):
+    """What came before is known from the index; its documents are not given again."""
     index = substrings.FingerprintIndex(spark, fanout=1)
-    parts = [own.where("doc_id < 60"), own.where("doc_id >= 60 and doc_id < 120"), own.where("doc_id >= 120")]
-    found = [index.append(p).count() for p in parts]
-    assert len(index.runs) == 1 and found[1] > 0
+    got, runs = {}, []
+    for low, high in ((0, 60), (60, 120), (120, 10_000)):
+        for r in substrings.drop_repeated_windows(docs.where(f"doc_id >= {low} and doc_id < {high}"), batches=1, index=index).collect():
+            got[r["doc_id"]] = (r["__n_words"], r["__n_removed"], r["__sha"])
+        runs.append((len(index.anchors.names), len(index.windows.names)))
+    assert got == plain_substrings(plain)
+    assert index.anchors.made > 3 and all(max(r) == 1 for r in runs)
     index.close()
 
 
+def test_substrings_of_shared_ids(spark):
+    import random
+
+    r = random.Random(9)
+    a, b, c = (" ".join(data.words(r, 60, 10**6)) for _ in range(3))
+    rows = [(1, a), (2, f"{b} {a}"), (2, f"{b} x"), (3, f"{c} {b}"), (None, c), (None, f"y {c}"), (None, f"y {c}")]
+    got = substrings.drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 99, r["__n_words"], r["__n_removed"]) for r in got) == [(1, 60, 0), (2, 61, 0), (2, 120, 60), (3, 120, 60), (99, 60, 60), (99, 61, 60), (99, 61, 60)]
+
+
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=14), max_size=8), st.integers(1, 4))
+@settings(max_examples=5, deadline=None)
+def test_substrings_of_few_words(spark, texts, batches):
+    """Words that repeat everywhere: blocks, anchors and windows in all mixtures."""
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = substrings.drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), window=4, anchor=2, batches=batches).collect()
+    assert {r["doc_id"]: (r["__n_words"], r["__n_removed"], r["__sha"]) for r in got} == plain_substrings(rows, 4)
+
+
 # ---- mixing ----
 
 
