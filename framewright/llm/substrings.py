@@ -213,7 +213,8 @@ class FingerprintIndex:
             for past in history:
                 seen = seen.unionAll(self._open_windows(past, "doc_id", wanted, anchors).select("hash", "window", "doc_id"))
         run = self.windows.write(seen.groupBy("hash", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-        firsts = self.windows.look(run).where("first < last or old_first is not null").select("hash", "window", F.least("first", "old_first").alias("first"))
+        # written, so that both sides of the join are dealt anew and a very common window can be split
+        firsts = checkpoint(self.windows.look(run).where("first < last or old_first is not null").select("hash", "window", F.least("first", "old_first").alias("first")))
         single = checkpoint(rows.join(firsts, ["hash", "window"]).where("first < doc_id").select("doc_id", "version", "at", "n"))
         self.windows.add(run)
         return whole.unionAll(single)
