@@ -99,9 +99,10 @@ class _Queries:
         take = (s >= self.scores[:, -1:]) & (s > LOW)
         if np.count_nonzero(take) > 8 * k * len(s) and len(c) > k:  # the first block, or many equal scores
             last = np.partition(s, -k, axis=1)[:, -k, None]
-            above = s > last
-            equal = s == last
-            take &= above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+            take &= s >= last
+            for i in np.flatnonzero(take.sum(1) > k):  # of equal scores the first ids
+                equal = np.flatnonzero(s[i] == last[i])
+                take[i, equal[k - np.count_nonzero(s[i] > last[i]) :]] = False
         at, to = np.nonzero(take)
         mine, place = np.nonzero(self.scores > LOW)
         at, score, ids = np.concatenate([mine, at]), np.concatenate([self.scores[mine, place], s[at, to]]), np.concatenate([self.found[mine, place], c[to]])
