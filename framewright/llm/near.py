@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.graph import components
 
-from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, ids_of, mix64, text_slices
+from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, mix64, text_slices
 
 #: Words of a shingle; Jaccard similarity of a link in per cent; bands and their coordinates.
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 5
@@ -69,12 +69,12 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, keys): c1, c2 hash the whole set; keys has its bands."""
+    """(doc_id, version, n_shingles, c1, c2, keys): c1, c2 hash the whole set; keys has its bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in text_slices(batches, "text"):
-            sets = [shingles(t, known, words) for t in bytes_of(b.column(1))]
+            sets = [shingles(t, known, words) for t in bytes_of(b.column(2))]
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
             ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -84,9 +84,9 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 values = np.concatenate([sets[i] for i in some])
                 starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
                 flat = band_keys(signatures(values, starts, bands * rows), bands, rows).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(b.column(0))), pa.array(sizes), pa.array(both[:, 0]), pa.array(both[:, 1]), _lists(flat, np.where(sizes > 0, bands, 0))], names=["doc_id", "n_shingles", "c1", "c2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(both[:, 0]), pa.array(both[:, 1]), _lists(flat, np.where(sizes > 0, bands, 0))], names=["doc_id", "version", "n_shingles", "c1", "c2", "keys"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, version long, n_shingles long, c1 long, c2 long, keys array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -184,12 +184,12 @@ def _rest(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+    """(doc_id, n_shingles, component_id, kept, version, component_version) for each row of docs.
 
     Documents with equal shingle sets become one class at once (partial aggregation on a 128-bit
     hash), so exact copies cost a row each and no pair. Classes get a circulant MinHash
     signature and `bands` keys of `rows` coordinates; those with a key in common share a bucket.
-    In each bucket, all members are compared with the bucket's smallest id and with two members
+    In each bucket, all members are compared with the bucket's first class and with two members
     chosen by hash: linear work, which joins what is alike. Where members of a bucket then still
     belong to different components, the outsiders of the main one are compared, in blocks, with
     all members of the bucket. So every candidate pair is either compared on full sets or linked by
@@ -197,21 +197,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     threshold of 80 % shares no bucket with probability 0.67**24 (7e-5), at 85 % 8e-7.
 
     A text with fewer words than a shingle has one shingle, the whole sequence. Null and empty
-    texts have an empty set, link with nothing and are kept. A null doc_id counts as the largest
-    id in here. Rows that share a doc_id are taken as equal; of different texts under one id, one set
-    (the least) is compared with others. Columns other than doc_id and text are ignored. Hashes of 64 bits stand for shingles.
+    texts have an empty set, link with nothing and are kept. A row is known by its id and its version,
+    a hash of its text: different texts under one id, or without an id, are linked each by its own
+    words. component_id and component_version name the component's smallest row; a null id is
+    larger than all others, and component_id is null if the component has no other. Columns other
+    than doc_id and text are ignored. Hashes of 64 bits stand for shingles.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     sketch = checkpoint(_sketches(own, words, bands, rows))
-    classes = sketch.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
-    spread = classes.select("c1", "c2", "rep", F.posexplode("keys").alias("band", "key"))
-    spread = spread.select("rep", "band", F.col("key").alias("bucket"))
+    each = sketch.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "version")).alias("who"), F.min("keys").alias("keys"))
+    classes = checkpoint(each.withColumn("rep", F.monotonically_increasing_id()))  # written at once, so that numbers stay
+    spread = classes.select("rep", F.posexplode("keys").alias("band", "bucket"))
     order = [F.xxhash64(F.lit(s), F.col("rep")) for s in (1, 2)]
     hubs = spread.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), *[F.min_by("rep", o).alias(f"hub{k}") for k, o in enumerate(order)], F.max("rep").alias("last")).where("hub < last")
     members = checkpoint(spread.join(hubs.drop("last"), ["band", "bucket"]))
     wanted = members.select("rep").distinct()
-    keyed = classes.select("rep", "keys").join(wanted, "rep")
-    texts = keyed.join(own.withColumn("__id", F.coalesce("doc_id", F.lit(int(NULL_ID)))), F.col("rep") == F.col("__id")).select("rep", "keys", "text")
+    keyed = classes.select("rep", "keys", F.col("who.doc_id").alias("__id"), F.col("who.version").alias("__v")).join(wanted, "rep")
+    texts = keyed.join(own, (F.col("doc_id") == F.col("__id")) & (F.col("version") == F.col("__v"))).select("rep", "keys", "text")
     sets = checkpoint(_sets(texts, words).groupBy("rep").agg(F.min_by("keys", "grams").alias("keys"), F.min("grams").alias("grams")))
     pairs = members.select(F.explode(F.array("hub", "hub0", "hub1")).alias("h"), "rep").where("h <> rep")
     pairs = pairs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
@@ -220,12 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     links = checkpoint(_linked(sided.select("a", "b", "x", "y"), percent))
     labels = components(links)
     found = links.unionAll(_open_links(members, labels, sets, percent))
-    reached = checkpoint(components(found))
-    of_class = classes.select("c1", "c2", "rep").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("c1").alias("__1"), F.col("c2").alias("__2"), F.coalesce("label", "rep").alias("component_id"))
+    reached = checkpoint(components(found).withColumnRenamed("node", "rep").join(classes.select("rep", "c1", "c2", "who"), "rep"))
+    top = reached.groupBy("label").agg(F.min("who").alias("top"))
+    of_class = reached.join(top, "label").select(F.col("c1").alias("__1"), F.col("c2").alias("__2"), "top")
+    of_class = of_class.unionAll(classes.join(reached.select("rep"), "rep", "left_anti").select("c1", "c2", "who"))
     out = sketch.join(of_class, (F.col("c1") == F.col("__1")) & (F.col("c2") == F.col("__2")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("component_id", "doc_id")
+    component, version = F.coalesce("top.doc_id", "doc_id"), F.coalesce("top.version", "version")
     null = F.lit(int(NULL_ID))
-    return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif(component, null).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif(component, null).alias("component_id"), (component == F.col("doc_id")).alias("kept"), "version", version.alias("component_version"))
 
 
 def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

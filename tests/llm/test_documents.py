@@ -155,6 +155,19 @@ def test_near_against_plain(spark, docs, plain, percent):
     assert got == plain_near(plain, percent)
 
 
+def test_near_of_shared_and_missing_ids(spark):
+    """Texts of one id, and texts without one, are linked each by its own words."""
+    import random
+
+    r = random.Random(8)
+    a, b, c = (data.words(r, 80, 10**6) for _ in range(3))
+    near_of = lambda w, i: " ".join([*w[:40], f"z{i}", *w[41:]])
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (5, near_of(a, 1)), (2, near_of(b, 2)), (None, near_of(a, 3)), (None, " ".join(c)), (None, near_of(c, 4)), (None, " ".join(c)), (None, "")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 99, x["component_id"] or 99) for x in got) == [(2, 2), (3, 2), (3, 3), (5, 3), (99, 3), (99, 99), (99, 99), (99, 99), (99, 99)]
+    assert len({x["component_version"] for x in got if x["component_id"] is None and x["n_shingles"]}) == 1
+
+
 def test_near_group_around_the_threshold(spark, monkeypatch):
     """Hubs settle only part of such a group; blocks must find the other links."""
     import random
