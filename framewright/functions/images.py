@@ -83,7 +83,7 @@ def thermal(t: np.ndarray) -> tuple:
 
 
 def mutual_information(a: np.ndarray, b: np.ndarray, bins: int = 32) -> float:
-    h, _, _ = np.histogram2d(a.ravel(), b.ravel(), bins=bins, range=((0, 256), (0, 256)))
+    h, _, _ = np.histogram2d(a.ravel(), b.ravel(), bins=bins, range=((0, 255), (0, 255)))
     p = h / h.sum()
     e = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
     return float((p[p > 0] * np.log2(p[p > 0] / e[p > 0])).sum())

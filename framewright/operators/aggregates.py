@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .ranks import ranked
+
 
 def summary(value: str, baseline: str | None = None) -> list[Column]:
     """Aggregates of a metric: n, mean, median, sample deviation (0 for one value), quartiles and
@@ -85,15 +87,9 @@ def sets(rows: DataFrame, groupings: Sequence[Sequence[str]], aggregates: Sequen
     return rows.groupingSets([[F.col(c) for c in g] for g in groupings], *names).agg(*aggregates)
 
 
-def sorted_percentile(value: str, share: float) -> Column:
-    """sorted[int(share * n)], from counts of values, for groups that may be large."""
-    return F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.lit(share) * F.count(value)) + 1).cast("int"))
-
-
 def p90_by_rank(rows: DataFrame, keys: Sequence[str], value: str, share: float = 0.9) -> DataFrame:
     """sorted[int(share * n)] per key by rank, without arrays."""
-    w = Window.partitionBy(*keys)
-    at = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    at = ranked(rows.where(F.col(value).isNotNull()).select(*keys, value), list(keys), [value], "__r", "__n")
     return at.where(F.col("__r") == F.floor(F.lit(share) * F.col("__n"))).select(*keys, F.col(value).alias("p90"), F.col("__n").alias("n"))
 
 

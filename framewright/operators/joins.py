@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,17 @@ from pyspark.sql import Window
 
 from framewright.functions.arrays import hamming
 
+from .ranks import carried
+from .storage import checkpoint
+
+
+def overlap_classes(left: DataFrame, right: DataFrame, key: Column | str, left_id: str, right_id: str) -> DataFrame:
+    """(key, left_id, right_id, n_left, n_right): a row for each key that both sides have, with its first
+    ids and sizes, however many pairs that makes; null and empty keys match nothing."""
+    k = F.col(key) if isinstance(key, str) else key
+    side = lambda d, i, n: d.select(F.nullif(k.cast("string"), F.lit("")).alias("key"), F.col(i).alias("__i")).where("key is not null").groupBy("key").agg(F.min("__i").alias(f"{n}_id"), F.count(F.lit(1)).alias(f"n_{n}"))
+    return side(left, left_id, "left").join(side(right, right_id, "right"), "key").select("key", "left_id", "right_id", "n_left", "n_right")
+
 
 def overlap_pairs(left: DataFrame, right: DataFrame, key: Column | str, left_id: str, right_id: str) -> DataFrame:
     """All pairs of rows with an equal key; null and empty keys match nothing."""
@@ -29,48 +41,74 @@ def without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def bands(bits: int, distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 parts of the bits; hashes at most `distance` apart agree in one."""
-    n = distance + 1
+def bands(bits: int, n: int) -> list[tuple[int, int]]:
+    """(shift, width) of n parts of the bits."""
     edges = [bits * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame | None, hash_column: str, id_column: str, distance: int) -> DataFrame:
-    """(a, b, distance) of all pairs of 64-bit hashes at most `distance` bits apart.
+def hamming_classes(left: DataFrame, right: DataFrame | None, hash_column: str, distance: int, off: int = 1) -> DataFrame:
+    """(h_a, h_b, distance) of all different pairs of distinct 64-bit hashes at most `distance` apart.
 
-    Pigeonhole blocking: pairs meet in the first of distance + 1 bit bands in which they agree,
-    so each is compared once and none is lost. Without `right` it is a self-join with a < b. Rows
-    of equal hashes are grouped first, so copies meet as one hash each."""
-    parts = bands(64, distance)
+    Pigeonhole blocking: the bits are cut into bands, of which one has at most `off` bits that differ;
+    each hash of one side is looked up by its bands, the other also by what differs from them in
+    up to `off` bits. A pair counts in the first band in which it meets, so none is lost or
+    comes twice. Without `right` it is a self-join with h_a < h_b."""
+    parts = bands(64, max(1, -(-(distance + 1) // (off + 1))))
+    h = F.col(hash_column)
+    each = lambda d, n: d.where(h.isNotNull()).select(h.alias(n)).distinct()
+    band = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1))
 
-    def banded(d: DataFrame, suffix: str) -> DataFrame:
-        h = F.col(hash_column)
-        each = d.where(h.isNotNull()).groupBy(h.alias(f"h{suffix}")).agg(F.collect_list(id_column).alias(f"ids{suffix}"))
-        key = lambda s, w: F.shiftrightunsigned(F.col(f"h{suffix}"), s).bitwiseAND(F.lit((1 << w) - 1))
-        return each.select("*", F.posexplode(F.array(*[key(s, w) for s, w in parts])).alias("band", "part"))
+    def masks(w: int) -> list[int]:
+        out = [0]
+        for n in range(1, off + 1):
+            out += [sum(1 << i for i in c) for c in combinations(range(w), n)]
+        return out
 
-    x, y = banded(left, "_a"), banded(left if right is None else right, "_b")
-    met = x.join(y, ["band", "part"])
+    near = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("h_a"), s, w).bitwiseXOR(F.lit(m).cast("long")).alias("part")) for i, (s, w) in enumerate(parts) for m in masks(w)])
+    x = each(left, "h_a").select("h_a", F.inline(near))
+    y = each(left if right is None else right, "h_b").select("h_b", F.posexplode(F.array(*[band(F.col("h_b"), s, w) for s, w in parts])).alias("band", "part"))
     diff = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    first = reduce(lambda acc, i: acc.when(F.shiftrightunsigned(diff, parts[i][0]).bitwiseAND(F.lit((1 << parts[i][1]) - 1)) == 0, i), range(1, len(parts)), F.when(diff.bitwiseAND(F.lit((1 << parts[0][1]) - 1)) == 0, 0))
-    met = met.where((hamming(F.col("h_a"), F.col("h_b")) <= distance) & (first == F.col("band")))
-    met = met.select(F.explode("ids_a").alias("a"), "ids_b", hamming(F.col("h_a"), F.col("h_b")).alias("distance")).select("a", F.explode("ids_b").alias("b"), "distance")
-    return met.where("a < b") if right is None else met
+    first = reduce(lambda acc, i: acc.when(F.bit_count(band(diff, *parts[i])) <= off, i), range(1, len(parts)), F.when(F.bit_count(band(diff, *parts[0])) <= off, 0))
+    met = x.join(y, ["band", "part"]).where((hamming(F.col("h_a"), F.col("h_b")) <= distance) & (first == F.col("band")))
+    met = met.select("h_a", "h_b", hamming(F.col("h_a"), F.col("h_b")).alias("distance"))
+    return met.where("h_a < h_b") if right is None else met
+
+
+def hamming_pairs(left: DataFrame, right: DataFrame | None, hash_column: str, id_column: str, distance: int) -> DataFrame:
+    """(a, b, distance) of all pairs of rows whose 64-bit hashes are at most `distance` bits apart;
+    without `right` a self-join with a < b. Hashes are compared once for all rows that have them."""
+    h, i = F.col(hash_column), F.col(id_column)
+    a = left.where(h.isNotNull()).select(h.alias("h_a"), i.alias("a"))
+    b = (left if right is None else right).where(h.isNotNull()).select(h.alias("h_b"), i.alias("b"))
+    if right is not None:
+        return hamming_classes(left, right, hash_column, distance).join(a, "h_a").join(b, "h_b").select("a", "b", "distance")
+    far = hamming_classes(left, None, hash_column, distance).join(a, "h_a").join(b, "h_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    return far.unionAll(a.join(b, F.col("h_a") == F.col("h_b")).where("a < b").select("a", "b", F.lit(0).alias("distance")))
+
+
+def hamming_links(rows: DataFrame, hash_column: str, id_column: str, distance: int) -> DataFrame:
+    """(a, b, distance, n_a, n_b): pairs of classes of equal hashes, each named by its smallest id, with the
+    sizes of both; copies add no pairs."""
+    of = rows.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(F.min(id_column).alias("id"), F.count(F.lit(1)).alias("n"))
+    side = lambda x: of.select(F.col("h").alias(f"h_{x}"), F.struct(F.col("id").alias("id"), F.col("n").alias("n")).alias(x))
+    met = hamming_classes(rows, None, hash_column, distance).join(side("a"), "h_a").join(side("b"), "h_b")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return met.select(low["id"].alias("a"), high["id"].alias("b"), "distance", low["n"].alias("n_a"), high["n"].alias("n_b"))
 
 
 def nearest(left: DataFrame, right: DataFrame, time: str, order: str, session: str | None = None, prefix: str = "near_") -> DataFrame:
     """Each row of left with the row of right nearest in time, of its own session if that has any.
 
     Ties go to the smaller `order`; all columns of the match get the prefix, and `gap` is in
-    seconds. No pairs are made: left and right are put in one order of time, and the last match
-    before and the first after each row are carried along by windows, once by session and once
-    over hours for rows whose session has none.
+    seconds. No pairs are made: left and right are put in one order of session and time, in ranges, and
+    the last match before and the first after each row are carried along, also from one range to the
+    next. So neither a large session nor the rows whose session has no match fill one task.
     """
     names = right.columns
     body = F.struct(*[F.col(n) for n in names])
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    l0 = left.withColumn("__t", micros(time)).withColumn("__row", F.monotonically_increasing_id())
+    l0 = checkpoint(left.withColumn("__t", micros(time)).withColumn("__row", F.monotonically_increasing_id()))
     r0 = right.select(micros(time).alias("__t"), *([F.col(session).alias("__s")] if session else []), F.col(order).alias("__o"), body.alias("__m"))
 
     def within(lhs: DataFrame, rhs: DataFrame, part: Sequence[str]) -> DataFrame:
@@ -79,12 +117,8 @@ def nearest(left: DataFrame, right: DataFrame, time: str, order: str, session: s
         # of rows with equal time only the first by order can be a match
         one = rhs.groupBy(*part, "__t").agg(F.min_by("__m", "__o").alias("__m"), F.min("__o").alias("__o"))
         b = one.select(*part, "__t", "__o", "__m", F.lit(None).cast("long").alias("__row"))
-        rank = F.when(F.col("__row").isNull(), 0).otherwise(1)
-        some = F.when(F.col("__row").isNull(), F.struct("__t", "__o", "__m"))
-        back = Window.partitionBy(*part).orderBy("__t", rank).rowsBetween(Window.unboundedPreceding, 0)
-        ahead = Window.partitionBy(*part).orderBy("__t", rank.desc()).rowsBetween(0, Window.unboundedFollowing)
-        u = a.unionAll(b).withColumn("__prev", F.last(some, ignorenulls=True).over(back)).withColumn("__next", F.first(some, ignorenulls=True).over(ahead))
-        u = u.where("__row is not null")
+        u = a.unionAll(b).withColumn("__at", F.coalesce("__row", F.lit(-1)))  # a match comes before rows of its time
+        u = carried(u, part, ["__t", "__at"], F.when(F.col("__row").isNull(), F.struct("__t", "__o", "__m"))).where("__row is not null")
         cand = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.__t") - F.col("__t")).alias("gap"), F.col(f"{c}.__o").alias("o"), F.col(f"{c}.__m").alias("m")))
         p, n = cand("__prev"), cand("__next")
         key = lambda c: F.struct(c["gap"], c["o"])
@@ -92,13 +126,12 @@ def nearest(left: DataFrame, right: DataFrame, time: str, order: str, session: s
         return u.select("__row", best.alias("__best"))
 
     if session is None:
-        l1, r1 = l0.withColumn("__all", F.lit(0)), r0.withColumn("__all", F.lit(0))
-        found = within(l1, r1, ["__all"])
+        found = within(l0, r0, [])
     else:
         ls = l0.withColumn("__s", F.nullif(F.col(session), F.lit("")) if dict(left.dtypes)[session] == "string" else F.col(session))
         has = r0.where("__s is not null").select("__s").distinct()
         mine, rest = ls.join(has, "__s", "left_semi"), ls.join(has, "__s", "left_anti")
-        found = within(mine, r0.where("__s is not null"), ["__s"]).unionAll(within(rest.withColumn("__all", F.lit(0)), r0.withColumn("__all", F.lit(0)), ["__all"]))
+        found = within(mine, r0.where("__s is not null"), ["__s"]).unionAll(within(rest, r0.drop("__s"), []))
     out = l0.join(found, "__row")
     return out.select(*left.columns, *[F.col(f"__best.m.{n}").alias(f"{prefix}{n}") for n in names], (F.col("__best.gap") / 1e6).alias("gap"))
 
@@ -153,11 +186,11 @@ def one_to_one(candidates: DataFrame, left: str, right: str, gap: str) -> DataFr
     as going through the pairs in order, with joins instead of one sequential task."""
     rest, out = candidates.select(left, right, gap), None
     while True:
-        rest = rest.checkpoint() if rest.sparkSession.sparkContext.getCheckpointDir() else rest.cache()
+        rest = checkpoint(rest)
         order = F.struct(gap, left, right)
         by_left = rest.groupBy(left).agg(F.min(order).alias("__l"))
         by_right = rest.groupBy(right).agg(F.min(order).alias("__r"))
-        good = rest.join(by_left, left).join(by_right, right).where((F.col("__l") == order) & (F.col("__r") == order)).select(left, right, gap)
+        good = checkpoint(rest.join(by_left, left).join(by_right, right).where((F.col("__l") == order) & (F.col("__r") == order)).select(left, right, gap))
         if good.isEmpty():
             return rest.limit(0) if out is None else out
         out = good if out is None else out.unionAll(good)

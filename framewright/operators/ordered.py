@@ -387,7 +387,7 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     """rows with the machine's output after each row, as column `name`; with `last`, one row a key.
 
     Rows are dealt out by key and sorted by key and order, then streamed through one machine a key;
-    no key's rows are ever together in memory."""
+    no key's rows are ever together in memory. Null keys are one key."""
     keys, values = list(keys), list(values)
     keep = keys if last else rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep) + f", `{name}` {kind}"
@@ -397,7 +397,8 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
         now, machine, out, held = None, None, None, None
         for b in batches:
             got, done = [], []
-            ids = list(zip(*[b[k].tolist() for k in keys], strict=True))
+            # a null number is a NaN here, which no NaN equals
+            ids = list(zip(*[[None if x != x else x for x in b[k].tolist()] for k in keys], strict=True))
             for i, (key, args) in enumerate(zip(ids, zip(*[b[v].tolist() for v in values], strict=True), strict=True)):
                 if key != now:
                     if last and held is not None:

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .graph import components
+from .ranks import quantiles, ranked, running
 
 
 def shuffled(id_column: str, seed: int) -> Column:
@@ -18,18 +18,15 @@ def shuffled(id_column: str, seed: int) -> Column:
 
 def capped(rows: DataFrame, label: str, id_column: str, cap: int, seed: int = 42) -> DataFrame:
     """At most `cap` rows of each label, in random order (a sampling operator)."""
-    w = Window.partitionBy(label).orderBy(shuffled(id_column, seed), id_column)
-    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).drop("__r")
+    return ranked(rows, [label], [shuffled(id_column, seed), F.col(id_column)], "__r").where(F.col("__r") < cap).drop("__r")
 
 
 def stratified(rows: DataFrame, label: str, id_column: str, ratio: float, seed: int = 42) -> DataFrame:
     """rows with split: `ratio` of each label to train, one row at least on both sides if it has two."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
-    want = F.bround(n * ratio).cast("long")
-    train = F.when(n >= 2, F.greatest(F.lit(1), F.least(n - 1, want))).otherwise(1)
-    place = F.row_number().over(w.orderBy(shuffled(id_column, seed), id_column))
-    return rows.withColumn("split", F.when(place <= train, "train").otherwise("test"))
+    out = ranked(rows, [label], [shuffled(id_column, seed), F.col(id_column)], "__r", "__n")
+    n = F.col("__n")
+    train = F.when(n >= 2, F.greatest(F.lit(1), F.least(n - 1, F.bround(n * ratio).cast("long")))).otherwise(1)
+    return out.select(*rows.columns, F.when(F.col("__r") < train, "train").otherwise("test").alias("split"))
 
 
 def grouped(rows: DataFrame, group: str, label: str, position: str, ratio: float, seed: int = 42) -> DataFrame:
@@ -37,12 +34,11 @@ def grouped(rows: DataFrame, group: str, label: str, position: str, ratio: float
     first seen) go to train until the rows before a group reach the target."""
     per = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("c"), F.min(position).alias("p"))
     top = per.groupBy(group).agg(F.max_by(label, F.struct("c", (-F.col("p")).alias("o"))).alias("__label"), F.sum("c").alias("__n"))
-    w = Window.partitionBy("__label")
-    total = F.sum("__n").over(w)
+    at = running(top.withColumn("__o", shuffled(group, seed)), ["__label"], ["__o", group], {"n": "__n"})
+    total = F.col("total_n")
     target = F.bround(total * ratio).cast("long")
     target = F.when(total >= 2, F.greatest(F.lit(1), F.least(total - 1, target))).otherwise(target)
-    before = F.coalesce(F.sum("__n").over(w.orderBy(shuffled(group, seed), group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sides = top.select(group, F.when(before < target, "train").otherwise("test").alias("split"))
+    sides = at.select(group, F.when(F.col("before_n") < target, "train").otherwise("test").alias("split"))
     return rows.join(sides, group)
 
 
@@ -66,9 +62,8 @@ def leakage(rows: DataFrame, keys: Sequence[str], split: str = "split") -> DataF
 
 def round_robin(rows: DataFrame, source: str, order: Sequence[str], n: int) -> DataFrame:
     """n rows, taking the sources in turn (a sampling operator); the place is kept."""
-    turn = F.row_number().over(Window.partitionBy(source).orderBy(*order))
-    picked = rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", source).limit(n)
-    return picked
+    at = ranked(rows, [source], order, "__r").where(F.col("__r") < n)
+    return at.withColumn("turn", (F.col("__r") + 1).cast("int")).drop("__r").orderBy("turn", source).limit(n)
 
 
 def excluding(rows: DataFrame, seen: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -82,7 +77,8 @@ def time_folds(rows: DataFrame, order: Sequence[str], folds: int = 5) -> DataFra
     Bounds come from exact quantiles of a dense order in one column, so no global window is
     needed; order must be one numeric or time column."""
     at = F.col(order[0]).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order[0]] else F.col(order[0]).cast("double")
-    cuts = rows.agg(F.percentile(at, [i / (folds + 1) for i in range(1, folds + 1)]).alias("c"))
+    names = {f"c{i}": i / (folds + 1) for i in range(1, folds + 1)}
+    cuts = quantiles(rows.select(at.alias("__t")), [], "__t", names).select(F.array(*names).alias("c"))
     return rows.crossJoin(F.broadcast(cuts)).withColumn("fold", F.size(F.filter("c", lambda x: x < at))).drop("c")
 
 

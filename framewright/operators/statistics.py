@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from framewright.functions import labels
+
+from .ranks import quantiles, running
+from .storage import checkpoint
+
+#: What counts as no difference; probabilities of at most 0, 1, ... draws of a Poisson(1) variable.
+EPS = 1e-9
+POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(7)])
+
 #: Edges of ten equal bins, as the floating-point numbers that equal steps give.
 TENTHS = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
 
@@ -78,13 +91,14 @@ def threshold_sweep(rows: DataFrame, confidence: str, truth: str, predicted: str
 def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Population stability index over the expected deciles; values outside are dropped, and less
     than three different edges give 0. The edges are one row, broadcast to both sides."""
-    at = expected.agg(F.array_sort(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)]))).alias("edges"))
+    cuts = {f"q{i}": i / bins for i in range(bins + 1)}
+    at = quantiles(expected, [], value, cuts).select(F.array_sort(F.array_distinct(F.array(*cuts))).alias("edges"))
 
     def share(d: DataFrame, name: str) -> DataFrame:
         e, x = F.col("edges"), F.col(value)
         place = F.least(F.size(F.filter(e, lambda y: y <= x)), F.size(e) - 1)
         b = d.select(value).crossJoin(F.broadcast(at)).where(x.between(F.element_at(e, 1), F.element_at(e, -1))).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        return b.withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")
+        return b.withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")  # `bins` rows
 
     every = at.select(F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("edges") - 1))).alias("bin"), F.size("edges").alias("n_edges"))
     both = every.join(share(expected, "e"), "bin", "left").join(share(actual, "a"), "bin", "left")
@@ -99,45 +113,64 @@ def ks_w1(left: DataFrame, right: DataFrame, value: str, keys: Sequence[str] = (
     v = F.col(value)
     u = left.select(*keys, v.alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select(*keys, v.alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r"))).where("v is not null")
     c = u.groupBy(*keys, "v").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    part, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("l").over(run) / F.sum("l").over(part) - F.sum("r").over(run) / F.sum("r").over(part))
-    c = c.withColumn("gap", gap).withColumn("step", F.lead("v").over(order) - F.col("v"))
-    return c.groupBy(*keys).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce("step", F.lit(0.0))).alias("w1"))
+    at = running(c, list(keys), ["v"], {"l": "l", "r": "r"}, {"after": "v"})
+    gap = F.abs((F.col("before_l") + F.col("l")) / F.col("total_l") - (F.col("before_r") + F.col("r")) / F.col("total_r"))
+    at = at.withColumn("gap", gap)
+    return at.groupBy(*keys).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce(F.col("after") - F.col("v"), F.lit(0.0))).alias("w1"))
 
 
 def drift_summary(train: DataFrame, sensor: DataFrame, value: str) -> DataFrame:
     """Moments, quantiles and the share of sensor values outside the training p5 to p95."""
-    moments = lambda p: [F.avg(value).alias(f"{p}_mean"), F.stddev_pop(value).alias(f"{p}_std"), F.percentile(value, 0.5).alias(f"{p}_median"), F.percentile(value, 0.05).alias(f"{p}_p5"), F.percentile(value, 0.95).alias(f"{p}_p95")]
-    t = train.agg(*moments("train"))
-    outside = F.avg(((F.col(value) < F.col("train_p5")) | (F.col(value) > F.col("train_p95"))).cast("double"))
-    rate = sensor.crossJoin(F.broadcast(t)).agg(outside.alias("out_of_range_rate"))
-    return t.crossJoin(F.broadcast(sensor.agg(*moments("sensor")))).crossJoin(F.broadcast(rate))
+    shares = {"median": 0.5, "p5": 0.05, "p95": 0.95}
 
+    def moments(d: DataFrame, p: str) -> DataFrame:
+        q = quantiles(d, [], value, {f"{p}_{k}": x for k, x in shares.items()})
+        return d.agg(F.avg(value).alias(f"{p}_mean"), F.stddev_pop(value).alias(f"{p}_std")).crossJoin(F.broadcast(q))  # one row each
 
-def mutual_information(rows: DataFrame, a: Column, b: Column, bins: int = 32) -> DataFrame:
-    """Mutual information in bits of two columns, each cut into equal bins over its range, with its
-    normalised form times (correlation + 1) / 2. The two ranges are one row, broadcast."""
-    pair = rows.select(a.cast("double").alias("a"), b.cast("double").alias("b")).where("a is not null and b is not null")
-    edge = pair.agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"), F.corr("a", "b").alias("rho"))
-    place = lambda x: F.when(F.col(f"{x}1") > F.col(f"{x}0"), F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col(f"{x}0")) / (F.col(f"{x}1") - F.col(f"{x}0")) * bins))).otherwise(0)
-    n = pair.crossJoin(F.broadcast(edge)).groupBy(place("a").alias("x"), place("b").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()
-    n = n.withColumns({"p": F.col("n") / F.sum("n").over(every), "px": F.sum("n").over(Window.partitionBy("x")) / F.sum("n").over(every), "py": F.sum("n").over(Window.partitionBy("y")) / F.sum("n").over(every), "nx": F.row_number().over(Window.partitionBy("x").orderBy("y")), "ny": F.row_number().over(Window.partitionBy("y").orderBy("x"))})
-    h = lambda p, k: -F.sum(F.when(F.col(k) == 1, F.col(p) * F.log2(p)).otherwise(0.0))
-    got = n.agg(F.sum(F.col("p") * F.log2(F.col("p") / (F.col("px") * F.col("py")))).alias("mi"), h("px", "nx").alias("hx"), h("py", "ny").alias("hy"))
-    nmi = F.col("mi") / F.greatest(F.sqrt(F.greatest(F.col("hx") * F.col("hy"), F.lit(0.0))), F.lit(1e-12))
-    rho = F.when(F.isnan("rho"), 0.0).otherwise(F.coalesce("rho", F.lit(0.0)))
-    return got.crossJoin(F.broadcast(edge.select("rho"))).select("mi", F.greatest(F.lit(0.0), nmi * (rho + 1) / 2).alias("nmi_rho"))
+    t = checkpoint(moments(train, "train"))
+    outside = F.avg(((F.col(value) < F.col("train_p5")) | (F.col(value) > F.col("train_p95"))).cast("double"))
+    rate = sensor.crossJoin(F.broadcast(t)).agg(outside.alias("out_of_range_rate"))
+    return t.crossJoin(F.broadcast(moments(sensor, "sensor"))).crossJoin(F.broadcast(rate))
+
+
+def mutual_information(rows: DataFrame, a: Column, b: Column, keys: Sequence[str] = (), bins: int = 32) -> DataFrame:
+    """Per key, for two columns of 8-bit levels: mutual information in bits over `bins` equal bins of
+    0 to 255, and nmi_rho: its share of the root of both entropies over all 256 levels, times
+    (correlation + 1) / 2, at least 0. Levels are cut to 0..255 and their fractions dropped; rows
+    with a null or NaN are left out. A correlation that is undefined counts as 0.
+
+    Pairs of levels are counted first: all that follows works on 65,536 rows a key at most.
+    """
+    keys = list(keys)
+    level = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.when(~F.isnan(c.cast("double")), c.cast("double"))))).cast("int")
+    pair = rows.select(*keys, a.cast("double").alias("__x"), b.cast("double").alias("__y")).where("__x is not null and __y is not null and not isnan(__x) and not isnan(__y)")
+    cells = checkpoint(pair.groupBy(*keys, level(F.col("__x")).alias("a"), level(F.col("__y")).alias("b")).agg(F.count(F.lit(1)).alias("n")).withColumn("__all", F.lit(0)))
+    by = ["__all", *keys]
+    place = lambda c: F.least(F.lit(bins - 1), F.floor(F.col(c) * bins / 255))
+
+    def weighted(name: str, *columns: Column) -> DataFrame:
+        """Per key the sum of n * log2(n) over the groups of the columns."""
+        groups = cells.groupBy(*by, *[c.alias(f"c{i}") for i, c in enumerate(columns)]).agg(F.sum("n").alias("n"))
+        return groups.groupBy(*by).agg(F.sum(F.col("n") * F.log2("n")).alias(name))
+
+    n, x, y = F.col("n"), F.col("a"), F.col("b")
+    got = cells.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * x).alias("sxx"), F.sum(n * y * y).alias("syy"), F.sum(n * x * y).alias("sxy"))
+    for name, columns in (("h", (place("a"), place("b"))), ("ha", (place("a"),)), ("hb", (place("b"),)), ("ea", (x,)), ("eb", (y,))):
+        got = got.join(weighted(name, *columns), by)
+    mi = F.log2("n") + (F.col("h") - F.col("ha") - F.col("hb")) / n
+    entropy = lambda c: F.log2("n") - F.col(c) / n
+    spread = F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt((n * F.col("syy") - F.col("sy") * F.col("sy")).cast("double"))
+    rho = F.when(spread > 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).otherwise(0.0)
+    nmi = mi / F.greatest(F.sqrt(F.greatest(F.lit(0.0), entropy("ea") * entropy("eb"))), F.lit(1e-9))
+    return got.select(*keys, mi.alias("mi"), F.greatest(F.lit(0.0), nmi * (rho + 1) / 2).alias("nmi_rho"))
 
 
 def mad_flags(rows: DataFrame, keys: Sequence[str], value: str, limit: float = 3.5) -> DataFrame:
     """rows with the modified z-score from median and median deviation per key, and outlier."""
-    med = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("med"))
-    far = rows.join(med, list(keys)).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    mad = far.groupBy(*keys).agg(F.percentile("dev", 0.5).alias("mad"))
+    med = quantiles(rows, keys, value, {"med": 0.5})
+    far = checkpoint(rows.join(med, list(keys)).withColumn("dev", F.abs(F.col(value) - F.col("med"))))
     z = 0.6745 * (F.col(value) - F.col("med")) / (F.col("mad") + 1e-6)
-    return far.join(mad, list(keys)).withColumn("z", z).withColumn("outlier", F.col("z") > limit)
+    return far.join(quantiles(far, keys, "dev", {"mad": 0.5}), list(keys)).withColumn("z", z).withColumn("outlier", F.col("z") > limit)
 
 
 def psnr(rows: DataFrame, a: str, b: str, peak: float = 255.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -145,37 +178,144 @@ def psnr(rows: DataFrame, a: str, b: str, peak: float = 255.0, keys: Sequence[st
     return rows.groupBy(*keys).agg(F.when(mse < 1e-10, 100.0).otherwise(10 * F.log10(peak * peak / mse)).alias("psnr"))
 
 
-def bootstrap_mean(rows: DataFrame, keys: Sequence[str], value: str, id_column: str, rounds: int = 200) -> DataFrame:
-    """Percentile interval of the mean from Poisson(1) weights by hash, in one pass.
+def poisson_weights(ids: np.ndarray, rounds: int) -> np.ndarray:
+    """Poisson(1) weights, a row for each id and a column for each round, by a hash of both."""
+    h = ((ids.astype(np.uint64)[:, None] + np.uint64(1)) * np.uint64(0x9E3779B1) + (np.arange(rounds, dtype=np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+    return np.searchsorted(POISSON, (h ^ (h >> np.uint64(15))) / 2**32, side="right")
+
 
-    Each row gets a weight for each round from its id, so results don't depend on partitions."""
-    u = lambda i: (F.pmod(F.xxhash64(F.col(id_column), F.lit(i)), F.lit(2**30)) / 2**30).cast("double")
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    weight = lambda i: sum(((u(i) >= c).cast("int") for c in cuts), F.lit(0))
-    each = rows.select(*keys, F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), F.col(id_column))
-    each = each.withColumn("w", weight(F.col("round")))
-    means = each.groupBy(*keys, "round").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+def bootstrap_mean(rows: DataFrame, keys: Sequence[str], value: str, id_column: str, rounds: int = 200) -> DataFrame:
+    """Percentile interval of the mean from Poisson(1) weights by hash, in one scan.
+
+    Each row gets a weight for each round from its id, so results don't depend on partitions. A
+    batch sums up weights and weighted values by key; what is shuffled is an array of `rounds` sums for each
+    key and batch. Null and NaN values, and rows without an id, are left out."""
+    keys = list(keys)
+    body = rows.select(*keys, F.col(value).cast("double").alias("__v"), F.col(id_column).cast("long").alias("__id")).where("__v is not null and not isnan(__v) and __id is not null")
+    kinds = ", ".join(f"`{k}` {t}" for k, t in body.dtypes if k in keys)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):  # weights of a slice are a matrix
+                part = b.slice(at, 2048)
+                w = poisson_weights(part.column("__id").to_numpy(), rounds).astype(np.float64)
+                v = part.column("__v").to_numpy()
+                _, first, of = np.unique(list(zip(*[[repr(x) for x in part.column(k).to_pylist()] for k in keys], strict=True)) if keys else np.zeros((len(v), 1)), axis=0, return_index=True, return_inverse=True)
+                pick = np.eye(len(first))[:, of.ravel()]
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(first)) for k in keys], *[pa.array((pick @ x).tolist(), pa.list_(pa.float64())) for x in (w, w * v[:, None])]], names=[*keys, "w", "wv"])
+
+    got = body.mapInArrow(sums, ", ".join(x for x in (kinds, "w array<double>, wv array<double>") if x))
+    each = got.select(*keys, F.posexplode(F.arrays_zip("w", "wv")).alias("round", "s")).groupBy(*keys, "round").agg((F.sum("s.wv") / F.sum("s.w")).alias("m"))
+    return each.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # `rounds` values a key
+
+
+def median_ranks(n: int, share: float = 0.025) -> int:
+    """The 0-based rank of the sorted values at the lower end of the interval of the median: the least
+    k for which the middle of n draws with replacement is at most value k with this probability."""
+    need = n // 2 + 1
+    if n > 2000:  # a normal tail
+        return max(0, min(n - 1, math.floor(n * (0.5 - 1.959963984540054 * 0.5 / math.sqrt(n)))))
+    for k in range(n):
+        p = (k + 1) / n
+        tail = 1.0 if p >= 1 else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(need, n + 1))
+        if tail >= share:
+            return k
+    return n - 1
+
+
+def bootstrap_median(rows: DataFrame, keys: Sequence[str], value: str, least: int = 1) -> DataFrame:
+    """(keys, n, low, high): 95 % interval of the median, as endlessly many bootstrap rounds give it: the
+    distribution of the middle of n draws is binomial, so its ends are two values by rank, and no
+    rounds are drawn. One value is its own interval; under `least` values it is null. Null and
+    NaN values are left out."""
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    counted = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    at = running(counted, keys, ["__x"], {"n": "__c"})
+
+    @F.pandas_udf("long")
+    def lower(n: pd.Series) -> pd.Series:
+        known = {int(k): median_ranks(int(k)) for k in n.unique()}
+        return n.map(known)
+
+    low = lower(F.col("total_n"))
+    sides = at.withColumn("__k", low)
+    inside = lambda r: (F.col("before_n") <= r) & (r < F.col("before_n") + F.col("__c"))
+    got = sides.groupBy(*keys).agg(F.max("total_n").alias("n"), F.max(F.when(inside(F.col("__k")), F.col("__x"))).alias("low"), F.max(F.when(inside(F.col("total_n") - 1 - F.col("__k")), F.col("__x"))).alias("high"))
+    return got.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("low", "high")])
+
+
+def log_factorial(n: Column) -> Column:
+    """ln(n!), by a table up to 19 and Stirling's series beyond (relative error under 1e-15)."""
+    small = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(20)])
+    x = F.greatest(n, F.lit(20)).cast("double")
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n < 20, F.element_at(small, F.least(n, F.lit(19)).cast("int") + 1)).otherwise(series)
 
 
 def sign_test(rows: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
-    """Exact two-sided sign test: sums of binomial terms by logarithms of factorials."""
-    d = F.col(delta)
-    got = rows.groupBy(*keys).agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"))
+    """Exact two-sided sign test; differences up to 1e-9 count as none, and without others p is NaN.
+
+    Binomial terms fall by known factors from the middle one on, so a key takes about ten square
+    roots of its rows, until no term counts any more."""
+    d = labels.finite(F.col(delta).cast("double"))
+    got = rows.groupBy(*keys).agg(F.count_if(d > EPS).alias("up"), F.count_if(d < -EPS).alias("down"))
     n, k = F.col("up") + F.col("down"), F.least("up", "down")
-    logs = F.transform(F.sequence(F.lit(0), n), lambda i: F.ln(F.greatest(i, F.lit(1)).cast("double")))
-    fact = lambda m: F.aggregate(F.slice(logs, 1, (m + 1).cast("int")), F.lit(0.0), lambda a, x: a + x)
-    terms = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.exp(fact(n) - fact(i) - fact(n - i) - n * 0.6931471805599453))
-    return got.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
+    steps = F.least(k, (10 * F.sqrt(n.cast("double")) + 100).cast("long"))
+    first = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def add(a: Column, i: Column) -> Column:
+        t = a["t"] * (k - i + 1) / (n - k + i)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>")), first, add)["s"]
+    middle = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2)
+    return got.withColumn("p", F.when(n == 0, float("nan")).otherwise(F.least(F.lit(1.0), 2 * F.exp(middle) * total)))
 
 
 def wilcoxon(rows: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
-    """Signed-rank test by the normal approximation with tie correction; zeros are left out."""
-    d = rows.where(F.col(delta) != 0).select(*keys, F.abs(delta).alias("m"), (F.col(delta) > 0).alias("up"))
-    tied = d.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("t"), F.count_if("up").alias("u"))
-    before = Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2
-    got = tied.withColumn("r", rank).groupBy(*keys).agg(F.sum(F.col("r") * F.col("u")).alias("w"), F.sum("t").alias("n"), F.sum(F.pow("t", 3) - F.col("t")).alias("tie"))
+    """(keys, w, n, tie, z, p): two-sided signed-rank test; differences up to 1e-9 are left out.
+
+    z has the tie correction. p is exact for up to 50 differences without ties, by counting the sums
+    of ranks, and else that of z; it is NaN under two differences."""
+    d = labels.finite(F.col(delta).cast("double"))
+    some = rows.where(F.abs(d) > EPS).select(*keys, F.abs(d).alias("m"), (d > 0).alias("up"))
+    tied = some.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("t"), F.count_if("up").alias("u"))
+    at = running(tied, list(keys), ["m"], {"t": "t"})
+    got = at.withColumn("r", F.col("before_t") + (F.col("t") + 1) / 2).groupBy(*keys).agg(F.sum(F.col("r") * F.col("u")).alias("w"), F.sum("t").alias("n"), F.sum(F.pow("t", 3) - F.col("t")).alias("tie"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
-    return got.withColumn("z", F.when(var > 0, (F.col("w") - n * (n + 1) / 4) / F.sqrt(var)))
+    got = got.withColumn("z", F.when(var > 0, (F.col("w") - n * (n + 1) / 4) / F.sqrt(var)))
+
+    @F.pandas_udf("double")
+    def probability(w: pd.Series, n: pd.Series, tie: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(a, int(b), c == 0, y) for a, b, c, y in zip(w, n, tie, z, strict=True)])
+
+    return got.withColumn("p", probability("w", "n", "tie", "z"))
+
+
+def signed_rank_p(w: float, n: int, untied: bool, z: float | None) -> float:
+    if n < 2:
+        return float("nan")
+    if n > 50 or not untied:
+        return float("nan") if z is None or z != z else math.erfc(abs(z) / math.sqrt(2))
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] += ways[: len(ways) - r].copy()
+    low = int(round(min(w, n * (n + 1) / 2 - w)))
+    return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
+
+
+def paired_summary(rows: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
+    """(keys, n, mean, median, std, iqr, low, high, sign_p, wilcoxon_p) of a difference; rows with a null
+    or infinite one are left out, and one value has a deviation of 0."""
+    keys, d = list(keys), labels.finite(F.col(delta).cast("double"))
+    some = checkpoint(rows.select(*keys, d.alias("__d")).where("__d is not null"))
+    base = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("mean"), F.coalesce(F.stddev_samp("__d"), F.lit(0.0)).alias("std"))
+    q = quantiles(some, keys, "__d", {"median": 0.5, "__q1": 0.25, "__q3": 0.75})
+    out = base.join(q, keys).join(bootstrap_median(some, keys, "__d").drop("n"), keys)
+    out = out.join(sign_test(some, keys, "__d").select(*keys, F.col("p").alias("sign_p")), keys).join(wilcoxon(some, keys, "__d").select(*keys, F.col("p").alias("wilcoxon_p")), keys, "left")
+    return out.select(*keys, "n", "mean", "median", "std", (F.col("__q3") - F.col("__q1")).alias("iqr"), "low", "high", "sign_p", F.coalesce("wilcoxon_p", F.lit(float("nan"))).alias("wilcoxon_p"))

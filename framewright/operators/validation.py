@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.labels import ENV_CLASSES, LABEL_SOURCES
+from framewright.functions.labels import ENV_CLASSES, LABEL_SOURCES, finite
 
 # The core features and the channels.
 CORE = ("nir_mean_brightness", "nir_std", "nir_entropy", "nir_p95", "nir_glare_score", "nir_sharpness", "nir_dark_fraction", "nir_saturation_mean", "hour_of_day_sin", "hour_of_day_cos", "prev_env_class", "nir_blue_mean_ema")
@@ -71,8 +71,10 @@ def filter_records(rows: DataFrame, sources: Sequence[str] | None = None, therma
 
 
 def failure_cases(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, failure_type, severity), none to many for each row of metrics and baselines."""
-    c = F.col
+    """(keys, failure_type, severity), none to many for each row of metrics and baselines. A metric
+    that is null, NaN or infinite is missing, and a rule that needs it doesn't fit."""
+    kinds = dict(rows.dtypes)
+    c = lambda k: F.col(k) if kinds.get(k) in ("string", "boolean") else finite(F.col(k).cast("double"))
     more = lambda k: c(k) - c(f"baseline_{k}")
     sat, dark, noise, sharp, contrast = "pct_highlight_saturated", "pct_dark_clipped", "noise_proxy", "laplacian_variance", "rms_contrast"
     have = set(rows.columns)

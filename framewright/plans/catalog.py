@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from framewright.functions import arrays, labels, rules
-from framewright.operators import aggregates, graph, joins, ordered, splits, statistics, validation
+from framewright.operators import aggregates, graph, joins, ordered, ranks, splits, statistics
+from framewright.operators.storage import checkpoint
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -260,35 +260,57 @@ def anti_overlap(spark, sf):
 
 
 @query("""
-WITH a AS (SELECT event_type, user_id, avg(value) AS m FROM events WHERE event_id % 2 = 0 AND user_id % 9 <> 0 GROUP BY ALL), b AS (SELECT event_type, user_id, avg(value) AS m FROM events WHERE event_id % 2 = 1 AND user_id % 8 <> 0 GROUP BY ALL)
-SELECT event_type, user_id, round(a.m, 6) AS mean_a, round(b.m, 6) AS mean_b, round(b.m - a.m, 6) AS delta, CASE WHEN a.m IS NULL THEN 'a' WHEN b.m IS NULL THEN 'b' END AS missing FROM a FULL JOIN b USING (event_type, user_id)""")
+WITH a AS (SELECT user_id, avg(value) AS m FROM events WHERE event_type = 'click' AND value > 40 GROUP BY 1), b AS (SELECT user_id, avg(value) AS m FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1)
+SELECT user_id, round(a.m, 6) AS mean_a, round(b.m, 6) AS mean_b, round(b.m - a.m, 6) AS delta, CASE WHEN a.m IS NULL THEN 'a' WHEN b.m IS NULL THEN 'b' END AS missing FROM a FULL JOIN b USING (user_id)""")
 def full_outer_diff(spark, sf):
-    e = table(spark, sf, "events")
-    out = joins.compare_runs(e.where("event_id % 2 = 0 AND user_id % 9 <> 0"), e.where("event_id % 2 = 1 AND user_id % 8 <> 0"), ["event_type", "user_id"], "value")
+    e = table(spark, sf, "events").where("value > 40")
+    out = joins.compare_runs(e.where("event_type = 'click'"), e.where("event_type = 'error'"), ["user_id"], "value")
     return rounded(out, "mean_a", "mean_b", "delta")
 
 
-HASHES = "SELECT doc_id, ('0x' || substr(md5(substr(text, 1, 1)), 1, 8))::UBIGINT * 4294967296 + ('0x' || substr(md5(substr(text, 2, 2)), 1, 8))::UBIGINT AS h FROM documents"
+SIMHASH = """
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h FROM w),
+b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY ALL)
+SELECT doc_id, sum(CASE WHEN v > 0 THEN 1::UBIGINT << i ELSE 0 END)::UBIGINT AS h FROM b GROUP BY 1"""
 
 
 def hashed(spark, sf) -> DataFrame:
-    h = F.concat(F.substring(F.md5(F.substring("text", 1, 1)), 1, 8), F.substring(F.md5(F.substring("text", 2, 2)), 1, 8))
-    return table(spark, sf, "documents").select("doc_id", arrays.hash64(h).alias("h"))
+    """(doc_id, h): 64-bit SimHash of each whole text: of each bit, what most words have."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    h = words.select("doc_id", arrays.hash64(F.substring(F.md5("w"), 1, 16)).alias("h"))
+    bits = h.groupBy("doc_id").agg(*[F.sum(2 * F.getbit("h", F.lit(i)) - 1).alias(f"b{i}") for i in range(64)])
+    value = F.lit(0).cast("long")
+    for i in range(64):
+        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits.select("doc_id", value.alias("h"))
+
+
+@query(f"""WITH h AS ({SIMHASH}), c AS (SELECT h, min(doc_id) AS id, count(*) AS n FROM h GROUP BY 1)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 7""")
+def hamming_pairs(spark, sf):
+    """Near texts by SimHash: pairs of classes of equal hashes, with their sizes."""
+    return joins.hamming_links(checkpoint(hashed(spark, sf)), "h", "doc_id", 7)
 
 
-@query(f"""WITH h AS ({HASHES}) SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 12""")
-def hamming_pairs(spark, sf):
-    return joins.hamming_pairs(hashed(spark, sf), None, "h", "doc_id", 12)
+@query("""
+WITH a AS (SELECT doc_id, sha256(text) AS k FROM documents), c AS (SELECT k, min(doc_id) AS left_id, count(*) AS n_left FROM a JOIN labels USING (doc_id) GROUP BY 1), d AS (SELECT k, min(doc_id) AS right_id, count(*) AS n_right FROM a WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1)
+SELECT k AS key, left_id, right_id, n_left, n_right FROM c JOIN d USING (k)""")
+def overlap_classes(spark, sf):
+    """Texts that labelled and other documents share, with the sizes of both groups."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
+    known = table(spark, sf, "labels").select("doc_id")
+    return joins.overlap_classes(docs.join(known, "doc_id"), docs.join(known, "doc_id", "left_anti"), "k", "doc_id", "doc_id")
 
 
 @query("""
-WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' AND user_id % 3 <> 0),
-p AS (SELECT a.event_id, a.user_id, b.event_id AS near_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 AS gap FROM a JOIN b ON a.user_id = b.user_id OR a.user_id % 3 = 0),
+WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup' AND value > 40),
+p AS (SELECT a.event_id, a.user_id, b.event_id AS near_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 AS gap FROM a JOIN b ON a.user_id = b.user_id OR a.user_id NOT IN (SELECT user_id FROM b)),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, near_id) AS r FROM p)
 SELECT event_id, user_id, near_id, gap, CASE WHEN gap <= 3600 THEN 'strict_paired' WHEN gap <= 20000 THEN 'qualitative_weak' ELSE 'reject_unpaired' END AS status FROM r WHERE r = 1""")
 def nearest_event_pair(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    a, b = e.where("event_type = 'error'").drop("event_type"), e.where("event_type = 'click' AND user_id % 3 <> 0").drop("event_type")
+    """Each error with the large signup nearest in time, of its own user if that has any."""
+    e = table(spark, sf, "events")
+    a, b = (d.select("event_id", "user_id", "ts") for d in (e.where("event_type = 'error'"), e.where("event_type = 'signup' AND value > 40")))
     out = joins.nearest(a, b, "ts", "event_id", "user_id")
     return out.select("event_id", "user_id", F.col("near_event_id").alias("near_id"), "gap", rules.gap_tier(F.col("gap"), 3600, 20000).alias("status"))
 
@@ -327,7 +349,7 @@ def label_lookup_with_overrides(spark, sf):
 WITH f AS (SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, source, doc_id FROM documents), r AS (SELECT o_orderkey, 'src' || (o_orderkey % 20) AS source, o_orderkey // 20 AS i FROM orders)
 SELECT r.o_orderkey, f.doc_id FROM r LEFT JOIN f USING (source, i)""")
 def index_offset_join(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "doc_id").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    docs = ranks.ranked(table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "i")
     k = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(k, F.concat(F.lit("src"), k % 20).alias("source"), F.floor(k / 20).cast("int").alias("i"))
     return rows.join(docs, ["source", "i"], "left").select("o_orderkey", "doc_id")
@@ -384,7 +406,12 @@ def dup_components(spark, sf):
     return graph.clusters(docs.select("doc_id"), "doc_id", graph.equal_links(docs, "doc_id", "sha"))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS MATERIALIZED (SELECT o_orderkey AS id, 'c' || o_custkey AS k1, CASE WHEN o_orderkey % 40 = 0 THEN 'm' || substr(md5(o_orderkey::VARCHAR), 1, 2) END AS k2 FROM orders),
+l AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY k1) AS g, k2 FROM n), e AS MATERIALIZED (SELECT DISTINCT g AS a, min(g) OVER (PARTITION BY k2) AS b FROM l WHERE k2 IS NOT NULL),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), s AS (SELECT DISTINCT g AS node, g AS label FROM l UNION SELECT u.b, s.label FROM s JOIN u ON u.a = s.node WHERE s.label < u.b),
+r AS (SELECT node, min(label) AS label FROM s GROUP BY 1)
+SELECT id AS o_orderkey, label AS super_group FROM l JOIN r ON l.g = r.node""")
 def super_groups(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 40 == 0, F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 2)).alias("mark"))
     return splits.super_groups(o, "o_orderkey", ["o_custkey", "mark"]).select("o_orderkey", "super_group")
@@ -408,7 +435,12 @@ def group_split(spark, sf):
     return out.select("o_orderkey", "o_custkey", "split")
 
 
-@query()
+@query("""
+WITH g AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY sha256(text)) AS super_group FROM documents), per AS (SELECT super_group, lang AS label, count(*) AS c, min(doc_id) AS p FROM g GROUP BY ALL),
+top AS (SELECT super_group, arg_max(label, {'c': c, 'o': -p}) AS label, sum(c)::BIGINT AS n FROM per GROUP BY 1),
+w AS (SELECT *, sum(n) OVER (PARTITION BY label) AS total, coalesce(sum(n) OVER (PARTITION BY label ORDER BY md5(super_group || ':42'), super_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM top),
+s AS (SELECT super_group, CASE WHEN before < CASE WHEN total >= 2 THEN greatest(1, least(total - 1, round_even(total * 0.8, 0)::BIGINT)) ELSE round_even(total * 0.8, 0)::BIGINT END THEN 'train' ELSE 'test' END AS split FROM w)
+SELECT doc_id, super_group, split FROM g JOIN s USING (super_group)""")
 def cluster_aware_split(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("sha"))
     groups = splits.super_groups(docs, "doc_id", ["sha"])
@@ -581,29 +613,51 @@ def skew_gate(spark, sf):
     return out.select("user_id", "event_id", "state")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT *, CASE WHEN value > 40 THEN 'glare' WHEN value > 20 THEN 'fog' ELSE 'default' END AS d FROM ({E})),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, 'default' AS stable, '' AS candidate, 0 AS streak FROM e UNION ALL
+  SELECT user_id, rn, event_id, CASE WHEN d = stable OR streak >= need THEN d ELSE stable END, CASE WHEN d = stable OR streak >= need THEN '' ELSE d END, CASE WHEN d = stable OR streak >= need THEN 0 ELSE streak END FROM (
+    SELECT e.user_id, e.rn, e.event_id, e.d, r.stable, CASE WHEN e.d = r.candidate THEN r.streak + 1 ELSE 1 END AS streak, CASE WHEN e.d IN ('glare', 'fog') THEN 2 WHEN r.stable = 'fog' THEN 2 ELSE 3 END AS need
+    FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, stable AS preset FROM r WHERE rn > 0""")
 def preset_debounce(spark, sf):
     preset = F.when(F.col("value") > 40, "glare").when(F.col("value") > 20, "fog").otherwise("default")
     out = ordered.fold(by_user(spark, sf, "value").withColumn("desired", preset), ["user_id"], ORDER, ["desired"], lambda: ordered.Debounce(usual=3, special={"glare": (2, 3), "fog": (2, 2)}), "preset", "string")
     return out.select("user_id", "event_id", "preset")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT *, epoch_us(ts) / 1e6 AS t FROM ({E})), r AS (SELECT user_id, rn, event_id, value AS x, 0.0::DOUBLE AS d, t FROM e WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, event_id, x + c / (c + 1) * (v - x), d, t FROM (SELECT *, 2 * pi() * (1.15::DOUBLE + 0.018::DOUBLE * abs(d)) * dt AS c FROM (
+    SELECT user_id, rn, event_id, v, x, t, dt, d + (2 * pi() * dt) / (2 * pi() * dt + 1) * ((v - x) / dt - d) AS d FROM (
+      SELECT e.user_id, e.rn, e.event_id, e.value AS v, r.x, r.d, e.t, CASE WHEN e.t > r.t THEN e.t - r.t ELSE 1e-6::DOUBLE END AS dt FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))))
+SELECT user_id, event_id, round(x, 6) AS smooth FROM r""")
 def one_euro(spark, sf):
     rows = by_user(spark, sf, "value").withColumn("t", micros() / 1e6)
-    return ordered.fold(rows, ["user_id"], ORDER, ["value", "t"], ordered.OneEuro, "smooth", "double").select("user_id", "event_id", "smooth")
+    return rounded(ordered.fold(rows, ["user_id"], ORDER, ["value", "t"], ordered.OneEuro, "smooth", "double").select("user_id", "event_id", "smooth"), "smooth")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT *, least(0.98, value / 100) AS p FROM ({E})), r AS (SELECT user_id, rn, event_id, p AS fog, 1 - p AS rain FROM e WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, event_id, f / (f + g), g / (f + g) FROM (SELECT e.user_id, e.rn, e.event_id, CASE WHEN e.p > r.fog THEN 0.8::DOUBLE * e.p + (1 - 0.8::DOUBLE) * r.fog ELSE 0.3::DOUBLE * e.p + (1 - 0.3::DOUBLE) * r.fog END AS f,
+    0.55::DOUBLE * (1 - e.p) + (1 - 0.55::DOUBLE) * r.rain AS g FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, round(fog, 6) AS fog, round(rain, 6) AS rain FROM r""")
 def posterior_ema(spark, sf):
     p = F.least(F.lit(0.98), F.col("value") / 100)
     rows = by_user(spark, sf, "value").withColumn("proba", F.to_json(F.struct(p.alias("fog"), (1 - p).alias("rain"))))
-    return ordered.fold(rows, ["user_id"], ORDER, ["proba"], lambda: ordered.Posterior(["fog", "rain"], 0.55, {"fog": (0.8, 0.3)}), "posterior", "string").select("user_id", "event_id", "posterior")
+    out = ordered.fold(rows, ["user_id"], ORDER, ["proba"], lambda: ordered.Posterior(["fog", "rain"], 0.55, {"fog": (0.8, 0.3)}), "posterior", "string")
+    return rounded(out.select("user_id", "event_id", F.from_json("posterior", "fog double, rain double").alias("s")).select("user_id", "event_id", "s.*"), "fog", "rain")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, turn, sha256(coalesce(text, '')) AS t FROM conversations),
+b AS (SELECT unhex('{bytes(c ^ 0x36 for c in b"key".ljust(64, b"\0")).hex()}') AS i, unhex('{bytes(c ^ 0x5C for c in b"key".ljust(64, b"\0")).hex()}') AS o),
+r AS (SELECT conv_id, rn, turn, sha256(o || unhex(sha256(i || encode('{{"prev": null, "text": "' || t || '"}}')))) AS s FROM k, b WHERE rn = 1 UNION ALL
+  SELECT k.conv_id, k.rn, k.turn, sha256(o || unhex(sha256(i || encode('{{"prev": "' || r.s || '", "text": "' || k.t || '"}}')))) FROM r JOIN k ON k.conv_id = r.conv_id AND k.rn = r.rn + 1, b)
+SELECT conv_id, turn, s AS signature, true AS valid FROM r""")
 def hash_chain(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    """Signatures of the digests of each turn, each with the one before; all must hold."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))
     chained = ordered.fold(rows, ["conv_id"], ["turn"], ["text"], lambda: ordered.HashChain(b"key"), "signature", "string")
     return ordered.verify_chain(chained, ["conv_id"], ["turn"], "text", "signature", b"key").select("conv_id", "turn", "signature", "valid")
 
@@ -697,13 +751,15 @@ def threshold_sweep(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem), e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, corr(a, b) AS rho FROM p),
-n AS (SELECT least(31, floor((a - a0) / (a1 - a0) * 32)) AS x, least(31, floor((b - b0) / (b1 - b0) * 32)) AS y, count(*) AS n FROM p, e GROUP BY ALL),
-j AS (SELECT x, y, n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY x) / sum(n) OVER () AS px, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS py FROM n),
-h AS (SELECT (SELECT -sum(px * log2(px)) FROM (SELECT DISTINCT x, px FROM j)) AS hx, (SELECT -sum(py * log2(py)) FROM (SELECT DISTINCT y, py FROM j)) AS hy, (SELECT sum(p * log2(p / (px * py))) FROM j) AS mi)
-SELECT round(mi, 9) AS mi, round(greatest(0, mi / sqrt(hx * hy) * (rho + 1) / 2), 9) AS nmi_rho FROM h, e""")
+WITH p AS (SELECT l_linenumber AS k, floor(least(255, l_quantity * 5)) AS a, floor(least(255, l_extendedprice / 420)) AS b FROM lineitem),
+n AS (SELECT k, least(31, floor(a * 32 / 255)) AS x, least(31, floor(b * 32 / 255)) AS y, count(*) AS n FROM p GROUP BY ALL),
+j AS (SELECT k, n / sum(n) OVER (PARTITION BY k) AS p, sum(n) OVER (PARTITION BY k, x) / sum(n) OVER (PARTITION BY k) AS px, sum(n) OVER (PARTITION BY k, y) / sum(n) OVER (PARTITION BY k) AS py FROM n),
+m AS (SELECT k, sum(p * log2(p / (px * py))) AS mi FROM j GROUP BY 1),
+ea AS (SELECT k, -sum(p * log2(p)) AS h FROM (SELECT k, a, count(*) / sum(count(*)) OVER (PARTITION BY k) AS p FROM p GROUP BY k, a) GROUP BY 1), eb AS (SELECT k, -sum(p * log2(p)) AS h FROM (SELECT k, b, count(*) / sum(count(*)) OVER (PARTITION BY k) AS p FROM p GROUP BY k, b) GROUP BY 1),
+c AS (SELECT k, corr(a, b) AS rho FROM p GROUP BY 1)
+SELECT k AS l_linenumber, round(mi, 9) AS mi, round(greatest(0, mi / greatest(sqrt(ea.h * eb.h), 1e-9) * (rho + 1) / 2), 9) AS nmi_rho FROM m JOIN ea USING (k) JOIN eb USING (k) JOIN c USING (k)""")
 def mutual_information(spark, sf):
-    out = statistics.mutual_information(table(spark, sf, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"))
+    out = statistics.mutual_information(table(spark, sf, "lineitem"), F.col("l_quantity") * 5, F.col("l_extendedprice") / 420, ["l_linenumber"])
     return rounded(out, "mi", "nmi_rho", digits=9)
 
 
@@ -713,13 +769,34 @@ def psnr_by_group(spark, sf):
     return rounded(statistics.psnr(rows, "l_quantity", "b", keys=["l_linenumber"]), "psnr", digits=9)
 
 
-@query()
+@query("""
+WITH h AS (SELECT event_type, value, r, ((event_id + 1)::UBIGINT * 2654435761 + (r + 1)::UBIGINT * 2246822519) & 4294967295::UBIGINT AS h FROM events, range(100) t(r)),
+a AS (SELECT event_type, value, r, (xor(h, h >> 15) * 739982445::UBIGINT) & 4294967295::UBIGINT AS h FROM h), b AS (SELECT event_type, value, r, (xor(h, h >> 12) * 695872825::UBIGINT) & 4294967295::UBIGINT AS h FROM a),
+u AS (SELECT event_type, value, r, xor(h, h >> 15) / 4294967296 AS u FROM b), w AS (SELECT event_type, value, r, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238463)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT AS w FROM u),
+m AS (SELECT event_type, r, sum(value * w) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT event_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1""")
 def bootstrap_interval(spark, sf):
-    return statistics.bootstrap_mean(table(spark, sf, "events"), ["event_type"], "value", "event_id", 100)
+    return rounded(statistics.bootstrap_mean(table(spark, sf, "events"), ["event_type"], "value", "event_id", 100), "low", "high")
 
 
-@query()
+@query("""
+WITH d AS (SELECT l_linenumber, l_quantity - 25.5 AS d FROM lineitem), c AS (SELECT l_linenumber, count_if(d > 0)::BIGINT AS up, count_if(d < 0)::BIGINT AS down FROM d GROUP BY 1),
+p AS (SELECT l_linenumber, up, down, least(1, 2 * sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2)))) AS p FROM c, range(100000) t(i) WHERE i <= least(up, down) GROUP BY ALL),
+t AS (SELECT l_linenumber, abs(d) AS m, count(*) AS t, count_if(d > 0) AS u FROM d GROUP BY ALL), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY l_linenumber ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS r FROM t),
+s AS (SELECT l_linenumber, sum(r * u) AS w, sum(t)::BIGINT AS n, sum(t ** 3 - t) AS tie FROM r GROUP BY 1)
+SELECT l_linenumber, up, down, round(p, 6) AS p, w, n, round((w - n * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) AS z FROM p JOIN s USING (l_linenumber)""")
 def paired_tests(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_linenumber", (F.col("l_quantity") - 25.5).alias("d"))
-    s = statistics.sign_test(rows.where("d > -20"), ["l_linenumber"], "d")
-    return s.join(statistics.wilcoxon(rows, ["l_linenumber"], "d"), "l_linenumber")
+    s = statistics.sign_test(rows, ["l_linenumber"], "d")
+    return rounded(s.join(statistics.wilcoxon(rows, ["l_linenumber"], "d").drop("p", "tie"), "l_linenumber"), "p", "z")
+
+
+@query("""
+WITH d AS (SELECT l_linestatus AS k, l_quantity - 25 AS d FROM lineitem), o AS (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d) - 1 AS r FROM d),
+c AS (SELECT k, count(*) AS n, avg(d) AS mean, median(d) AS median, stddev_samp(d) AS std, quantile_cont(d, 0.75) - quantile_cont(d, 0.25) AS iqr, count_if(d > 0)::BIGINT AS up, count_if(d < 0)::BIGINT AS down FROM d GROUP BY 1),
+e AS (SELECT *, floor(n * (0.5 - 1.959963984540054 * 0.5 / sqrt(n)))::BIGINT AS lower FROM c),
+p AS (SELECT k, least(1, 2 * sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2)))) AS p FROM e, range(100000) t(i) WHERE i <= least(up, down) GROUP BY ALL)
+SELECT k AS l_linestatus, n, round(mean, 6) AS mean, median, round(std, 6) AS std, iqr, (SELECT d FROM o WHERE o.k = e.k AND r = lower) AS low, (SELECT d FROM o WHERE o.k = e.k AND r = n - 1 - lower) AS high, round(p, 6) AS sign_p FROM e JOIN p USING (k)""")
+def paired_summary(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_linestatus", (F.col("l_quantity") - 25).alias("d"))
+    return rounded(statistics.paired_summary(rows, ["l_linestatus"], "d").drop("wilcoxon_p"), "mean", "std", "sign_p")

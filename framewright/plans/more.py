@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays, images, labels, rules
 from framewright.operators import evaluation, learning, ordered, validation
+from framewright.operators.storage import new_path
 from framewright.sources import readers, writers
 from framewright.streaming import machines
 
@@ -253,10 +250,10 @@ def scalar_geometry(spark, sf):
 
 
 @query("""
-SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS file, CASE WHEN url LIKE '%/en/%' THEN 'en' WHEN url LIKE '%/de/%' THEN 'de' ELSE '' END AS lang, regexp_replace(trim(substr(url, 1, 40)), '[^\\p{L}\\p{N}._-]', '_', 'g') AS safe, sha256(url) AS digest FROM pages""")
+SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS file, CASE WHEN url LIKE '%/en/%' THEN 'en' WHEN url LIKE '%/de/%' THEN 'de' ELSE '' END AS lang, regexp_replace(trim(url), '[^\\p{L}\\p{N}._-]', '_', 'g') AS safe, sha256(url) AS digest FROM pages""")
 def text_scalars(spark, sf):
     u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", labels.file_name(u).alias("file"), F.when(u.contains("/en/"), "en").when(u.contains("/de/"), "de").otherwise("").alias("lang"), labels.safe_name(F.substring(u, 1, 40)).alias("safe"), F.sha2(u, 256).alias("digest"))
+    return table(spark, sf, "pages").select("page_id", labels.file_name(u).alias("file"), F.when(u.contains("/en/"), "en").when(u.contains("/de/"), "de").otherwise("").alias("lang"), labels.safe_name(u).alias("safe"), F.sha2(u, 256).alias("digest"))
 
 
 @query("""
@@ -309,21 +306,57 @@ def classifier_predictions(spark, sf):
     return learning.predict_top2(model, t.where("l_orderkey % 5 = 0"), ["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
+WIDE = 16
+
+
+def pictures(spark, sf) -> DataFrame:
+    """(doc_id, height, a, b): each whole text as two images of WIDE columns, its first and second half;
+    what is missing in the last row is 0. Texts without a byte are left out."""
+    raw = F.encode("text", "UTF-8")
+    docs = table(spark, sf, "documents").select("doc_id", raw.alias("raw"), F.ceil(F.octet_length(raw) / (2 * WIDE)).cast("int").alias("height")).where("height > 0")
+    whole = docs.select("doc_id", "height", F.rpad("raw", 2 * WIDE * F.col("height"), F.lit(b"\x00")).alias("raw"))
+    half = WIDE * F.col("height")
+    return whole.select("doc_id", "height", F.substring("raw", F.lit(1), half).alias("a"), F.substring("raw", half + 1, half).alias("b"))
+
+
+PIXELS = f"""
+WITH t AS (SELECT doc_id, hex(encode(text)) AS h, ceil(octet_length(encode(text)) / {2 * WIDE}.0)::INT AS height FROM documents WHERE text <> ''),
+x AS (SELECT doc_id, height, unnest(range(2 * {WIDE} * height)) AS i, h FROM t), v AS (SELECT doc_id, height, i, CASE WHEN 2 * i < length(h) THEN ('0x' || substr(h, 2 * i + 1, 2))::INT ELSE 0 END AS v FROM x)"""
+
+
+@query(f"""{PIXELS}, a AS (SELECT doc_id, height, i // {WIDE} AS r, i % {WIDE} AS c, v FROM v WHERE i < {WIDE} * height),
+g AS (SELECT *, lead(v) OVER (PARTITION BY doc_id, r ORDER BY c) - v AS dx, lead(v) OVER (PARTITION BY doc_id, c ORDER BY r) - v AS dy FROM a),
+e AS (SELECT doc_id, -sum(p * log2(p)) AS entropy FROM (SELECT doc_id, v, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM a GROUP BY doc_id, v) GROUP BY 1),
+q AS (SELECT doc_id, any_value(height) AS height, avg(v) AS mean, stddev_pop(v) AS rms_contrast, avg((v <= 5)::INT) AS pct_dark_clipped, avg((v >= 250)::INT) AS pct_highlight_saturated, avg((v > 240)::INT) AS glare, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.05) AS p5, avg(dx * dx) AS xx, avg(dy * dy) AS yy, avg(sqrt((dx * dx + dy * dy) / 2)) AS gradient FROM g GROUP BY 1)
+SELECT doc_id, height, round(mean, 6) AS mean, round(entropy, 6) AS entropy, round(p95, 6) AS p95, round(glare, 6) AS glare, round(pct_dark_clipped, 6) AS pct_dark_clipped, round(pct_highlight_saturated, 6) AS pct_highlight_saturated, round(rms_contrast, 6) AS rms_contrast,
+  round((p95 - p5) / greatest(p95 + p5, 1e-6), 6) AS michelson, round(CASE WHEN height < 2 THEN 0 ELSE sqrt(xx + yy) END, 6) AS spatial_frequency, round(CASE WHEN height < 2 THEN 0 ELSE gradient END, 6) AS average_gradient FROM q JOIN e USING (doc_id)""")
+def image_levels(spark, sf):
+    """Levels, clipping and gradients of the first half of each text as an image."""
+    t = pictures(spark, sf).select("doc_id", "height", images.quality_metrics("a", "height", F.lit(WIDE)).alias("q"), images.optical_stats("a", "height", F.lit(WIDE)).alias("o"))
+    names = ["mean", "entropy", "p95", "glare", "pct_dark_clipped", "pct_highlight_saturated", "rms_contrast", "michelson", "spatial_frequency", "average_gradient"]
+    return rounded(t.select("doc_id", "height", *[F.col(f"{'o' if n in images.OPTICAL else 'q'}.{n}").alias(n) for n in names]), *names)
+
+
 @query()
 def image_quality(spark, sf):
     t = pictures(spark, sf)
-    return t.select("doc_id", images.quality_metrics("a", F.lit(16), F.lit(16)).alias("q"), images.optical_stats("a", F.lit(16), F.lit(16)).alias("o"), images.dhash("a", F.lit(16), F.lit(16)).alias("dhash")).select("doc_id", "q.*", "o.mean", "o.entropy", "o.glare", "dhash")
+    return t.select("doc_id", images.quality_metrics("a", "height", F.lit(WIDE)).alias("q"), images.optical_stats("a", "height", F.lit(WIDE)).alias("o"), images.dhash("a", "height", F.lit(WIDE)).alias("dhash")).select("doc_id", "q.*", "o.mean", "o.entropy", "o.glare", "dhash")
 
 
-def pictures(spark, sf) -> DataFrame:
-    pad = F.substring(F.rpad(F.encode("text", "UTF-8"), 512, F.lit(b"\x00")), 1, 512)
-    return table(spark, sf, "documents").select("doc_id", F.substring(pad, 1, 256).alias("a"), F.substring(pad, 257, 256).alias("b"))
+@query(f"""{PIXELS}, p AS (SELECT x.doc_id, x.v AS a, y.v AS b FROM v x JOIN v y ON x.doc_id = y.doc_id AND y.i = x.i + {WIDE} * x.height),
+n AS (SELECT doc_id AS k, least(31, floor(a * 32 / 255)) AS x, least(31, floor(b * 32 / 255)) AS y, count(*) AS n FROM p GROUP BY ALL),
+j AS (SELECT k, n / sum(n) OVER (PARTITION BY k) AS p, sum(n) OVER (PARTITION BY k, x) / sum(n) OVER (PARTITION BY k) AS px, sum(n) OVER (PARTITION BY k, y) / sum(n) OVER (PARTITION BY k) AS py FROM n)
+SELECT k AS doc_id, round(sum(p * log2(p / (px * py))), 6) AS mi FROM j GROUP BY 1""")
+def image_pairs(spark, sf):
+    """Mutual information of the two halves of each text as images."""
+    t = pictures(spark, sf).select("doc_id", images.fusion_metrics("a", "b", "height", F.lit(WIDE)).alias("m"))
+    return rounded(t.select("doc_id", "m.mi"), "mi")
 
 
 @query()
 def image_fusion(spark, sf):
     t = pictures(spark, sf).withColumn("fused", images.alpha_blend("a", "b", F.lit(0.6)))
-    return t.select("doc_id", images.fusion_metrics("fused", "b", F.lit(16), F.lit(16)).alias("m"), F.sha2("fused", 256).alias("sha")).select("doc_id", "m.*", "sha")
+    return t.select("doc_id", images.fusion_metrics("fused", "b", "height", F.lit(WIDE)).alias("m"), F.sha2("fused", 256).alias("sha")).select("doc_id", "m.*", "sha")
 
 
 @query()
@@ -355,16 +388,9 @@ def session_counts(spark, sf):
 
 def streamed(spark, sf, f, mode: str = "append") -> DataFrame:
     """Runs f over events as a stream and returns what came out, as a batch."""
-    from framewright.operators.graph import checkpoint
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    name = f"stream_{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf) if not sf.endswith(".parquet") else None
-    out = f(rows.withColumn("ts", F.col("ts").cast("timestamp")))
-    return checkpoint(machines.once(out, name, f"{sc.getCheckpointDir()}/{name}", mode))
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf)
+    return machines.once(f(rows.withColumn("ts", F.col("ts").cast("timestamp"))), new_path(spark, "stream"), mode)
 
 
 @query("""

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+
+from framewright.operators.ranks import ranked
 
 # Extensions of files.
 IMAGES, VIDEOS, DATA = ("jpg", "jpeg", "png", "bmp"), ("mp4", "avi", "mov", "mkv"), ("npy", "npz")
@@ -157,7 +158,7 @@ def shuffled_cap(files: DataFrame, cap: int, seed: int = 42, classes: Sequence[s
 
 def indexed(files: DataFrame, source: str) -> DataFrame:
     """files with their place by path in their source, to recover which file row k was."""
-    return files.withColumn("source", F.lit(source)).withColumn("frame_idx", F.row_number().over(Window.partitionBy("source").orderBy("path")) - 1)
+    return ranked(files.withColumn("source", F.lit(source)), ["source"], ["path"], "frame_idx")
 
 
 VOC = "object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"

@@ -13,8 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def fold_stream(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str], make: Callable, name: str, kind: str, keep: Sequence[str]) -> DataFrame:
-    """The stream's rows with the machine's output. Within a micro-batch a key's rows are sorted;
-    only the machine's state lives on, so memory doesn't grow with the stream."""
+    """The stream's rows with the machine's output. Within a micro-batch a key's rows are gathered and
+    sorted; only the machine's state lives on. So memory is bounded by a key's rows in one micro-batch:
+    bound those by the source's maxFilesPerTrigger or maxBytesPerTrigger. Null keys are one key."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [key, *keep]) + f", `{name}` {kind}"
 
@@ -52,11 +53,23 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return a.join(b, (a[key] == k) & (F.col(right_time) <= F.col(left_time)) & (F.col(right_time) >= F.col(left_time) - F.expr(f"interval {before}"))).drop(k)
 
 
-def once(rows: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns the result as a table in memory."""
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+def once(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote below `path`, as a table. Rows go
+    from the executors to Parquet files; in complete mode each micro-batch writes the whole result
+    anew, and the last one counts."""
+    start = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    spark, schema = rows.sparkSession, rows.schema
+    if mode == "append":
+        start.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(schema).parquet(f"{path}/rows")
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows_{number}")
+        done.append(number)
+
+    start.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/rows_{max(done)}") if done else spark.createDataFrame([], schema)
 
 
 def to_jsonl(rows: DataFrame, path: str, checkpoint: str, every: str = "30 seconds"):

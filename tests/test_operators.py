@@ -1,10 +1,12 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import aggregates, graph, joins, learning, ordered, splits, statistics, validation
+from framewright.functions import rules
+from framewright.operators import aggregates, graph, joins, learning, ordered, ranks, splits, statistics, validation
 
 
 def test_summary(spark):
@@ -160,10 +162,105 @@ def test_tests_against_plain(spark):
     up, down = sum(x > 0 for x in d), sum(x < 0 for x in d)
     want = min(1.0, 2 * sum(comb(up + down, i) for i in range(min(up, down) + 1)) / 2 ** (up + down))
     assert statistics.sign_test(df, ["k"], "d").first()["p"] == pytest.approx(want)
+    none = spark.createDataFrame([(1, 0.0), (1, 1e-12), (1, None)], "k int, d double")
+    assert math.isnan(statistics.sign_test(none, ["k"], "d").first()["p"])
+    many = spark.range(100_001).selectExpr("1 AS k", "cast(id % 2 * 2 - 1 AS double) AS d")
+    assert statistics.sign_test(many, ["k"], "d").first()["p"] == pytest.approx(1.0)
+    lop = spark.range(40_000).selectExpr("1 AS k", "if(id % 100 < 49, 1.0D, -1.0D) AS d")
+    want = 2 * sum(math.exp(math.lgamma(40_001) - math.lgamma(i + 1) - math.lgamma(40_001 - i) - 40_000 * math.log(2)) for i in range(19_601))
+    assert statistics.sign_test(lop, ["k"], "d").first()["p"] == pytest.approx(want, rel=1e-6)
     w = statistics.wilcoxon(df, ["k"], "d").first()
     assert w["n"] == 8 and w["w"] == pytest.approx(sum([4, 2.5, 6, 7, 8, 2.5]))
 
 
+def test_signed_ranks_against_all_signs(spark):
+    """p by trying all signs of the ranks, which is what the exact test counts."""
+    from itertools import product
+
+    d = [1.5, -2.25, 3.0, 4.5, -0.5, 6.0, 7.25]
+    df = spark.createDataFrame([(1, x) for x in d] + [(2, 1.0)], "k int, d double")
+    got = {r["k"]: r for r in statistics.wilcoxon(df, ["k"], "d").collect()}
+    order = sorted(abs(x) for x in d)
+    w = sum(order.index(abs(x)) + 1 for x in d if x > 0)
+    low = min(w, 28 - w)
+    n = sum(sum(r for r, up in zip(range(1, 8), signs, strict=True) if up) <= low for signs in product((0, 1), repeat=7))
+    assert got[1]["w"] == w and got[1]["p"] == pytest.approx(min(1.0, 2 * n / 2**7)) and math.isnan(got[2]["p"])
+
+
+def test_median_interval_is_that_of_many_rounds(spark):
+    """The ends by rank against resampling with replacement."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n in (1, 3, 15, 41):
+        x = np.sort(r.normal(size=n))
+        df = spark.createDataFrame([(1, float(v)) for v in x] + [(1, None), (1, float("nan"))], "k int, v double")
+        got = statistics.bootstrap_median(df, ["k"], "v", least=3).first()
+        if n < 3:
+            assert got["low"] is None and statistics.bootstrap_median(df, ["k"], "v").first()["low"] == x[0]
+            continue
+        draws = np.sort(r.choice(x, (20_000, n)), axis=1)[:, n // 2]
+        low, high = np.searchsorted(x, np.percentile(draws, [2.5, 97.5]))
+        assert abs(np.searchsorted(x, got["low"]) - low) <= 1 and abs(np.searchsorted(x, got["high"]) - high) <= 1
+
+
+def test_ranks_and_quantiles_against_plain(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 2]), r.choice([0.5, 1.5, float(r.randrange(40))]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, v double, i int").repartition(5)
+    got = {x["i"]: x for x in ranks.running(df.withColumn("one", F.lit(1)), ["k"], ["v", "i"], {"n": "one"}, {"after": "v"}).collect()}
+    for k in (None, 1, 2):
+        own = sorted((v, i) for g, v, i in rows if g == k)
+        for at, (_, i) in enumerate(own):
+            after = own[at + 1][0] if at + 1 < len(own) else None
+            assert (got[i]["before_n"], got[i]["total_n"], got[i]["after"]) == (at, len(own), after)
+        q = {x["k"]: x for x in ranks.quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}[k]
+        assert [q["a"], q["b"], q["c"]] == pytest.approx(np.percentile([v for v, _ in own], [0, 37, 100]).tolist())
+    assert {(x["i"], x["rank"]) for x in ranks.ranked(df, ["k"], ["v", "i"]).collect()} == {(i, x["before_n"]) for i, x in got.items()}
+
+
+def test_normalised_mutual_information_keeps_polarity(spark):
+    """Against the formula: entropies over 256 levels, information over 32 bins of 0 to 255."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    a = r.integers(0, 256, 900)
+    b = np.clip(a + r.integers(-20, 20, 900), 0, 255)
+    frame = lambda x, y: spark.createDataFrame([(1, float(p), float(q)) for p, q in zip(x, y, strict=True)] + [(1, None, 3.0), (1, float("nan"), 3.0)], "k int, a double, b double")
+    got = {n: statistics.mutual_information(frame(a, y), F.col("a"), F.col("b"), ["k"]).first() for n, y in (("same", a), ("inverted", 255 - a), ("near", b), ("flat", a * 0 + 7))}
+    h, _, _ = np.histogram2d(a, b, bins=32, range=[[0, 255], [0, 255]])
+    p = h / h.sum()
+    e = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
+    mi = (p[p > 0] * np.log2(p[p > 0] / e[p > 0])).sum()
+    entropy = lambda x: -sum(c * math.log2(c) for c in np.bincount(x)[np.bincount(x) > 0] / len(x))
+    assert got["near"]["mi"] == pytest.approx(mi)
+    assert got["near"]["nmi_rho"] == pytest.approx(mi / math.sqrt(entropy(a) * entropy(b)) * (np.corrcoef(a, b)[0, 1] + 1) / 2)
+    assert got["inverted"]["mi"] > 3 and abs(got["inverted"]["nmi_rho"]) < 1e-9 and 0.5 < got["same"]["nmi_rho"] < 1
+    assert got["flat"]["nmi_rho"] == 0
+
+
+def test_missing_measures_count_as_in_the_rules(spark):
+    """NaN is larger than all numbers in Spark; it must not trip a rule, and a missing measure is 0."""
+    nan = float("nan")
+    rows = [(1, nan, 0.1, nan, 0.1), (2, 0.5, nan, 3.0, 1.0), (3, None, 0.1, 3.0, nan), (4, 0.5, 0.1, 3.0, 1.0), (5, float("inf"), 0.1, 3.0, None)]
+    df = spark.createDataFrame(rows, "id int, pct_highlight_saturated double, baseline_pct_highlight_saturated double, noise_proxy double, baseline_noise_proxy double").withColumn("mask_area_ratio", F.when(F.col("id") == 1, F.lit(nan)).otherwise(F.lit(0.5)))
+    got = {(r["id"], r["failure_type"]) for r in validation.failure_cases(df, ["id"]).collect()}
+    assert got == {(4, "clipping_increase"), (4, "noise_increase"), (2, "noise_increase")}
+    names = ("mean", "std", "p95", "glare", "dark", "sharpness", "saturation")
+    cases = [((80.0, 50.0, nan, 0.0, 0.1, 300.0, 20.0), "normal_day"), ((80.0, 50.0, None, None, None, 300.0, 20.0), "normal_day"), ((50.0, 10.0, 100.0, 0.0, 0.1, None, 20.0), "fog"), ((nan,) * 7, "unknown_or_out_of_scope"), ((None,) * 7, "normal_night"), ((nan, nan, 250.0, nan, nan, nan, nan), "glare")]
+    frame = spark.createDataFrame([(*c, i) for i, (c, _) in enumerate(cases)], ", ".join(f"{n} double" for n in names) + ", i int")
+    got = {r["i"]: r["h"] for r in frame.select("i", rules.heuristic_label(*[F.col(n) for n in names], F.lit("x")).alias("h")).collect()}
+    assert [got[i]["label"] for i in range(len(cases))] == [want for _, want in cases] and got[5]["confidence"] == 0.78
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0), (1, 1, 3.0), (None, 3, 6.0)], "k int, i int, v double")
+    got = {(r["k"], r["i"]): r["e"] for r in ordered.fold(df, ["k"], ["i"], ["v"], lambda: ordered.Ema(0.5), "e", "double").collect()}
+    assert got == {(None, 1): 2.0, (None, 2): 3.0, (None, 3): 4.5, (1, 1): 3.0}
+
+
 def test_calibration_edges(spark):
     df = spark.createDataFrame([(0.3,), (0.30000000000000004,), (1.0,), (0.0,)], "p double").select(statistics.bin_of(F.col("p")).alias("b"))
     assert [r["b"] for r in df.collect()] == [2, 3, 9, 0]

@@ -107,6 +107,6 @@ def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
         spark.createDataFrame(part, "k int, i int, v double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k int, i int, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = machines.fold_stream(stream, "k", ["i"], ["v"], ordered.Ema, "e", "double", ["i"])
-    got = machines.once(out, "stream_test", f"{tmp_path}/cp").orderBy("k", "i").collect()
+    got = machines.once(out, f"{tmp_path}/out").orderBy("k", "i").collect()
     batch = ordered.fold(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], ["i"], ["v"], ordered.Ema, "e", "double").orderBy("k", "i").collect()
     assert [(r["k"], r["i"], r["e"]) for r in got] == [(r["k"], r["i"], r["e"]) for r in batch]
