@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bytes_of, checkpoint, ids_of, mix64, partitions, text_slices
+from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, ids_of, mix64, partitions, text_slices
 
 #: Code points that a key has at least; keys of one index shard; bits per key and level.
 LEAST, SHARD_KEYS, GAMMA = 10, 200_000, 2.0
@@ -247,6 +247,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_keys: int = S
     are gathered by id and text, so many rows of one id, or without one, don't meet in one place. Other
     columns stay as they are; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))), "__v": F.xxhash64(F.col(name))})
     own = base.select(F.col("__id").alias("doc_id"), F.col("__v").alias("version"), F.col(name).alias("text"))
     drops = repeated_lines(own, least, shard_keys, documents).select(F.col("doc_id").alias("__d"), F.col("version").alias("__w"), F.col("drop").alias("__drop"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.graph import components
 
-from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, mix64, text_slices
+from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes, mix64, text_slices, WordHash
 
 #: Words of a shingle; Jaccard similarity of a link in per cent; bands and their coordinates.
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 5
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     larger than all others, and component_id is null if the component has no other. Columns other
     than doc_id and text are ignored. Hashes of 64 bits stand for shingles.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     sketch = checkpoint(_sketches(own, words, bands, rows))
     each = sketch.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "version")).alias("who"), F.min("keys").alias("keys"))

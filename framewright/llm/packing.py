@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, checkpoint, ranked, rows_of, text_slices
+from .common import bounded_batches, bytes_of, checkpoint, ranked, rows_of, text_slices
 
 CAPACITY, TOKENIZER, END = 2048, "word_bpe_49k.json", 0
 #: Islands, epochs between migrations, solutions of an island, children of an epoch.
@@ -333,6 +333,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = T
     A null or empty text is the end token alone. Null ids and repeated rows are packed like
     others, each row by itself. Other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     # written first: range partitioning reads its input twice, and would cut the texts twice
     pieces = checkpoint(token_pieces(docs, capacity, tokenizer, keep_ids))
     pieces = checkpoint(ranked(pieces, ["length"], ["doc_id", "piece"]))

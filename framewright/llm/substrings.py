@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, WordHash, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, text_slices
+from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, text_slices, WordHash
 
 #: Words of a window and of an anchor; batches of a whole corpus; runs that are kept apart.
 WINDOW, ANCHOR, BATCHES, FANOUT = 50, 13, 4, 2
@@ -252,6 +252,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = A
     without one, don't meet in one place. Texts shorter than a window stay. Other columns stay as
     they are; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))), "__v": F.xxhash64(F.col(name))})
     own = base.select(F.col("__id").alias("doc_id"), F.col("__v").alias("version"), F.col(name).alias("text"))
     found, into = None, index or FingerprintIndex(docs.sparkSession, window, anchor, fanout)
