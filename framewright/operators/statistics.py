@@ -293,7 +293,7 @@ def wilcoxon(rows: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
     def probability(w: pd.Series, n: pd.Series, tie: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series([signed_rank_p(a, int(b), c == 0, y) for a, b, c, y in zip(w, n, tie, z, strict=True)])
 
-    return got.withColumn("p", probability("w", "n", "tie", "z"))
+    return got.withColumn("p", F.coalesce(probability("w", "n", "tie", "z"), F.lit(float("nan"))))
 
 
 def signed_rank_p(w: float, n: int, untied: bool, z: float | None) -> float:
