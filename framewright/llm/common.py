@@ -28,8 +28,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """From now on this session's Arrow batches hold 8 MB at most: 10,000 long texts at once would cost
     several times their size in buffers of the JVM and of each worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
-    if not now or now == "67108864b":  # Spark's own value; what a user has set stays
+    now = spark.conf.get(name)
+    if now == "67108864b":  # Spark's own value; what a user has set stays
         spark.conf.set(name, "8m")
 
 
