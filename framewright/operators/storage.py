@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_FILE = 5_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of checkpoints: spark.checkpoint.dir, or a temporary one where it is unset and
@@ -23,9 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder; what follows survives lost executors without its lineage."""
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder; what follows survives lost executors without its lineage.
+
+    `rows` says how many it has at most: where that is little for the session's shuffle partitions,
+    fewer tasks write fewer and larger files, of ROWS_A_FILE each at least."""
     shared_folder(df.sparkSession)
+    if rows is not None:
+        n = max(1, -(-rows // ROWS_A_FILE))
+        if n < partitions(df.sparkSession):
+            df = df.coalesce(n)
     return df.checkpoint()
 
 
