@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from framewright.operators.storage import checkpoint, remove  # noqa: F401  for the operators
+from framewright.operators.storage import checkpoint, partitions, remove  # noqa: F401  for the operators
 from framewright.operators.storage import new_path as shared  # noqa: F401
 
 #: A word is a run of anything but ASCII space and 0x09-0x0D, which is what bytes.split() yields.
@@ -33,10 +33,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def rows_of(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 

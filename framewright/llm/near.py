@@ -207,23 +207,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     sketch = checkpoint(_sketches(own, words, bands, rows))
     each = sketch.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "version")).alias("who"), F.min("keys").alias("keys"))
-    classes = checkpoint(each.withColumn("rep", F.monotonically_increasing_id()))  # written at once, so that numbers stay
+    n = sketch.count()
+    classes = checkpoint(each.withColumn("rep", F.monotonically_increasing_id()), n)  # written at once, so that numbers stay
     spread = classes.select("rep", F.posexplode("keys").alias("band", "bucket"))
     order = [F.xxhash64(F.lit(s), F.col("rep")) for s in (1, 2)]
     hubs = spread.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), *[F.min_by("rep", o).alias(f"hub{k}") for k, o in enumerate(order)], F.max("rep").alias("last")).where("hub < last")
-    members = checkpoint(spread.join(hubs.drop("last"), ["band", "bucket"]))
+    members = checkpoint(spread.join(hubs.drop("last"), ["band", "bucket"]), n)
     wanted = members.select("rep").distinct()
     keyed = classes.select("rep", "keys", F.col("who.doc_id").alias("__id"), F.col("who.version").alias("__v")).join(wanted, "rep")
     texts = keyed.join(own, (F.col("doc_id") == F.col("__id")) & (F.col("version") == F.col("__v"))).select("rep", "keys", "text")
-    sets = checkpoint(_sets(texts, words).groupBy("rep").agg(F.min_by("keys", "grams").alias("keys"), F.min("grams").alias("grams")))
+    sets = checkpoint(_sets(texts, words).groupBy("rep").agg(F.min_by("keys", "grams").alias("keys"), F.min("grams").alias("grams")), n)
     pairs = members.select(F.explode(F.array("hub", "hub0", "hub1")).alias("h"), "rep").where("h <> rep")
     pairs = pairs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
     grams = sets.select("rep", "grams")
     sided = pairs.join(grams.withColumnsRenamed({"rep": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"rep": "b", "grams": "y"}), "b")
-    links = checkpoint(_linked(sided.select("a", "b", "x", "y"), percent))
+    links = checkpoint(_linked(sided.select("a", "b", "x", "y"), percent), n)
     labels = components(links)
-    found = links.unionAll(_open_links(members, labels, sets, percent))
-    reached = checkpoint(components(found).withColumnRenamed("node", "rep").join(classes.select("rep", "c1", "c2", "who"), "rep"))
+    found = links.unionAll(_open_links(members, labels, sets, percent, n))
+    reached = checkpoint(components(found).withColumnRenamed("node", "rep").join(classes.select("rep", "c1", "c2", "who"), "rep"), n)
     top = reached.groupBy("label").agg(F.min("who").alias("top"))
     of_class = reached.join(top, "label").select(F.col("c1").alias("__1"), F.col("c2").alias("__2"), "top")
     of_class = of_class.unionAll(classes.join(reached.select("rep"), "rep", "left_anti").select("c1", "c2", "who"))
@@ -233,10 +234,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif(component, null).alias("component_id"), (component == F.col("doc_id")).alias("kept"), "version", version.alias("component_version"))
 
 
-def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """Links in buckets whose members are not yet of one component."""
     labelled = members.select("band", "bucket", "hub", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = checkpoint(labelled)
+    labelled = checkpoint(labelled, n)
     count = labelled.groupBy("band", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = count.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
     open_ = labelled.join(main, ["band", "bucket"]).withColumn("outside", F.col("label") != F.col("main"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes,
 WINDOW, ANCHOR, BATCHES, FANOUT = 50, 13, 4, 2
 #: Bits of a filter that is sent to every worker: 8 MB whatever the input.
 FILTER_BITS = 2**26
+#: Rows of a bucket of an index that is begun with few.
+ROWS_A_BUCKET = 400_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -74,21 +77,23 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 class Filter:
-    """A set of hashes as FILTER_BITS bits, two for each: holds() has no false negatives. What is sent
-    to the workers is 8 MB whatever the input; over about 3e7 hashes it lets most others through."""
+    """A set of hashes as bits, two for each: holds() has no false negatives. It has 16 bits a hash, but
+    FILTER_BITS at most, which is 8 MB whatever the input; with over about 3e7 hashes it lets most
+    others through."""
 
     def __init__(self, hashes: DataFrame, column: str) -> None:
+        n = hashes.count()
+        self.empty, self.bits = not n, min(FILTER_BITS, 2 ** max(12, (16 * n).bit_length()))
         h = F.col(column)
-        low, high = (x.bitwiseAND(F.lit(FILTER_BITS - 1)) for x in (h, F.shiftrightunsigned(h, 32)))
+        low, high = (x.bitwiseAND(F.lit(self.bits - 1)) for x in (h, F.shiftrightunsigned(h, 32)))
         places = hashes.select(F.explode(F.array(low, high)).alias("place"))
-        bits = places.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-        self.table = np.zeros(FILTER_BITS // 64, np.uint64)
-        self.table[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-        self.empty = not bits.num_rows
+        words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+        self.table = np.zeros(self.bits // 64, np.uint64)
+        self.table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        h, out = h.view(np.uint64), np.ones(len(h), bool)
-        for p in (h & np.uint64(FILTER_BITS - 1), h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)):
+        h, out, mask = h.view(np.uint64), np.ones(len(h), bool), np.uint64(self.bits - 1)
+        for p in (h & mask, h >> np.uint64(32) & mask):
             out &= (self.table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
@@ -96,15 +101,21 @@ class Filter:
 class SortedRuns:
     """Rows with a key each, in immutable runs that are bucketed and sorted by key, so that they are
     merge-joined bucket by bucket without a shuffle. Beyond `fanout` runs, all are merged into one.
-    `merge` says how the values of equal keys become one."""
+    `merge` says how the values of equal keys become one. All runs have as many buckets: one for
+    ROWS_A_BUCKET of the rows that are expected, but no more than there are shuffle partitions."""
 
     def __init__(self, spark: SparkSession, keys: list[str], merge: dict, fanout: int) -> None:
         self.spark, self.keys, self.merge, self.fanout = spark, keys, merge, fanout
         self.root, self.names, self.made, self.buckets = shared(spark, "fingerprints"), [], 0, partitions(spark)
 
+    def expect(self, rows: int) -> None:
+        if not self.made:
+            self.buckets = max(1, min(self.buckets, -(-rows // ROWS_A_BUCKET)))
+
     def write(self, rows: DataFrame) -> str:
         """A run of rows with unique keys, which does not belong to the index yet."""
         self.made += 1
+        rows = rows.coalesce(self.buckets) if self.buckets < partitions(self.spark) else rows
         name = f"run_{self.root.rsplit('-', 1)[-1]}_{self.made}"
         rows.write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/{self.made}").saveAsTable(name)
         return name
@@ -188,17 +199,20 @@ class FingerprintIndex:
         own = docs.select("doc_id", "version", "text", F.xxhash64("doc_id").alias("__id") if key == "doc_id" else F.col(key).alias("__id"))
         return own.mapInArrow(find, "hash long, window long, doc_id long, version long, at long, n long")
 
-    def append(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch (doc_id, version, text), without null ids; (doc_id, version, at, n): the n windows
+    def append(self, docs: DataFrame, expected: int = 8) -> DataFrame:
+        """Adds a batch (doc_id, version, text), without null ids; `expected` is how many such batches will come; (doc_id, version, at, n): the n windows
         from word `at` on of a text that a smaller document of this or an earlier batch has as well."""
         raw = checkpoint(self._blocks(docs))
+        n = raw.count()
+        self.anchors.expect(expected * n)
+        self.windows.expect(expected * n)
         run = self.anchors.write(raw.groupBy("hash").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
         lo, hi = F.least("lo", "old_lo"), F.greatest("hi", "old_hi")
         met = self.anchors.look(run).where("first < last or lo < hi or old_first is not null")
-        met = checkpoint(met.select("hash", F.least("first", "old_first").alias("first"), (lo < hi).alias("open"), ((lo < hi) & (F.col("old_lo") == F.col("old_hi"))).alias("opened"), "old_first"))
+        met = checkpoint(met.select("hash", F.least("first", "old_first").alias("first"), (lo < hi).alias("open"), ((lo < hi) & (F.col("old_lo") == F.col("old_hi"))).alias("opened"), "old_first"), n)
         self.anchors.add(run)
         hits = raw.join(met.select("hash", "first", "open"), "hash").where("open or first < doc_id")
-        hits = checkpoint(hits.select("doc_id", "version", "at", "n", "open"))
+        hits = checkpoint(hits.select("doc_id", "version", "at", "n", "open"), n)
         whole = hits.where("not open").drop("open")
         history, self.corpus = self.corpus, [*self.corpus, docs]
         anchors = Filter(met.where("open"), "hash")
@@ -210,12 +224,12 @@ class FingerprintIndex:
         wanted = Filter(opened.select(F.xxhash64("old_first").alias("id")).distinct(), "id")
         if not wanted.empty:
             anchors = Filter(opened, "hash")
-            for past in history:
-                seen = seen.unionAll(self._open_windows(past, "doc_id", wanted, anchors).select("hash", "window", "doc_id"))
+            past = reduce(DataFrame.unionAll, history)
+            seen = seen.unionAll(self._open_windows(past, "doc_id", wanted, anchors).select("hash", "window", "doc_id"))
         run = self.windows.write(seen.groupBy("hash", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
         # written, so that both sides of the join are dealt anew and a very common window can be split
-        firsts = checkpoint(self.windows.look(run).where("first < last or old_first is not null").select("hash", "window", F.least("first", "old_first").alias("first")))
-        single = checkpoint(rows.join(firsts, ["hash", "window"]).where("first < doc_id").select("doc_id", "version", "at", "n"))
+        firsts = checkpoint(self.windows.look(run).where("first < last or old_first is not null").select("hash", "window", F.least("first", "old_first").alias("first")), n)
+        single = checkpoint(rows.join(firsts, ["hash", "window"]).where("first < doc_id").select("doc_id", "version", "at", "n"), n)
         self.windows.add(run)
         return whole.unionAll(single)
 
@@ -258,7 +272,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = A
     found, into = None, index or FingerprintIndex(docs.sparkSession, window, anchor, fanout)
     window = into.window
     for part in batches_of(own, batches):
-        got = into.append(part)
+        got = into.append(part, batches)
         found = got if found is None else found.unionAll(got)
     if index is None:
         into.close()
