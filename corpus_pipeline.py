@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id; documents
     without words stay. Rows are known by id and text, and of equal ones that stay there is one."""
-    found = checkpoint(near_duplicates(docs, percent=PERCENT).where("n_shingles > 0").select("doc_id", "version", (F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("component_version") == F.col("version"))).alias("first")))
+    found = checkpoint(near_duplicates(docs, percent=PERCENT).where("n_shingles > 0").select("doc_id", "version", (F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("component_version") == F.col("version"))).alias("first")), docs.count())
     times = found.groupBy("doc_id", "version", "first").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__id"), F.col("version").alias("__w"), "first", "n")
     own = docs.withColumn("__v", F.xxhash64("text"))
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__w"))
