@@ -21,6 +21,12 @@ def top2(classes: Column, p: Column) -> Column:
     return F.slice(F.sort_array(F.transform(F.arrays_zip(p.alias("p"), classes.alias("c")), lambda s: F.struct(s["p"].alias("p"), s["c"].alias("c"))), asc=False), 1, 2)
 
 
+def top2_first(classes: Column, p: Column) -> Column:
+    """The two likeliest (p, class) of parallel arrays, ties by the earlier place."""
+    order = F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("o"), i.alias("i"))))
+    return F.transform(F.slice(order, 1, 2), lambda s: F.struct(F.element_at(p, s["i"] + 1).alias("p"), F.element_at(classes, s["i"] + 1).alias("c")))
+
+
 def dominant(counts: Column, share: float | None = 0.7, other: str = "mixed") -> Column:
     """Key of the largest count of a map, ties by the smaller key; `other` if its share is below."""
     best = F.element_at(F.array_sort(F.transform(F.map_entries(counts), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k")))), 1)
@@ -85,3 +91,17 @@ def sampled_frames(n: Column, fps: Column, sample_fps: float, most: int) -> Colu
     """sampled() as an array column."""
     step = F.greatest(F.lit(1), F.floor(fps / sample_fps).cast("int"))
     return F.when(n > 0, F.slice(F.sequence(F.lit(0), n - 1, step), 1, most)).otherwise(F.array().cast("array<int>"))
+
+
+def known_rates(rates: Column, classes: Column, present: Column) -> Column:
+    """Map of class number to its rates, of a map by class name: names that `classes` (in order of their
+    numbers) doesn't have, or whose numbers aren't present, are dropped."""
+    by_name = F.map_from_entries(F.transform(classes, lambda c, i: F.struct(c, i)))
+    kept = F.map_filter(rates, lambda k, v: F.coalesce(F.array_contains(present, F.element_at(by_name, k)), F.lit(False)))
+    return F.transform_keys(kept, lambda k, v: F.element_at(by_name, k))
+
+
+def fingerprint(config: Column, allowed: tuple[str, ...]) -> Column:
+    """SHA-256 of the allowed keys of a map of texts, as JSON in order of keys."""
+    own = F.array_sort(F.map_entries(F.map_filter(config, lambda k, v: k.isin(*allowed))))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(F.transform(own, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2))), ","), F.lit("}")), 256)

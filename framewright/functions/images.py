@@ -190,6 +190,60 @@ def glare_metrics(a: np.ndarray, high: float = 95.0, saturate: float = 233.0) ->
     return hi >= saturate or p99 >= 242 or top >= 249, hi >= 248 or (p99 >= 254 and top >= 254), hi, p99, top
 
 
+def overlaid(a: np.ndarray, b: np.ndarray, mask: np.ndarray, weight: float = 0.45) -> np.ndarray:
+    """b over a where the mask (0 to 255) is set, with this weight; fractions are dropped."""
+    w = weight * mask.astype(float) / 255
+    return np.clip(a * (1 - w) + b * w, 0, 255).astype(np.uint8)
+
+
+def heat_weighted(a: np.ndarray, b: np.ndarray, low: float = 0.15, high: float = 0.65) -> np.ndarray:
+    """b over a, each pixel with its own heat as weight, within limits."""
+    w = np.clip(b.astype(float) / 255, low, high)
+    return np.clip(a * (1 - w) + b * w, 0, 255).astype(np.uint8)
+
+
+def coloured(a: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Grey levels through a table of 32, 64, 128 or 256 colours; other sizes are an error."""
+    n = len(table)
+    if n not in (32, 64, 128, 256):
+        raise ValueError(n)
+    return table[a if n == 256 else a.astype(np.uint16) * (n - 1) // 255]
+
+
+def edge_enhanced(a: np.ndarray, strength: float = 0.2) -> np.ndarray:
+    """Levels plus a share of the size of the Laplacian of aperture 3."""
+    kernel = np.array([[2, 0, 2], [0, -8, 0], [2, 0, 2]], float)
+    return a if abs(strength) < 1e-6 else np.clip(a + strength * np.abs(convolved(a, kernel)), 0, 255).astype(np.uint8)
+
+
+def needs_compression(a: np.ndarray, percent: float = 99.0, saturate: float = 240.0) -> bool:
+    return float(np.percentile(a, percent)) >= saturate
+
+
+def hot_display(a: np.ndarray, percent: float = 99.5, saturate: float = 252.0, top: float = 253.0) -> bool:
+    """Whether the hot end is at the limit and pixels reach it."""
+    return float(np.percentile(a, percent)) >= saturate and float(a.max()) >= top
+
+
+def compressed(a: np.ndarray, percent: float = 99.0, saturate: float = 240.0, gamma: float = 0.74) -> np.ndarray:
+    """Gamma over all levels if the hot end needs it."""
+    return np.clip((a / 255.0) ** gamma * 255, 0, 255).astype(np.uint8) if needs_compression(a, percent, saturate) else a
+
+
+def contribution(a: np.ndarray, fused: np.ndarray, deltas: tuple[int, ...]) -> list[float]:
+    """Per cent of the pixels that differ by more than each delta."""
+    d = np.abs(fused.astype(int) - a.astype(int))
+    return [round(float((d > x).mean()) * 100, 2) for x in deltas]
+
+
+def background_residual(residuals: np.ndarray, share: float = 0.15) -> tuple[float, float, float]:
+    """Root mean square, median size and deviation of the residuals (frames, pixels) of pixels whose mean
+    size is under `share` of the largest; NaN if there are none."""
+    size = np.abs(residuals).mean(0)
+    calm = residuals[:, size < share * (size + 1e-6).max()]
+    return tuple(round(float(x), 6) for x in (np.sqrt((calm**2).mean()), np.median(np.abs(calm)), calm.std())) if calm.size else (float("nan"),) * 3
+
+
 def _struct(f, names: tuple[str, ...]):
     @F.pandas_udf(doubles(names))
     def udf(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:

@@ -112,3 +112,93 @@ def rate(text: Column) -> Column:
 def digest(*columns: Column) -> Column:
     """SHA-256 of the columns as JSON; nulls are kept, so that they take part."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+# ---- identities and pairs ----
+
+
+def verified_identity(status: Column, *ids: Column) -> Column:
+    """Whether a row's metadata are verified and name its image in any way."""
+    return (F.coalesce(status, F.lit("")) == "verified") & first_present(*ids).isNotNull()
+
+
+def session_frame(session: Column, frame: Column) -> Column:
+    """session::frame, or null if either is missing."""
+    s, f = filled(session), filled(frame)
+    return F.when(s.isNotNull() & f.isNotNull(), F.concat_ws("::", s, f))
+
+
+def frame_id(given: Column, video: Column, index: Column) -> Column:
+    """The frame's id, else video:index; an unknown video is "unknown"."""
+    return F.coalesce(filled(given), F.concat(F.coalesce(video, F.lit("unknown")), F.lit(":"), F.coalesce(index.cast("string"), F.lit(""))))
+
+
+def missing_metadata(paths: Column, sessions: Column) -> Column:
+    """Codes of what either row of a pair lacks, joined by "; ", or none. Both are arrays of texts."""
+    lacks = lambda a: F.exists(a, lambda x: filled(x).isNull())
+    found = F.array_compact(F.array(F.when(lacks(paths), "path_or_hash"), F.when(lacks(sessions), "session")))
+    return F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise("none")
+
+
+def pair_confidence(a: Column, b: Column) -> Column:
+    """Confidence in the time of a pair: that of the first alone, or high if both are."""
+    return F.when(b.isNull(), a).when((a == "high") & (b == "high"), "high").otherwise("low")
+
+
+def thermal_channel(modality: Column) -> Column:
+    m = F.trim(F.coalesce(modality, F.lit("")))
+    return F.when(m == "raw_numeric_thermal", "lwir").when(m == "display_heatmap_like", "thermal_display").otherwise("unknown_thermal")
+
+
+def alignment_status(has_nir: Column, has_fusion: Column, evidence: Column) -> Column:
+    return F.when(~(has_nir & has_fusion), "missing").when(~evidence.eqNullSafe(F.lit("real_paired")), "weak_pair_or_proxy").otherwise("not_measured")
+
+
+def input_kind(evidence: Column, runtime: Column) -> Column:
+    """Code of the kind of data that a table's rows rest on."""
+    e = F.trim(F.coalesce(filled(evidence), F.lit("unknown")))
+    known = F.when(e.isin("real_paired", "proxy", "synthetic", "unpaired"), e).otherwise("unknown")
+    return F.when(runtime, "session").otherwise(known)
+
+
+def caveats(tier: Column, modality: Column, source: Column, input_type: Column) -> Column:
+    """Codes of what limits a metric, each once, in order, joined by "; "."""
+    display = F.lit("thermal_display")
+    codes = F.array_compact(F.array(
+        F.when(modality == "display_heatmap_like", display), F.when(source == "paired_generated_fusion", "generated_fusion"),
+        F.when(tier == "Tier 2", "no_reference").when(tier == "Tier 3", "diagnostic").otherwise("strict_pairs_only"),
+        F.when(input_type.contains("display/heatmap-like"), display),
+    ))
+    return F.array_join(F.array_distinct(codes), "; ")
+
+
+def percent_change(new: Column, old: Column) -> Column:
+    """Change in per cent of the old value's size; null where either isn't finite or old is about 0."""
+    a, b = finite(new), finite(old)
+    return F.when(F.abs(b) >= 1e-6, (a - b) / F.abs(b) * 100)
+
+
+def utc_time(text: Column) -> Column:
+    """An ISO time as a time of UTC without a zone; one without a zone is taken as it is."""
+    zone = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    plain = F.to_timestamp_ntz(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""))
+    return F.when(zone, F.to_utc_timestamp(F.to_timestamp(text), F.current_timezone()).cast("timestamp_ntz")).otherwise(plain)
+
+
+def compatible(label: Column, *features: Column) -> Column:
+    """Whether a row has a known label and all features."""
+    out = F.coalesce(label.isin(*ENV_CLASSES), F.lit(False))
+    for f in features:
+        out = out & f.isNotNull()
+    return out
+
+
+def natural_key(name: Column) -> Column:
+    """struct(number, name) that orders numbered files by number; names without one come first."""
+    n = F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit("")).try_cast("long")
+    return F.struct(F.coalesce(n, F.lit(-1)).alias("number"), name.alias("name"))
+
+
+def skip_second_glare(bucket: Column, raw: Column, lite: Column) -> Column:
+    """Whether the display must not compress glare again, as bucket C has done so already."""
+    return ~raw & ~lite & (bucket == "C")

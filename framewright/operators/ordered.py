@@ -299,6 +299,37 @@ class MotionGate:
         return left > 0
 
 
+class JerkScore:
+    """Score of the change from frame to frame, and whether a MotionGate over it is active: returns
+    [score, 1 or 0]. The score weighs mean and 94th percentile of the absolute difference."""
+
+    def __init__(self, gate: MotionGate | None = None, percent: float = 94.0) -> None:
+        self.gate, self.percent, self.state = gate or MotionGate(), percent, None
+
+    def __call__(self, frame):
+        f = np.asarray(frame, np.float64)
+        before, gate = self.state or (None, (0, 0))
+        self.gate.state = gate
+        d = None if before is None else np.abs(f - before)
+        score = None if d is None else float(0.48 * d.mean() + 0.52 * np.percentile(d, self.percent))
+        active = self.gate(score)
+        self.state = (f, self.gate.state)
+        return [score, float(active)]
+
+
+class GlareBlend:
+    """Blends a value or frame with the output before where asked to; takes (x, apply, reset)."""
+
+    def __init__(self, past: float = 0.42) -> None:
+        self.past, self.state = past, None
+
+    def __call__(self, x, apply: bool, reset: bool):
+        if reset:
+            self.state = None
+        self.state = x if not apply or self.state is None else (1 - self.past) * x + self.past * self.state
+        return self.state
+
+
 class Background:
     """Mean of the first frames, then a slow drift; returns the heat over it, 0 to 255, or None
     while it warms up. Frames are arrays."""

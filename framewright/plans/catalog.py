@@ -24,15 +24,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from framewright.plans import more
+    from framewright.plans import inventory, more
 
-    return QUERIES | more.QUERIES
+    return QUERIES | more.QUERIES | inventory.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from framewright.plans import more
+    from framewright.plans import inventory, more
 
-    return SQL | more.SQL
+    return SQL | more.SQL | inventory.SQL
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -93,3 +93,24 @@ def test_image_kernels():
     grid[1, 0, 1] = 100
     assert [d[1:] for d in images.detections(grid, 0.1, 0, 0.9)] == [(0.25, 0.75)]
     assert images.thermal(np.array([1.0, 1, 1, 9]))[2] == 9
+
+
+def test_image_candidates_against_plain():
+    r = np.random.default_rng(6)
+    a, b = (r.integers(0, 256, (12, 9)).astype(np.uint8) for _ in range(2))
+    mask = np.where(b > 200, 255, 0)
+    assert (images.overlaid(a, b, mask)[mask == 0] == a[mask == 0]).all()
+    assert (images.overlaid(a, b, mask)[mask > 0] == (a[mask > 0] * 0.55 + b[mask > 0] * 0.45).astype(np.uint8)).all()
+    w = np.clip(b / 255, 0.15, 0.65)
+    assert (images.heat_weighted(a, b) == np.clip(a * (1 - w) + b * w, 0, 255).astype(np.uint8)).all()
+    table = r.integers(0, 256, (32, 3))
+    assert (images.coloured(a, table) == table[a.astype(int) * 31 // 255]).all()
+    with pytest.raises(ValueError):
+        images.coloured(a, table[:5])
+    assert (images.edge_enhanced(a, 0.0) == a).all() and (images.edge_enhanced(a * 0 + 7) == 7).all() and (images.edge_enhanced(a) >= a).all()
+    hot = a * 0 + 250
+    assert images.needs_compression(hot) and not images.hot_display(hot) and images.hot_display(hot + 4)
+    assert (images.compressed(hot) == int((250 / 255) ** 0.74 * 255)).all() and (images.compressed(a // 2) == a // 2).all()
+    assert images.contribution(a, a, (0, 5)) == [0.0, 0.0] and images.contribution(a * 0, a * 0 + 9, (8, 9)) == [100.0, 0.0]
+    res = np.array([[0.1, 9.0], [-0.1, -8.0]])
+    assert images.background_residual(res) == (0.1, 0.1, 0.1) and np.isnan(images.background_residual(res * 0)[0]) == False  # noqa: E712
