@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import checkpoint
+from .storage import checkpoint, remove, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,15 +14,19 @@ def components(links: DataFrame) -> DataFrame:
     Labels pass along links, then jump to their label's label, until none falls."""
     both = checkpoint(links.select("a", "b").unionAll(links.select("b", "a")).where("a <> b").distinct())
     rows = both.count()
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), rows)
+    labels, path = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), rows)
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(seen, "node").select("node", F.least("label", "m").alias("new"), "label")
         up = labels.select(F.col("node").alias("new"), F.col("label").alias("top"))
-        moved = checkpoint(step.join(up, "new").select("node", F.least("new", "top").alias("new"), "label"), rows)
-        if moved.where("new <> label").isEmpty():
-            return labels
-        labels = moved.select("node", F.col("new").alias("label"))
+        moved, after = written(step.join(up, "new").select("node", F.least("new", "top").alias("new"), "label"), rows)
+        done = moved.where("new <> label").isEmpty()
+        out = checkpoint(labels, rows) if done else None
+        remove(links.sparkSession, path)
+        if done:
+            remove(links.sparkSession, after)
+            return out
+        labels, path = moved.select("node", F.col("new").alias("label")), after
 
 
 def clusters(rows: DataFrame, id_column: str, links: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from framewright.functions.arrays import hamming
 
 from .ranks import carried
-from .storage import checkpoint
+from .storage import checkpoint, remove, written
 
 
 def overlap_classes(left: DataFrame, right: DataFrame, key: Column | str, left_id: str, right_id: str) -> DataFrame:
@@ -184,14 +184,20 @@ def one_to_one(candidates: DataFrame, left: str, right: str, gap: str) -> DataFr
 
     A pair that is the best of both its ids is final; rounds of such pairs give the same result
     as going through the pairs in order, with joins instead of one sequential task."""
-    rest, out = candidates.select(left, right, gap), None
+    spark = candidates.sparkSession
+    rest, path = written(candidates.select(left, right, gap))
+    out = spark.createDataFrame([], rest.schema)
     while True:
-        rest = checkpoint(rest)
         order = F.struct(gap, left, right)
         by_left = rest.groupBy(left).agg(F.min(order).alias("__l"))
         by_right = rest.groupBy(right).agg(F.min(order).alias("__r"))
-        good = checkpoint(rest.join(by_left, left).join(by_right, right).where((F.col("__l") == order) & (F.col("__r") == order)).select(left, right, gap))
-        if good.isEmpty():
-            return rest.limit(0) if out is None else out
-        out = good if out is None else out.unionAll(good)
-        rest = rest.join(good.select(left), left, "left_anti").join(good.select(right), right, "left_anti").select(left, right, gap)
+        best = rest.join(by_left, left).join(by_right, right).where((F.col("__l") == order) & (F.col("__r") == order)).select(left, right, gap)
+        good = checkpoint(best)
+        n = good.count()
+        out = out.unionAll(good)
+        if n:
+            left_over, after = written(rest.join(good.select(left), left, "left_anti").join(good.select(right), right, "left_anti").select(left, right, gap))
+        remove(spark, path)
+        if not n:
+            return out
+        rest, path = left_over, after

@@ -47,6 +47,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+    """df, written as Parquet to the shared folder, and its path, which the caller removes.
+
+    For loops: a checkpoint keeps the planner's estimate of its size, and that of a join is a product, so
+    after some rounds the planner multiplies numbers of millions of digits. A table has the size
+    of its files."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "round")
+    n = max(1, -(-rows // ROWS_A_FILE)) if rows is not None else partitions(spark)
+    (df.coalesce(n) if n < partitions(spark) else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder by the file system that it is in; a missing one is fine."""
     sc = spark.sparkContext
