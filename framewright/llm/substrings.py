@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, text_slices, WordHash
+from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, text_slices, written, WordHash
 
 #: Words of a window and of an anchor; batches of a whole corpus; runs that are kept apart.
 WINDOW, ANCHOR, BATCHES, FANOUT = 50, 13, 4, 2
@@ -202,7 +202,7 @@ class FingerprintIndex:
     def append(self, docs: DataFrame, expected: int = 8) -> DataFrame:
         """Adds a batch (doc_id, version, text), without null ids; `expected` is how many such batches will come; (doc_id, version, at, n): the n windows
         from word `at` on of a text that a smaller document of this or an earlier batch has as well."""
-        raw = checkpoint(self._blocks(docs))
+        raw, raw_path = written(self._blocks(docs))
         n = raw.count()
         self.anchors.expect(expected * n)
         self.windows.expect(expected * n)
@@ -216,9 +216,10 @@ class FingerprintIndex:
         whole = hits.where("not open").drop("open")
         history, self.corpus = self.corpus, [*self.corpus, docs]
         anchors = Filter(met.where("open"), "hash")
+        remove(docs.sparkSession, raw_path)
         if anchors.empty:
             return whole
-        rows = checkpoint(self._open_windows(docs, "version", Filter(hits.where("open").select("version").distinct(), "version"), anchors))
+        rows, rows_path = written(self._open_windows(docs, "version", Filter(hits.where("open").select("version").distinct(), "version"), anchors))
         seen = rows.select("hash", "window", "doc_id")
         opened = met.where("opened")
         wanted = Filter(opened.select(F.xxhash64("old_first").alias("id")).distinct(), "id")
@@ -231,6 +232,7 @@ class FingerprintIndex:
         firsts = checkpoint(self.windows.look(run).where("first < last or old_first is not null").select("hash", "window", F.least("first", "old_first").alias("first")), n)
         single = checkpoint(rows.join(firsts, ["hash", "window"]).where("first < doc_id").select("doc_id", "version", "at", "n"), n)
         self.windows.add(run)
+        remove(docs.sparkSession, rows_path)
         return whole.unionAll(single)
 
     def close(self) -> None:
