@@ -23,6 +23,8 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 4, 3, 6, 24
 #: Bytes of the known words of a task, by a rough count; beyond that, those that it has not met again
 #: since are forgotten. Words over LONGEST bytes are not kept.
 KNOWN_BYTES, LONGEST = 32_000_000, 128
+#: Bytes of texts that are cut into pieces at once.
+SLICE = 6_000_000
 
 Bins = Counter  # of patterns: how many bins hold just these lengths, in falling order
 
@@ -218,7 +220,7 @@ class Tokens(dict):
     leaves far fewer different pieces. Texts that may name a special token are left as they are. A
     piece of letters below PLAIN goes to the tokenizer's model at once, others through all of it.
 
-    What it knows is kept in two generations of KNOWN_BYTES each and ends with its task.
+    Texts are cut a batch at a time. What it knows is kept in two generations of KNOWN_BYTES each and ends with its task.
     """
 
     MARKS, PLAIN = b".,!?;:|%&$*#", chr(0x250)
@@ -234,16 +236,13 @@ class Tokens(dict):
         self.model, self.letters = self.of.model, byte_letters()
         every = [bytes([b]) for b in range(256)]
         self.lower = np.frombuffer(b"".join(every).lower(), np.uint8)
-        self.alnum, self.mark = (np.array([f(b) for b in every]) for f in (bytes.isalnum, lambda b: b in self.MARKS))
+        self.alnum, self.space, self.mark = (np.array([f(b) for b in every]) for f in (bytes.isalnum, bytes.isspace, lambda b: b in self.MARKS))
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            if word.isalpha():  # ASCII letters alone
-                small = word.lower()
-                ids = self._plain(word.decode()) if small == word else self[small]
-            else:
-                ids = self._other(word)
+            # ASCII letters alone, in lower case as they mostly are, need no more than the model
+            ids = self._plain(word.decode()) if word.isalpha() and word.islower() else self._other(word)
         if len(word) <= LONGEST:
             if self.held >= KNOWN_BYTES:
                 self.before, self.held = dict(self), 0
@@ -258,6 +257,8 @@ class Tokens(dict):
 
     def _other(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        if word.isalpha():
+            return self[word.lower()]
         if text.isalpha() and max(text) < self.PLAIN and "\u0130" not in text:
             small = text.lower()
             if small != text:
@@ -266,19 +267,36 @@ class Tokens(dict):
         ids = self.of.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:
-            return text.split()
-        a = np.frombuffer(text + b" ", np.uint8)
-        a, after = a[:-1], a[1:]
-        a = np.where(after < 128, self.lower[a], a)
-        cut = self.alnum[a] & self.mark[after]
-        out = np.full(len(a) + np.count_nonzero(cut), 32, np.uint8)
-        out[np.arange(len(a)) + np.cumsum(cut) - cut] = a
-        return out.tobytes().split()
+    def words(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of all texts, each different one once, and how many come before each text's end."""
+        ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        a = np.frombuffer(b" ".join([*texts, b""]), np.uint8)  # each text with a space after it
+        after = np.append(a[1:], np.uint8(32))
+        small, cut = np.where(after < 128, self.lower[a], a), self.alnum[a] & self.mark[after]
+        for i, text in enumerate(texts):
+            if b"<|" in text:
+                own = slice(ends[i], ends[i + 1])
+                small[own], cut[own] = a[own], False
+        black = ~self.space[a]
+        first = black.copy()
+        first[1:] &= ~black[:-1] | cut[:-1]
+        data = small[black]
+        edges = np.append(np.flatnonzero(first[black]), len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        return words.dictionary_encode(), np.searchsorted(np.flatnonzero(first), ends)
 
     def __call__(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text; those of a piece are looked up once for all places that have it."""
+        words, ends = self.words([t or b"" for t in texts])
+        if not len(words):
+            return [b""] * len(texts)
+        ids = pa.array(list(map(self.__getitem__, words.dictionary.to_pylist())), pa.large_binary()).take(words.indices)
+        _, edges, data = ids.buffers()
+        at = np.frombuffer(edges, np.int64)[ends].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(at, at[1:])]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
@@ -288,10 +306,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", SLICE):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(bytes_of(b.column(1))):
-                all_ids = tokens(text) + end
+            for i, own in enumerate(tokens.batch(bytes_of(b.column(1)))):
+                all_ids = own + end
                 for k, at in enumerate(range(0, len(all_ids), 4 * capacity)):
                     part = all_ids[at : at + 4 * capacity]
                     row.append(i)
