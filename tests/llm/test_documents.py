@@ -434,6 +434,74 @@ def test_classifier_on_held_out(spark):
     assert sum(a > b for a in pos for b in neg) >= 0.95 * len(pos) * len(neg)
 
 
+def plain_statistics(text):
+    import math
+
+    b = (text or "").encode()
+    if not b:
+        return [0.0] * len(classifier.STATISTICS)
+    w, rows = b.split(), [x for x in b.split(b"\n") if x.strip()]
+    n, m = max(1, len(w)), max(1, len(rows))
+    times = Counter(b)
+    shares = [sum(v for k, v in times.items() if f(k)) / len(b) for f in (
+        lambda k: 65 <= k <= 90, lambda k: 97 <= k <= 122, lambda k: 48 <= k <= 57, lambda k: k == 32, lambda k: k == 10, lambda k: k == 46, lambda k: k == 44,
+        lambda k: k in b"!?", lambda k: k in b"#*$%&|<>", lambda k: k == 124, lambda k: k in b"()[]{}", lambda k: k >= 128,
+    )]
+    return [
+        math.log(1 + len(w)), len(b) / n, len(set(w)) / n, sum(x == y for x, y in zip(w, w[1:])) / n, math.log(1 + len(rows)), math.log(1 + len(w) / m),
+        1 - len(set(rows)) / m, sum(len(x) < 30 for x in rows) / m, -sum(v / len(b) * math.log2(v / len(b)) for v in times.values()), *shares,
+    ]
+
+
+def test_classifier_against_plain(spark):
+    import numpy as np
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(10**9 + k, t) for k, t in enumerate([None, "", " \n", "É!", "#" * 5000])]
+    docs = docs.select("doc_id", "text").unionAll(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = [(r["doc_id"], plain_statistics(r["text"])) for r in docs.collect()]
+    known = {}
+    for r in labels.collect():
+        if r["quality"] in (0, 1):
+            known[r["doc_id"]] = max(r["quality"], known.get(r["doc_id"], 0))
+    part = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    taught = [(i, x) for i, x in rows if i in known and part[i]]
+    x = np.array([x for _, x in taught])
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale <= 1e-9] = 1
+    rng = np.random.default_rng(7)
+    turn, shift = rng.normal(0, 1 / classifier.WIDTH, (x.shape[1], classifier.FEATURES)), rng.uniform(0, 2 * np.pi, classifier.FEATURES)
+
+    def lift(x):
+        z = np.clip((np.array(x) - mean) / scale, -6, 6)
+        return np.array([*(np.sqrt(2 / classifier.FEATURES) * np.cos(z @ turn + shift)), *(z / 6), 1.0])
+
+    fit = [(lift(x), known[i]) for i, x in taught if part[i] > 1]
+    z, y = np.array([a for a, _ in fit]), np.array([b for _, b in fit], float)
+    ridge = classifier.RIDGE * len(z) / z.shape[1]
+    # ridge regression as least squares with a row for each weight
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(ridge) * np.eye(z.shape[1])]), np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+    low, high = classifier.LOWEST, classifier.HIGHEST
+    raw = {i: float(np.clip(lift(x) @ weights, low, high)) for i, x in rows}
+    bins = defaultdict(list)
+    for i, _ in taught:
+        if part[i] == 1:
+            bins[min(int((raw[i] - low) / (high - low) * classifier.BINS), classifier.BINS - 1)].append(known[i])
+    blocks = [[(low + (k + 0.5) / classifier.BINS * (high - low), v) for v in bins[k]] for k in sorted(bins)]
+    value = lambda block: sum(v for _, v in block) / len(block)
+    while any(value(a) >= value(b) for a, b in zip(blocks, blocks[1:])):
+        k = next(k for k in range(len(blocks) - 1) if value(blocks[k]) >= value(blocks[k + 1]))
+        blocks[k : k + 2] = [blocks[k] + blocks[k + 1]]
+    xs, ys = [sum(c for c, _ in b) / len(b) for b in blocks], [value(b) for b in blocks]
+    got = {r["doc_id"]: r for r in classifier.score_documents(docs, labels).collect()}
+    assert len(got) == len(rows) and len(fit) > 20 and len(blocks) > 1
+    for i, _ in rows:
+        want = 0.999 * np.interp(raw[i], xs, ys) + 0.001 * (raw[i] - low) / (high - low)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-5), i
+        assert got[i]["held_out"] == (part[i] == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
 def test_isotonic_curve_rises():
     import numpy as np
 
