@@ -65,16 +65,20 @@ def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column],
 
 def carried(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
     """rows with the last non-null `value` of the group's rows up to each as __prev, and the first
-    from it on as __next."""
+    from it on as __next.
+
+    __next is carried backwards along the row numbers: Spark goes through a frame that ends with the
+    group anew for each row, which takes the square of a group's rows."""
     cut = _cut(rows.withColumn("__v", value), group, order)
-    inside = Window.partitionBy("__pid", *group).orderBy(*order)
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    here = cut.withColumns({"__a": F.last("__v", ignorenulls=True).over(back), "__z": F.first("__v", ignorenulls=True).over(ahead)})
+    part = Window.partitionBy("__pid", *group)
+    up_to = lambda o: part.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    here = cut.withColumns({"__at_row": F.row_number().over(part.orderBy(*order)), "__a": F.last("__v", ignorenulls=True).over(up_to(order))})
+    here = here.withColumn("__z", F.last("__v", ignorenulls=True).over(up_to([F.desc("__at_row")])))
     at = F.struct(*order)
     some = F.col("__v").isNotNull()
     per = cut.groupBy("__pid", *group).agg(F.max_by("__v", F.when(some, at)).alias("__l"), F.min_by("__v", F.when(some, at)).alias("__f"))
-    over = Window.partitionBy(*group).orderBy("__pid")
-    per = per.withColumns({"__p0": F.last("__l", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)), "__n0": F.first("__f", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))})
+    beyond = lambda o: Window.partitionBy(*group).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"__p0": F.last("__l", ignorenulls=True).over(beyond("__pid")), "__n0": F.last("__f", ignorenulls=True).over(beyond(F.desc("__pid")))})
     out = _shift(here, per.select("__pid", *group, "__p0", "__n0"), group)
     return out.select(*rows.columns, F.coalesce("__a", "__p0").alias("__prev"), F.coalesce("__z", "__n0").alias("__next"))
 

@@ -221,6 +221,17 @@ def test_ranks_and_quantiles_against_plain(spark):
     assert {(x["i"], x["rank"]) for x in ranks.ranked(df, ["k"], ["v", "i"]).collect()} == {(i, x["before_n"]) for i, x in got.items()}
 
 
+def test_carried_against_plain(spark):
+    """Last and first known value around each row, by frames that Spark goes through once."""
+    r = random.Random(6)
+    rows = [(r.choice([None, 1, 2]), i, r.choice([None, None, float(i)])) for i in range(300)]
+    got = ranks.carried(spark.createDataFrame(rows, "k int, i int, v double").repartition(5), ["k"], ["i"], F.col("v"))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    for k, i, prev, after in got.select("k", "i", "__prev", "__next").collect():
+        known = [v for g, _, v in rows if g == k and v is not None]
+        assert (prev, after) == (max((v for v in known if v <= i), default=None), min((v for v in known if v >= i), default=None))
+
+
 def test_normalised_mutual_information_keeps_polarity(spark):
     """Against the formula: entropies over 256 levels, information over 32 bins of 0 to 255."""
     import numpy as np

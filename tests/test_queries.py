@@ -1,8 +1,11 @@
+import os
+
+import duckdb
 import pytest
 
 from framewright.plans import catalog
 
-from .oracle import compare
+from .oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -26,3 +29,20 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def folder_with(path, name, sql):
+    """A folder with the tables of SF, in which `name` is what the SQL makes of it."""
+    for t in TABLES:
+        if t != name:
+            os.symlink(f"{SF}/{t}.parquet", f"{path}/{t}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    con.sql(f"COPY ({sql}) TO '{path}/{name}.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+def test_one_to_one_stays_within_the_user(spark, tmp_path):
+    """Users without views have no pair, and take none from others."""
+    sf = folder_with(tmp_path, "events", "SELECT * FROM events WHERE NOT (event_type = 'view' AND user_id % 3 = 0)")
+    compare(spark, QUERIES["nearest_one_to_one"], SQL["nearest_one_to_one"], sf)
