@@ -89,11 +89,15 @@ def consecutive(rows: DataFrame, keys: Sequence[str], order: Sequence[str], flag
 
 
 def best_window(rows: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, length: int) -> DataFrame:
-    """Per key the start of the `length` successive rows with the largest mean score, ties first."""
+    """Per key the start of the `length` successive rows with the largest mean score, ties first.
+
+    Means that are equal to 9 digits are ties: sums of the same values differ in their last bits by
+    the order of the rows. best_score is the mean of the window that is taken."""
     w = _order(keys, order)
     ahead = w.rowsBetween(0, length - 1)
     at = rows.withColumns({"__i": F.row_number().over(w) - 1, "__m": F.avg(score).over(ahead), "__k": F.count(F.lit(1)).over(ahead)}).where(F.col("__k") == length)
-    return at.groupBy(*keys).agg(F.max_by("__i", F.struct("__m", (-F.col("__i")).alias("o"))).alias("start"), F.max("__m").alias("best_score"))
+    best = at.groupBy(*keys).agg(F.max(F.struct(F.round("__m", 9).alias("r"), (-F.col("__i")).alias("o"), "__m")).alias("__b"))
+    return best.select(*keys, (-F.col("__b.o")).alias("start"), F.col("__b.__m").alias("best_score"))
 
 
 # ---- folds ----

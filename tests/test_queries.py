@@ -46,3 +46,9 @@ def test_one_to_one_stays_within_the_user(spark, tmp_path):
     """Users without views have no pair, and take none from others."""
     sf = folder_with(tmp_path, "events", "SELECT * FROM events WHERE NOT (event_type = 'view' AND user_id % 3 = 0)")
     compare(spark, QUERIES["nearest_one_to_one"], SQL["nearest_one_to_one"], sf)
+
+
+def test_best_sequence_takes_the_first_of_equal_means(spark, tmp_path):
+    """The windows of 0.1, 0.2, ... in turn hold the same values, whose sums differ in the last bits."""
+    sf = folder_with(tmp_path, "events", "SELECT * REPLACE ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 10 * 7 % 10 / 10)::DOUBLE AS value) FROM events")
+    compare(spark, QUERIES["best_sequence"], SQL["best_sequence"], sf)
