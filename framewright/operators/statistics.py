@@ -285,7 +285,7 @@ def wilcoxon(rows: DataFrame, keys: Sequence[str], delta: str) -> DataFrame:
     tied = some.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("t"), F.count_if("up").alias("u"))
     at = running(tied, list(keys), ["m"], {"t": "t"})
     got = at.withColumn("r", F.col("before_t") + (F.col("t") + 1) / 2).groupBy(*keys).agg(F.sum(F.col("r") * F.col("u")).alias("w"), F.sum("t").alias("n"), F.sum(F.pow("t", 3) - F.col("t")).alias("tie"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # the cube of a long ends at 1.6 million differences
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
     got = got.withColumn("z", F.when(var > 0, (F.col("w") - n * (n + 1) / 4) / F.sqrt(var)))
 

@@ -173,6 +173,21 @@ def test_tests_against_plain(spark):
     assert w["n"] == 8 and w["w"] == pytest.approx(sum([4, 2.5, 6, 7, 8, 2.5]))
 
 
+def test_paired_tests_of_millions_of_rows(spark):
+    """Both tests sum whole: terms beyond the first 100,000 carry all of p, and n cubed fits no long."""
+    n, up = 2_000_000, 999_300
+    df = spark.range(n).selectExpr("1 AS k", f"if(id < {up}, 1, -1) * (1 + id % 3) AS d")
+    term = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2))
+    assert statistics.sign_test(df, ["k"], "d").first()["p"] == pytest.approx(2 * math.fsum(map(term, range(up - 20_000, up + 1))), rel=1e-6)
+    d = np.arange(n)
+    size = np.bincount(d % 3)
+    rank = (np.cumsum(size) - size + (size + 1) / 2)[d % 3]
+    w, tie = int(rank[:up].sum()), sum(int(t) ** 3 - int(t) for t in size)
+    got = statistics.wilcoxon(df, ["k"], "d").first()
+    assert got["n"] == n and got["w"] == pytest.approx(w, abs=1)
+    assert got["z"] == pytest.approx((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), rel=1e-6)
+
+
 def test_signed_ranks_against_all_signs(spark):
     """p by trying all signs of the ranks, which is what the exact test counts."""
     from itertools import product
