@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from framewright.operators.storage import checkpoint, partitions, remove, written  # noqa: F401  for the operators
+from framewright.operators.storage import checkpoint, partitions, remove, shuffle_partitions, written  # noqa: F401  for the operators
 from framewright.operators.storage import new_path as shared  # noqa: F401
 
 #: A word is a run of anything but ASCII space and 0x09-0x0D, which is what bytes.split() yields.

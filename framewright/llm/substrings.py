@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, text_slices, written, WordHash
+from .common import NULL_ID, bounded_batches, bytes_of, checkpoint, gram_hashes, ids_of, mix64, partitions, remove, shared, shuffle_partitions, text_slices, written, WordHash
 
 #: Words of a window and of an anchor; batches of a whole corpus; runs that are kept apart.
 WINDOW, ANCHOR, BATCHES, FANOUT = 50, 13, 4, 2
@@ -113,11 +113,13 @@ class SortedRuns:
             self.buckets = max(1, min(self.buckets, -(-rows // ROWS_A_BUCKET)))
 
     def write(self, rows: DataFrame) -> str:
-        """A run of rows with unique keys, which does not belong to the index yet."""
+        """A run of rows with unique keys, which does not belong to the index yet. Rows that are grouped by
+        the keys are shuffled into as many partitions as there are buckets, so that each bucket
+        is one file: otherwise each task would write a file for nearly every bucket."""
         self.made += 1
-        rows = rows.coalesce(self.buckets) if self.buckets < partitions(self.spark) else rows
         name = f"run_{self.root.rsplit('-', 1)[-1]}_{self.made}"
-        rows.write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/{self.made}").saveAsTable(name)
+        with shuffle_partitions(self.spark, self.buckets):
+            rows.coalesce(self.buckets).write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/{self.made}").saveAsTable(name)
         return name
 
     def look(self, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from framewright.llm import classifier, lines, mixing, near, packing, quality, sharding, substrings
 
@@ -227,6 +228,27 @@ def test_index_compacts_and_takes_later_documents(spark, docs, plain):
     index.close()
 
 
+@pytest.mark.parametrize("name", ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.enabled"])
+def test_a_run_is_one_file_for_each_bucket(spark, name):
+    """Each file of a local folder costs its writer a chmod process, and one for its checksum."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(name, "false")
+        spark.conf.set("spark.sql.shuffle.partitions", 12)
+        runs = substrings.SortedRuns(spark, ["hash"], {"first": F.min}, 2)
+        runs.expect(5 * substrings.ROWS_A_BUCKET)
+        run = runs.write(spark.range(2000).groupBy(F.xxhash64(F.col("id") % 1000).alias("hash")).agg(F.min("id").alias("first")))
+        runs.add(run)
+        files = [r["f"] for r in spark.table(run).select(F.input_file_name().alias("f")).distinct().collect()]
+        assert (runs.buckets, len(files)) == (5, 5)
+        assert sorted(r["first"] for r in spark.table(run).collect()) == list(range(1000))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "12"
+        runs.close()
+    finally:
+        spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_substrings_of_shared_ids(spark):
     import random
 
