@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .ranks import ranked
+from .ranks import quantiles, ranked
 
 
 def summary(value: str, baseline: str | None = None) -> list[Column]:
-    """Aggregates of a metric: n, mean, median, sample deviation (0 for one value), quartiles and
-    p95, and, with a baseline, mean difference and win rate."""
+    """Aggregates of a metric that need no order: n, mean, sample deviation (0 for one value), and, with a
+    baseline, mean difference and win rate."""
     v = F.col(value)
-    out = [
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"),
-        F.when(F.count(v) > 1, F.stddev_samp(v)).when(F.count(v) == 1, 0.0).alias("std"),
-        F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), F.percentile(v, 0.95).alias("p95"),
-    ]
+    out = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.count(v) > 1, F.stddev_samp(v)).when(F.count(v) == 1, 0.0).alias("std")]
     if baseline:
         b = F.col(baseline)
         both = v.isNotNull() & b.isNotNull()
@@ -27,8 +24,16 @@ def summary(value: str, baseline: str | None = None) -> list[Column]:
     return out
 
 
-def metric_summary(rows: DataFrame, keys: Sequence[str], value: str, baseline: str | None = None) -> DataFrame:
-    return rows.groupBy(*keys).agg(*summary(value, baseline))
+def metric_summary(rows: DataFrame, keys: Sequence[str], value: str, baseline: str | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Per key n, mean, median, deviation, quartiles and p95 of a metric, with a baseline mean
+    difference and win rate, and what `extra` aggregates. Quantiles are exact and found by distributed
+    ranks, so that a key's distinct values need not fit one task."""
+    keys = list(keys)
+    base = rows.groupBy(*keys).agg(*summary(value, baseline), *extra)
+    q = quantiles(rows, keys, value, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [base[k].eqNullSafe(q[f"__k{i}"]) for i, k in enumerate(keys)], F.lit(True))
+    first = [*keys, "n", "mean", "median", "std", "p25", "p75", "p95"]
+    return base.join(q, on, "left").select(*first, *[c for c in base.columns if c not in first])
 
 
 def counts(rows: DataFrame, key: str, missing: str = "unknown") -> DataFrame:

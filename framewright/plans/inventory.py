@@ -142,7 +142,7 @@ def multi_key_summary(spark, sf):
     """A metric by several keys, with its spread and the first three of its sorted caveats."""
     keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
     three = F.array_join(F.slice(F.array_sort(F.collect_set(F.concat(F.lit("c"), F.col("l_suppkey") % 5))), 1, 3), ",")
-    out = table(spark, sf, "lineitem").withColumn("v", F.col("l_quantity")).groupBy(*keys).agg(*aggregates.summary("v"), three.alias("caveats"))
+    out = aggregates.metric_summary(table(spark, sf, "lineitem").withColumn("v", F.col("l_quantity")), keys, "v", extra=[three.alias("caveats")])
     out = out.withColumn("iqr", F.col("p75") - F.col("p25"))
     return rounded(out, "mean", "median", "std", "p25", "p75", "p95", "iqr")
 

@@ -16,6 +16,19 @@ def test_summary(spark):
     assert got[2]["std"] == 0.0 and got[2]["delta"] is None
 
 
+def test_summary_holds_no_key_s_values_in_a_task(spark):
+    """Quantiles by ranks: no buffer has all distinct values of a key; null keys and keys without values stay."""
+    df = spark.range(4000).selectExpr("if(id % 4 = 3, null, id % 4) AS k", "if(id % 4 = 2, null, id * 37 % 4000 / 7) AS v")
+    out = aggregates.metric_summary(df, ["k"], "v")
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    got = {r["k"]: r for r in out.collect()}
+    assert set(got) == {0, 1, 2, None} and got[2]["n"] == 0 and got[2]["median"] is None and got[2]["p95"] is None
+    for k in (0, 1, None):
+        x = [i * 37 % 4000 / 7 for i in range(4000) if i % 4 == (3 if k is None else k)]
+        assert [got[k][c] for c in ("median", "p25", "p75", "p95")] == pytest.approx(np.quantile(x, [0.5, 0.25, 0.75, 0.95]).tolist())
+        assert got[k]["n"] == 1000 and got[k]["std"] == pytest.approx(np.std(x, ddof=1))
+
+
 def test_hamming_pairs(spark):
     hexes = ["0000000000000000", "0000000000000003", "000000000000001f", "ffffffffffffffff"]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(hexes)], "id int, x string").select("id", F.conv("x", 16, -10).cast("long").alias("h"))
