@@ -46,6 +46,26 @@ def test_hamming_pairs_against_all(spark):
     assert sorted((x["a"], x["b"]) for x in joins.hamming_pairs(df, None, "h", "id", 4).collect()) == sorted(want)
 
 
+def test_hamming_links_shuffle_no_pairs(spark):
+    """Many near hashes in several blocks: all pairs of classes, and no pair goes through an exchange."""
+    r = random.Random(3)
+    values = [0xF0F0F0F0F0F0F0F0 ^ sum(1 << r.randrange(64) for _ in range(r.randrange(6))) & (2**64 - 1) for _ in range(700)]
+    rows = [(None if i % 50 == 0 else i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)]
+    classes = {}
+    for i, h in rows:
+        classes.setdefault(h % 2**64, []).append(i)
+    of = [(min(x for x in ids if x is not None), len(ids), h) for h, ids in classes.items() if any(x is not None for x in ids)]
+    want = sorted((a, b, (g ^ h).bit_count(), m, n) for a, m, g in of for b, n, h in of if a < b and (g ^ h).bit_count() <= 7)
+    df = spark.createDataFrame(rows, "id int, h long")
+    for block in (1 << 18, 100):
+        out = joins.hamming_links(df, "h", "id", 7, block=block)
+        assert sorted((x["a"], x["b"], x["distance"], x["n_a"], x["n_b"]) for x in out.collect()) == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    as_text = joins.hamming_links(df.selectExpr("lpad(id, 4, '0') AS id", "h"), "h", "id", 7, block=100)
+    assert sorted((int(x["a"]), int(x["b"]), x["distance"], x["n_a"], x["n_b"]) for x in as_text.collect()) == want
+    assert joins.hamming_links(df.where("id < 0"), "h", "id", 7).count() == 0
+
+
 def test_nearest_prefers_the_session(spark):
     kind = "id int, s string, ts timestamp"
     at = lambda n: __import__("datetime").datetime(2024, 1, 1, 0, 0, n)
