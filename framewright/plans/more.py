@@ -294,7 +294,7 @@ WITH s AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id OR
 v AS (SELECT vec_id, label, count(*) AS n FROM s WHERE r <= 5 GROUP BY ALL)
 SELECT vec_id, arg_min(label, {'o': -n, 'l': label}) AS predicted, max(n) AS votes FROM v GROUP BY 1""")
 def embedding_knn(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     return learning.nearest_classes(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "vec_id", "embedding", "label", 5)
 
 

@@ -66,6 +66,42 @@ def test_hamming_links_shuffle_no_pairs(spark):
     assert joins.hamming_links(df.where("id < 0"), "h", "id", 7).count() == 0
 
 
+def test_nearest_classes_against_all(spark, monkeypatch):
+    """Several cells, blocks and tiles; copies and zero vectors tie, null vectors come last, and scores
+    are those of the sum from the first component to the last."""
+    monkeypatch.setattr(learning, "PAIRS", 2_000)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(400, 7))
+    v[50:120], v[120:140], v[140:150] = v[3], 0, v[3] * 1e200
+    train = [(i, None if i % 40 == 7 else v[i].tolist(), None if i % 90 == 3 else f"c{i % 5}") for i in range(300)]
+    test = [(i, None if i == 310 else v[i if i % 3 else 3].tolist()) for i in range(300, 400)]
+    a, b = spark.createDataFrame(train, "id int, v array<double>, l string"), spark.createDataFrame(test, "id int, v array<double>")
+    got = {x["id"]: (x["predicted"], x["votes"]) for x in learning.nearest_classes(a, b, "id", "v", "l", 5).collect()}
+    assert len(got) == 100
+    for i, q in test:
+        score = lambda t: -math.inf if q is None or t is None else float(np.cumsum(np.array(q) * t)[-1])
+        top = sorted(train, key=lambda t: (-score(t[1]), t[0]))[:5]
+        n = {}
+        for t in top:
+            n[t[2]] = n.get(t[2], 0) + 1
+        assert got[i][1] == max(n.values()) and got[i][0] in [c for c, m in n.items() if m == max(n.values())]
+    few = learning.nearest_classes(a.where("id in (7, 8, 9)"), b.where("id in (310, 311)"), "id", "v", "l", 5).collect()
+    assert {(x["id"], x["votes"]) for x in few} == {(310, 1), (311, 1)}
+    wide = learning.nearest_classes(a, b, "id", "v", "l", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in wide
+
+
+def test_nearest_classes_with_infinite_components(spark):
+    """NaN is the largest score, then infinity, as in the SQL."""
+    rows = [(1, [1.0, float("inf")], "inf"), (2, [float("nan"), 1.0], "nan"), (3, [2.0, 2.0], "two"), (4, [-1.0, float("-inf")], "low")]
+    a = spark.createDataFrame(rows, "id int, v array<double>, l string")
+    b = spark.createDataFrame([(9, [1.0, 1.0])], "id int, v array<double>")
+    for k, want in ((1, ["nan"]), (4, ["inf", "low", "nan", "two"])):
+        got = learning.nearest_classes(a, b, "id", "v", "l", k).first()
+        assert got["predicted"] == want[0] and got["votes"] == 1
+    assert learning.nearest_classes(a.where("id <> 2"), b, "id", "v", "l", 1).first()["predicted"] == "inf"
+
+
 def test_nearest_prefers_the_session(spark):
     kind = "id int, s string, ts timestamp"
     at = lambda n: __import__("datetime").datetime(2024, 1, 1, 0, 0, n)
