@@ -57,8 +57,8 @@ def test_hamming_links_shuffle_no_pairs(spark):
     of = [(min(x for x in ids if x is not None), len(ids), h) for h, ids in classes.items() if any(x is not None for x in ids)]
     want = sorted((a, b, (g ^ h).bit_count(), m, n) for a, m, g in of for b, n, h in of if a < b and (g ^ h).bit_count() <= 7)
     df = spark.createDataFrame(rows, "id int, h long")
-    for block in (1 << 18, 100):
-        out = joins.hamming_links(df, "h", "id", 7, block=block)
+    for more in ({}, {"block": 100}):
+        out = joins.hamming_links(df, "h", "id", 7, **more)
         assert sorted((x["a"], x["b"], x["distance"], x["n_a"], x["n_b"]) for x in out.collect()) == want
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     as_text = joins.hamming_links(df.selectExpr("lpad(id, 4, '0') AS id", "h"), "h", "id", 7, block=100)
@@ -69,7 +69,7 @@ def test_hamming_links_shuffle_no_pairs(spark):
 def test_nearest_classes_against_all(spark, monkeypatch):
     """Several cells, blocks and tiles; copies and zero vectors tie, null vectors come last, and scores
     are those of the sum from the first component to the last."""
-    monkeypatch.setattr(learning, "PAIRS", 2_000)
+    monkeypatch.setattr(learning, "PAIRS", 2_000, raising=False)
     r = np.random.default_rng(5)
     v = r.normal(size=(400, 7))
     v[50:120], v[120:140], v[140:150] = v[3], 0, v[3] * 1e200
